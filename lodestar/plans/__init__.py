@@ -2,6 +2,7 @@
 
 from lodestar.plans import registry  # noqa: F401
 from lodestar.plans import core  # noqa: F401
+from lodestar.plans import filter_queries  # noqa: F401
 
 
 def all_queries():
