@@ -4,6 +4,7 @@ from lodestar.plans import registry  # noqa: F401
 from lodestar.plans import core  # noqa: F401
 from lodestar.plans import filter_queries  # noqa: F401
 from lodestar.plans import function_queries  # noqa: F401
+from lodestar.plans import analytic_queries  # noqa: F401
 
 
 def all_queries():
