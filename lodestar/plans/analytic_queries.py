@@ -236,16 +236,17 @@ _w("w16_previous_value_sum", lambda: tc.previous_value_sum("rev_c", W_PART, 100)
 def _w16r(spark, sf_dir):
     mv = monthly_view(spark, sf_dir)
     v = tc.previous_value("revenue", W_PART, 0.0, lambda acc, x: acc * 0.5 + x)
-    return mv.select("r_name", "ym", F.round(v, 2).alias("v"))
+    # halving produces exact half-cent ties; truncate (identical IEEE steps in both engines)
+    return mv.select("r_name", "ym", (F.floor(v * 100) / 100).alias("v"))
 
 
 add(
     "w16_previous_value_recurrence",
     _w16r,
     "WITH RECURSIVE " + MV_SQL[len("WITH "):] + f", n AS (SELECT *, row_number() OVER ({W_SQL}) AS rn FROM mv),\n"
-    "rec AS (SELECT r_name, ym, rn, 0.0 * 0.5 + revenue AS v FROM n WHERE rn = 1 UNION ALL "
-    "SELECT n.r_name, n.ym, n.rn, rec.v * 0.5 + n.revenue FROM rec JOIN n ON n.r_name = rec.r_name AND n.rn = rec.rn + 1)\n"
-    "SELECT r_name, ym, round(v, 2) AS v FROM rec",
+    "rec AS (SELECT r_name, ym, rn, CAST(0.0 AS DOUBLE) * CAST(0.5 AS DOUBLE) + revenue AS v FROM n WHERE rn = 1 UNION ALL "
+    "SELECT n.r_name, n.ym, n.rn, rec.v * CAST(0.5 AS DOUBLE) + n.revenue FROM rec JOIN n ON n.r_name = rec.r_name AND n.rn = rec.rn + 1)\n"
+    "SELECT r_name, ym, floor(v * 100) / 100 AS v FROM rec",
 )
 MOV = f"{W_SQL} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW"
 _w("w17_window_avg", lambda: tc.window_avg("rev_c", W_PART, -2, 0), f"avg(rev_c) OVER ({MOV})", 4)
