@@ -6,6 +6,7 @@ from lodestar.plans import filter_queries  # noqa: F401
 from lodestar.plans import function_queries  # noqa: F401
 from lodestar.plans import analytic_queries  # noqa: F401
 from lodestar.plans import warehouse_queries  # noqa: F401
+from lodestar.plans import report_queries  # noqa: F401
 
 
 def all_queries():
