@@ -1,17 +1,38 @@
-"""Query plans built from the operators; importing this package registers them."""
+"""Query plans built from the operators.
 
-from lodestar.plans import registry  # noqa: F401
-from lodestar.plans import core  # noqa: F401
-from lodestar.plans import filter_queries  # noqa: F401
-from lodestar.plans import function_queries  # noqa: F401
-from lodestar.plans import analytic_queries  # noqa: F401
-from lodestar.plans import warehouse_queries  # noqa: F401
-from lodestar.plans import report_queries  # noqa: F401
+Library modules here (``warehouse``, ``report``) import freely; the query
+modules that register named queries are loaded on demand by
+``all_queries()`` / ``all_oracles()`` (they build Columns, which needs an
+active SparkContext).
+"""
+
+import importlib
+
+QUERY_MODULES = (
+    "core",
+    "filter_queries",
+    "function_queries",
+    "analytic_queries",
+    "warehouse_queries",
+    "report_queries",
+    "extract_queries",
+)
+
+
+def _load():
+    for m in QUERY_MODULES:
+        importlib.import_module(f"lodestar.plans.{m}")
 
 
 def all_queries():
+    from lodestar.plans import registry
+
+    _load()
     return dict(registry.QUERIES)
 
 
 def all_oracles():
+    from lodestar.plans import registry
+
+    _load()
     return dict(registry.ORACLE)
