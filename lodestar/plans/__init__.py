@@ -16,6 +16,7 @@ QUERY_MODULES = (
     "warehouse_queries",
     "report_queries",
     "extract_queries",
+    "enrich_queries",
 )
 
 
