@@ -17,6 +17,7 @@ QUERY_MODULES = (
     "report_queries",
     "extract_queries",
     "enrich_queries",
+    "io_queries",
 )
 
 
