@@ -43,8 +43,11 @@ def countd(x, approximate: bool = False, rsd: float = 0.01):
     return F.approx_count_distinct(_c(x), rsd) if approximate else F.count_distinct(_c(x))
 
 
-def median(x):
-    return F.median(_c(x))  # A07 exact (interpolated)
+def median(x, approximate: bool = False, accuracy: int = 10000):
+    """A07 exact (interpolated) median; the exact aggregate keeps one buffer of
+    distinct values per group, so for very hot groups ``approximate`` switches
+    to the mergeable ``percentile_approx`` sketch."""
+    return F.percentile_approx(_c(x), 0.5, accuracy) if approximate else F.median(_c(x))
 
 
 def stdev(x):
@@ -63,8 +66,9 @@ def varp(x):
     return F.var_pop(_c(x))  # A10
 
 
-def percentile(x, p: float):
-    return F.percentile(_c(x), F.lit(p))  # A11 continuous, interpolated
+def percentile(x, p: float, approximate: bool = False, accuracy: int = 10000):
+    """A11 continuous, interpolated percentile (``approximate``: sketch)."""
+    return F.percentile_approx(_c(x), p, accuracy) if approximate else F.percentile(_c(x), F.lit(p))
 
 
 def attr(x):
@@ -142,10 +146,17 @@ def group_unique_count(df: DataFrame, x: str, key: str, name: str) -> DataFrame:
     return df.join(g, key, "left")
 
 
+def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row aggregate to every row: a broadcast hash
+    join on a constant key (no cartesian product, no single-task window)."""
+    k = "_one_row_key"
+    return df.withColumn(k, F.lit(1)).join(F.broadcast(one_row.withColumn(k, F.lit(1))), k).drop(k)
+
+
 def share_of_total(df: DataFrame, value: str, name: str = "share") -> DataFrame:
     """G-06 value / grand total; the total is a one-row aggregate (broadcast)."""
     tot = df.agg(F.sum(value).alias("_total"))
-    return df.crossJoin(F.broadcast(tot)).withColumn(name, F.try_divide(F.col(value), F.col("_total"))).drop("_total")
+    return attach_one_row(df, tot).withColumn(name, F.try_divide(F.col(value), F.col("_total"))).drop("_total")
 
 
 def first_by(df: DataFrame, keys, value: str, order: str, name: str | None = None) -> DataFrame:
@@ -170,10 +181,19 @@ def top_n(df: DataFrame, keys, measure: Column, n: int, bottom: bool = False, na
     return agg.orderBy(order, *[F.col(k).asc_nulls_first() for k in keys]).limit(n)
 
 
-def top_n_per_group(df: DataFrame, group, order: list[Column], n: int) -> DataFrame:
-    """Top-k rows per group: ``row_number`` over the group, kept when <= n."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+def top_n_per_group(df: DataFrame, group, order: list[Column], n: int, salts: int = 32) -> DataFrame:
+    """Top-k rows per group, exact and skew-safe.
+
+    Phase 1 ranks inside (group, salt) slices — a hot group is spread over
+    ``salts`` tasks — and keeps each slice's best ``n``; phase 2 ranks the at
+    most ``salts * n`` survivors per group.  The top ``n`` of the union of the
+    slices' top ``n`` is the top ``n`` of the group, so no row is dropped
+    that belongs in the result.  ``order`` must end in a unique key."""
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
+    w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
+    cand = df.withColumn("_salt", salt).withColumn("_rn", F.row_number().over(w1)).filter(F.col("_rn") <= n).drop("_rn", "_salt")
+    w2 = Window.partitionBy(*group).orderBy(*order)
+    return cand.withColumn("_rn", F.row_number().over(w2)).filter(F.col("_rn") <= n).drop("_rn")
 
 
 def union_distinct(*dfs: DataFrame) -> DataFrame:

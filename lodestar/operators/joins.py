@@ -167,7 +167,9 @@ def cardinality(left: DataFrame, right: DataFrame, left_keys, right_keys) -> Dat
     """
     lm = left.groupBy(*left_keys).count().agg(F.max("count").alias("left_max"))
     rm = right.groupBy(*right_keys).count().agg(F.max("count").alias("right_max"))
-    both = lm.crossJoin(rm)  # one row x one row
+    from lodestar.operators.grouping import attach_one_row
+
+    both = attach_one_row(lm, rm)  # one row each
     label = (
         F.when((F.col("left_max") <= 1) & (F.col("right_max") <= 1), "ONE_TO_ONE")
         .when(F.col("left_max") <= 1, "ONE_TO_MANY")
@@ -188,31 +190,33 @@ def parse_join_operands(col: Column) -> Column:
     )
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_iter: int = 64, checkpoint_every: int = 4) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_iter: int = 64) -> DataFrame:
     """J-07: connected components by iterative min-label propagation.
 
-    Works for large edge sets: every round is one shuffle on the vertex id,
-    the lineage is cut with a reliable ``checkpoint`` (in the cluster's
-    ``spark.checkpoint.dir``) every few rounds, and the loop stops when no
-    label changes.  Returns (vertex, component) with component = the smallest
-    vertex id of the component.
+    Works for large edge sets: each round is one join + aggregate on the
+    vertex id, its result is cut from the lineage with a reliable
+    ``checkpoint`` (written to the cluster's ``spark.checkpoint.dir``, so a
+    lost executor never replays earlier rounds), and the loop stops when no
+    label changed.  Returns (vertex, component) with component = the smallest
+    vertex id of the component.  Rounds are bounded by the graph diameter.
     """
     from lodestar.session import checkpoint_dir
 
     spark = edges.sparkSession
     checkpoint_dir(spark)
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter(F.col("a") != F.col("b")).distinct()
-    both = both.checkpoint()
-    labels = both.select(F.col("a").alias("v")).distinct().withColumn("label", F.col("v"))
-    for i in range(max_iter):
-        cand = both.join(labels.withColumnRenamed("v", "b").withColumnRenamed("label", "nl"), "b").groupBy(F.col("a").alias("v")).agg(F.min("nl").alias("nl"))
-        new = labels.join(cand, "v", "left").select("v", F.least("label", F.coalesce("nl", "label")).alias("label"))
-        if (i + 1) % checkpoint_every == 0:
-            new = new.checkpoint()
-        changed = new.join(labels.withColumnRenamed("label", "old"), "v").filter(F.col("label") != F.col("old")).limit(1).count()
-        labels = new
-        if changed == 0:
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter(F.col("a") != F.col("b")).distinct().checkpoint()
+    # first round straight from the edges: every vertex takes min(self, neighbours)
+    labels = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")).checkpoint()
+    for _ in range(max_iter):
+        cand = both.join(labels.select(F.col("v").alias("b"), F.col("label").alias("nl")), "b").groupBy(F.col("a").alias("v")).agg(F.min("nl").alias("nl"))
+        new = labels.join(cand, "v", "left").select(
+            "v",
+            F.least("label", F.coalesce("nl", "label")).alias("label"),
+            (F.coalesce(F.col("nl"), F.col("label")) < F.col("label")).alias("changed"),
+        ).checkpoint()
+        labels = new.select("v", "label")
+        if new.filter("changed").limit(1).count() == 0:
             break
     return labels.select(F.col("v").alias("vertex"), F.col("label").alias("component"))
 

@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 def _join_back(df: DataFrame, agg: DataFrame, dims: list[str]) -> DataFrame:
     if not dims:
-        return df.crossJoin(F.broadcast(agg))  # one row
+        from lodestar.operators.grouping import attach_one_row
+
+        return attach_one_row(df, agg)  # one-row aggregate
     renamed = agg.select(*[F.col(d).alias(f"_lod_{d}") for d in dims], *[c for c in agg.columns if c not in dims])
     cond = reduce(lambda a, b: a & b, [df[d].eqNullSafe(renamed[f"_lod_{d}"]) for d in dims])
     return df.join(renamed, cond, "left").drop(*[f"_lod_{d}" for d in dims])
