@@ -13,7 +13,7 @@ from lodestar.sources.workbooks import scan_packaged, workbook_corpus
 
 
 def test_warehouse_keys_and_idempotent_load(spark, sf_small):
-    dump = derive_dump(spark, sf_small).cache()
+    dump = derive_dump(spark, sf_small).checkpoint()  # cut the lineage: key checks reuse it ~30 times
     w = W.load(dump)
     ki = {(r.table_name, r.check_name): r.violations for r in W.key_integrity(w).collect()}
     # orphans never happen; duplicated detail keys are the parity keys of Q16
