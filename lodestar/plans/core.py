@@ -47,19 +47,23 @@ FROM v LEFT JOIN fx ON v.r_name IS NOT DISTINCT FROM fx.r_name
 def flagship(spark, sf_dir):
     t = Tables(spark, sf_dir)
     star = t.star
+    # The top-N key set (by nation) and the FIXED total (by region) are both
+    # additive over the unfiltered star, so one (region, nation) partial
+    # aggregate feeds both: one extra pass over the facts instead of two.
+    coarse = star.groupBy("r_name", "n_name").agg(F.sum("l_extendedprice").alias("rev"))
     filtered = apply_filters(
         star,
         [
             FilterSpec("o_orderpriority", members=["1-URGENT", "2-HIGH", "3-MEDIUM"]),
             FilterSpec("l_quantity", kind="quantitative", min=5, max=45),
-            FilterSpec("n_name", kind="top", end="top", count=10, expression=F.sum("l_extendedprice")),
+            FilterSpec("n_name", kind="top", end="top", count=10, expression=F.sum("rev")),
         ],
-        base=star,
+        base=coarse,
     )
     view = filtered.groupBy("r_name", "n_name", F.year("o_orderdate").alias("o_year")).agg(
         F.sum("l_extendedprice").alias("revenue")
     )
-    view = lod.ratio_to_fixed(view, "revenue", ["r_name"], star, F.sum("l_extendedprice"), "region_share")
+    view = lod.ratio_to_fixed(view, "revenue", ["r_name"], coarse, F.sum("rev"), "region_share")
     w = tc.addressing(["r_name", "n_name"], ["o_year"])
     view = view.withColumn("running_revenue", tc.running_sum("revenue", w))
     return view.select(
