@@ -147,10 +147,10 @@ def group_unique_count(df: DataFrame, x: str, key: str, name: str) -> DataFrame:
 
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row: a broadcast hash
-    join on a constant key (no cartesian product, no single-task window)."""
-    k = "_one_row_key"
-    return df.withColumn(k, F.lit(1)).join(F.broadcast(one_row.withColumn(k, F.lit(1))), k).drop(k)
+    """Attach the columns of a one-row aggregate to every row as scalar
+    subqueries: each is computed once and applied as a value in the
+    projection (no join, no cartesian product, no single-task window)."""
+    return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])
 
 
 def share_of_total(df: DataFrame, value: str, name: str = "share") -> DataFrame:
