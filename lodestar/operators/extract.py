@@ -33,7 +33,9 @@ WORKBOOK_SCHEMA = (
     "`_user:ui-enumeration`: STRING, `_user:ui-pattern_type`: STRING>>>"
     ">>>, "
     "worksheets STRUCT<worksheet: ARRAY<STRUCT<_name: STRING, table: STRUCT<"
-    "view: STRUCT<datasources: STRUCT<datasource: ARRAY<STRUCT<_caption: STRING, _name: STRING>>>>, "
+    "view: STRUCT<datasources: STRUCT<datasource: ARRAY<STRUCT<_caption: STRING, _name: STRING>>>, "
+    "filter: ARRAY<STRUCT<_class: STRING, _column: STRING, min: STRING, max: STRING, "
+    "groupfilter: STRUCT<_function: STRING, _level: STRING, _member: STRING, `_user:ui-enumeration`: STRING>>>>, "
     f"panes: STRUCT<pane: ARRAY<STRUCT<mark: STRUCT<_class: STRING>, encodings: STRUCT<{_CH}>>>>, "
     "rows: STRING, cols: STRING>>>>, "
     "dashboards STRUCT<dashboard: ARRAY<STRUCT<_name: STRING, "
@@ -238,6 +240,30 @@ def datasource_filters(parsed: DataFrame, as_of=None) -> DataFrame:
     )
 
 
+def worksheet_filters(parsed: DataFrame) -> DataFrame:
+    """EX-16 worksheet filters; the datasource is resolved from the
+    ``[datasource].[column]`` prefix through the name -> caption map of the
+    worksheet's datasources (EX-17 classifier applied)."""
+    ws = _worksheets(parsed).select("path", F.col("ws._name").alias("worksheet_name"), F.col("ws.table.view").alias("view"))
+    f = ws.select("path", "worksheet_name", "view.datasources.datasource", F.posexplode("view.filter").alias("pos", "f"))
+    parts = F.regexp_extract_all(F.col("f._column"), F.lit(r"\[([^\]]+)\]"), 1)
+    ds_name = F.element_at(parts, 1)
+    caption = F.element_at(F.filter(F.col("datasource"), lambda d: d["_name"] == ds_name), 1)["_caption"]
+    w = Window.partitionBy("path", "worksheet_name").orderBy("pos")
+    return f.select(
+        "path",
+        "worksheet_name",
+        F.concat(F.lit("Filter_"), F.row_number().over(w).cast("string")).alias("filter_name"),
+        caption.alias("datasource_name"),
+        F.element_at(parts, -1).alias("column"),
+        F.col("f._class").alias("filter_class"),
+        F.col("f.groupfilter._function").alias("function"),
+        classify_filter(F.col("f.groupfilter._function"), F.col("f.groupfilter.`_user:ui-enumeration`")).alias("filter_kind"),
+        F.col("f.groupfilter._member").alias("member"),
+        F.col("f.groupfilter.`_user:ui-enumeration`").alias("enumeration"),
+    )
+
+
 def _dashboards(parsed: DataFrame) -> DataFrame:
     return parsed.select("path", F.explode("wb.dashboards.dashboard").alias("db"))
 

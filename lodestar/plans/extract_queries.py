@@ -47,6 +47,8 @@ placed AS (SELECT b.*, p.c_mktsegment, b.n_name || '_' || p.c_mktsegment AS work
            FROM dbs b JOIN (SELECT DISTINCT c_nationkey, o_orderstatus, c_mktsegment FROM occ WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING')) p
            ON p.c_nationkey = b.n_nationkey AND p.o_orderstatus = b.o_orderstatus)"""
 
+# EX-01 precedence: published (sqlproxy) before extract before live
+KIND_SQL = "CASE WHEN n_nationkey % 7 = 6 THEN 'Published Datasource' WHEN n_nationkey % 3 = 0 THEN 'Extract' ELSE 'Live' END"
 MARK = "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Bar' WHEN 'BUILDING' THEN 'Line' WHEN 'FURNITURE' THEN 'Text' WHEN 'HOUSEHOLD' THEN 'Circle' ELSE 'Automatic' END"
 FORMULA = (
     "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'SUM([Sales]) / TOTAL(SUM([Sales]))' WHEN 'BUILDING' THEN 'RUNNING_SUM(SUM([Sales]))' "
@@ -66,8 +68,7 @@ def _q(qid, fn, select_sql):
 _q(
     "ex01_datasource_kind",
     lambda p: X.datasource_kind(p),
-    "SELECT path, n_name AS datasource_name, CASE WHEN n_nationkey % 3 = 0 THEN 'Extract' ELSE 'Live' END AS ds_type, "
-    "CASE WHEN n_nationkey % 3 = 0 THEN 'Extract' ELSE 'Live' END AS proposed_value FROM docs",
+    f"SELECT path, n_name AS datasource_name, {KIND_SQL} AS ds_type, {KIND_SQL} AS proposed_value FROM docs",
 )
 _q(
     "ex02_connectors",
@@ -83,7 +84,8 @@ _q(
 _q(
     "ex04_tables",
     lambda p: X.tables(p),
-    "SELECT path, n_name AS datasource_name, 'DB.' || r_name || '.' || n_name AS table_name, 'conn_' || lower(n_name) AS connection_name FROM docs",
+    "SELECT path, n_name AS datasource_name, CASE WHEN n_nationkey % 7 = 6 THEN 'pub_' || lower(n_name) ELSE 'DB.' || r_name || '.' || n_name END AS table_name, "
+    "'conn_' || lower(n_name) AS connection_name FROM docs",
 )
 _q(
     "ex06_custom_sql",
@@ -117,6 +119,12 @@ _q(
     "UNION ALL SELECT path, worksheet_name, 'rows', 1, 'none:C_NAME:nk' FROM segs "
     "UNION ALL SELECT path, worksheet_name, 'cols', 0, 'sum:C_ACCTBAL:qk' FROM segs",
 )
+_q(
+    "ex16_worksheet_filters",
+    lambda p: X.worksheet_filters(p),
+    "SELECT path, worksheet_name, 'Filter_1' AS filter_name, n_name AS datasource_name, 'C_MKTSEGMENT' AS column, 'categorical' AS filter_class, "
+    "'except' AS function, 'general' AS filter_kind, c_mktsegment AS member, 'exclusive' AS enumeration FROM segs",
+)
 _q("ex14_chart_datasources", lambda p: X.chart_datasources(p), "SELECT path, worksheet_name, n_name AS datasource_name FROM segs")
 
 _FILTERS = """fl AS (

@@ -197,7 +197,11 @@ def workbook_corpus(spark: SparkSession, sf_dir: str, bucket_size: int = BUCKET_
             F.col("n_name"),
             F.lit("' name='federated."),
             F.lower("n_name"),
-            F.lit("'/></datasources></view><panes><pane><mark class='"),
+            F.lit("'/></datasources><filter class='categorical' column='[federated."),
+            F.lower("n_name"),
+            F.lit("].[C_MKTSEGMENT]'><groupfilter function='except' level='[C_MKTSEGMENT]' member='"),
+            F.col("c_mktsegment"),
+            F.lit("' user:ui-enumeration='exclusive'/></filter></view><panes><pane><mark class='"),
             _map(SEGMENT_MARKS, F.col("c_mktsegment")),
             F.lit("'/><encodings><color column='[federated."),
             F.lower("n_name"),
@@ -285,7 +289,11 @@ def workbook_corpus(spark: SparkSession, sf_dir: str, bucket_size: int = BUCKET_
         F.col("n_name"),
         F.lit("' name='federated."),
         F.lower("n_name"),
-        F.lit("'><connection class='federated'><named-connections><named-connection caption='host' name='"),
+        F.lit("'><connection class='"),
+        F.when(F.col("n_nationkey") % 7 == 6, F.lit("sqlproxy")).otherwise(F.lit("federated")),
+        F.lit("' dbname='pub_"),
+        F.lower("n_name"),
+        F.lit("'><named-connections><named-connection caption='host' name='"),
         conn,
         F.lit("'><connection class='"),
         F.lower("connector"),
