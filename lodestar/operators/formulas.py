@@ -98,13 +98,16 @@ def dependency_depth(calcs: DataFrame, keys=("path",), max_depth: int = 32) -> D
     edges = field_usage(calcs, (*keys, "name")).withColumnRenamed("field", "callee").join(names, [*keys, "callee"], "inner")
     edges = edges.select(*keys, F.regexp_replace("name", r"^\[|\]$", "").alias("caller"), "callee")
     depth = calcs.select(*keys, F.regexp_replace("name", r"^\[|\]$", "").alias("caller")).distinct().withColumn("depth", F.lit(0))
+    from lodestar.session import checkpoint_dir
+
+    checkpoint_dir(calcs.sparkSession)
     for _ in range(max_depth):
         nxt = (
             edges.join(depth.withColumnRenamed("caller", "callee").withColumnRenamed("depth", "d"), [*keys, "callee"])
             .groupBy(*keys, "caller")
             .agg((F.max("d") + 1).alias("d1"))
         )
-        new = depth.join(nxt, [*keys, "caller"], "left").select(*keys, "caller", F.greatest("depth", F.coalesce("d1", F.lit(0))).alias("depth"))
+        new = depth.join(nxt, [*keys, "caller"], "left").select(*keys, "caller", F.greatest("depth", F.coalesce("d1", F.lit(0))).alias("depth")).checkpoint()
         changed = new.join(depth.withColumnRenamed("depth", "old"), [*keys, "caller"]).filter(F.col("depth") != F.col("old")).limit(1).count()
         depth = new
         if changed == 0:

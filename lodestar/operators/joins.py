@@ -227,6 +227,8 @@ def edges_of_component(edges: DataFrame, components: DataFrame, src: str = "src"
 
 
 def first_wins(df: DataFrame, partition_cols, order_col: str, name_col: str | None = None) -> DataFrame:
-    """P-06: keep the first row per name (stable order column)."""
-    w = Window.partitionBy(*partition_cols).orderBy(F.col(order_col).asc_nulls_last())
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    """P-06: keep the first row per name (smallest ``order_col``).  ``min_by``
+    over the row aggregates map-side, so a hot name is reduced per task."""
+    from lodestar.operators.grouping import distinct_on
+
+    return distinct_on(df, list(partition_cols), order_col).select(*df.columns)

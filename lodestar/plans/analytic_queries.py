@@ -101,16 +101,17 @@ add(
 
 
 def _g04(spark, sf_dir):
-    n = Tables(spark, sf_dir).nation
-    out = G.nested(n, "n_regionkey", ["n_name"], sort_by="n_nationkey")
-    return out.select("n_regionkey", F.to_json("items").alias("doc"))
+    # one nested document per nation: the customer segments present (bounded list)
+    c = Tables(spark, sf_dir).customer.select("c_nationkey", "c_mktsegment").distinct()
+    out = G.nested(c, "c_nationkey", ["c_mktsegment"])
+    return out.select("c_nationkey", F.to_json("items").alias("doc"))
 
 
 add(
     "g04_nested_grouping",
     _g04,
-    "SELECT n_regionkey, CAST(to_json(list({'n_nationkey': n_nationkey, 'n_name': n_name} ORDER BY n_nationkey)) AS VARCHAR) AS doc "
-    "FROM nation GROUP BY n_regionkey",
+    "SELECT c_nationkey, CAST(to_json(list({'c_mktsegment': c_mktsegment} ORDER BY c_mktsegment)) AS VARCHAR) AS doc "
+    "FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer) GROUP BY c_nationkey",
 )
 
 
@@ -678,17 +679,17 @@ def _j11(spark, sf_dir):
     from lodestar.sources.mappings import joins_map
 
     t = Tables(spark, sf_dir)
-    kinds = F.element_at(F.array(*[F.lit(k) for k in ("inner", "left", "right", "full")]), (F.col("n_nationkey") % 4 + 1).cast("int"))
-    n = t.nation.select("n_nationkey", kinds.alias("join_kind"))
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("inner", "left", "right", "full")]), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    s = t.supplier.select("s_suppkey", kinds.alias("join_kind"))
     m = joins_map(spark).select(F.col("workbook_join").alias("join_kind"), "target_join")
-    return J.lookup_join(n, m, "join_kind").select("n_nationkey", "join_kind", "target_join")
+    return J.lookup_join(s, m, "join_kind").select("s_suppkey", "join_kind", "target_join")
 
 
 add(
     "j11_lookup_join",
     _j11,
-    "SELECT n_nationkey, k AS join_kind, CASE k WHEN 'inner' THEN 'INNER' WHEN 'left' THEN 'LEFT_OUTER' WHEN 'right' THEN 'RIGHT_OUTER' ELSE 'OUTER' END AS target_join "
-    "FROM (SELECT n_nationkey, ['inner', 'left', 'right', 'full'][n_nationkey % 4 + 1] AS k FROM nation)",
+    "SELECT s_suppkey, k AS join_kind, CASE k WHEN 'inner' THEN 'INNER' WHEN 'left' THEN 'LEFT_OUTER' WHEN 'right' THEN 'RIGHT_OUTER' ELSE 'OUTER' END AS target_join "
+    "FROM (SELECT s_suppkey, ['inner', 'left', 'right', 'full'][s_suppkey % 4 + 1] AS k FROM supplier)",
 )
 
 

@@ -56,15 +56,14 @@ add("io05_dump_append_idempotent", _io05, with_warehouse("SELECT exec_id, object
 
 def _io06(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    part = t.nation.select("n_nationkey", "n_name", "n_regionkey")
+    rows = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
     path = S.scratch_dir(spark, "csv")
-    S.append_csv(part.filter(F.col("n_regionkey") < 3), path)
-    S.append_csv(part.filter(F.col("n_regionkey") >= 3), path)
-    back = spark.read.option("header", True).schema("n_nationkey int, n_name string, n_regionkey int").csv(path)
-    return back
+    S.append_csv(rows.filter(F.col("s_nationkey") < 12), path)  # first run writes the header + rows
+    S.append_csv(rows.filter(F.col("s_nationkey") >= 12), path)  # second run appends
+    return spark.read.option("header", True).schema("s_suppkey bigint, s_name string, s_nationkey int").csv(path)
 
 
-add("io06_combined_csv_append", _io06, "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+add("io06_combined_csv_append", _io06, "SELECT s_suppkey, s_name, s_nationkey FROM supplier")
 
 
 def _io07(spark, sf_dir):
