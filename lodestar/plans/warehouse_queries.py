@@ -82,3 +82,29 @@ for _t, _pk, _fks in W.KEYS:
             f"WHERE {_col} IS NOT NULL AND {_col} NOT IN (SELECT {_pkey} FROM {WH_CTE[_parent]} WHERE {_pkey} IS NOT NULL)"
         )
 add("wh20_key_integrity", _integrity, with_warehouse("\nUNION ALL\n".join(_KI)))
+
+
+def _wh21(spark, sf_dir):
+    """WH-21: load order + idempotent write (dynamic overwrite by exec_id),
+    written twice and read back; counts per table and run."""
+    from lodestar.sources.sinks import scratch_dir
+
+    w = {k: v for k, v in materialized_warehouse(spark, sf_dir).items() if k != "raw_data_dump"}
+    path = scratch_dir(spark, "warehouse")
+    W.write_run(w, path)
+    W.write_run(w, path)  # re-loading the same runs replaces their partitions
+    parts = []
+    for name in w:
+        back = spark.read.parquet(f"{path}/{name}")
+        parts.append(back.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+add(
+    "wh21_load_and_write",
+    _wh21,
+    with_warehouse("\nUNION ALL\n".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {c}" for t, c in WH_CTE.items())),
+)

@@ -64,3 +64,21 @@ def test_formula_corpus(spark):
     assert depth == {"Calculation_1": 0, "Calculation_2": 1, "Calculation_3": 2}
     renamed = calcs.select(FC.rename_functions(F.lit("CEILING(AVG([x]))")).alias("f")).first().f
     assert renamed == "ceil(average([x]))"
+
+
+def test_mapping_folder_and_fixed_tables(spark, tmp_path):
+    from lodestar.sources import mappings as M
+
+    (tmp_path / "joins.csv").write_text(M.JOINS_CSV)
+    (tmp_path / "datatype.csv").write_text(M.DATATYPE_CSV)
+    frames = M.load_mapping_folder(spark, str(tmp_path))
+    assert set(frames) == {"joins", "datatype"}
+    assert frames["joins"].count() == 4 and M.connectors_map(spark).count() == 88
+
+
+def test_member_range_and_field_rewrite(spark):
+    from lodestar.operators.projections import field_rewrite
+
+    df = spark.createDataFrame([("3", "6", "SUM([Sales]) + [Profit]")], "a string, b string, f string")
+    r = df.select(X.expand_member_range(F.col("a"), F.col("b")).alias("m"), field_rewrite(F.col("f"), {"Sales": "ORDERS::SALES"}).alias("g")).first()
+    assert r.m == [3, 4, 5, 6] and r.g == "SUM([ORDERS::SALES]) + [Profit]"
