@@ -122,3 +122,30 @@ def convertible_share(verdicts: DataFrame, key: str = "path") -> DataFrame:
         F.count(F.when(F.col("verdict") == "Full", 1)).alias("convertible"),
         F.round(F.count(F.when(F.col("verdict") == "Full", 1)) / F.count(F.lit(1)), 6).alias("share"),
     )
+
+
+def rewrite_fields(calcs: DataFrame, columns: DataFrame, kind: DataFrame, keys=("path", "datasource_name")) -> DataFrame:
+    """P-03 rewrite ``[local]`` references: Live -> ``[table::column]``,
+    Extract -> ``[remote]``.
+
+    ``columns`` = (keys…, local_column_name, remote_column_name, table_name);
+    ``kind`` = (keys…, ds_type).  The local -> target map is built per
+    datasource (bounded by its column count) and applied to the ``[...]``
+    tokens of each formula with a higher-order ``aggregate``."""
+    target = F.when(F.col("ds_type") == "Extract", F.col("remote_column_name")).otherwise(F.concat_ws("::", "table_name", "local_column_name"))
+    m = (
+        columns.join(kind, list(keys))
+        .groupBy(*keys)
+        .agg(F.map_from_entries(F.collect_list(F.struct("local_column_name", target.alias("t")))).alias("fields"))
+    )
+    j = calcs.join(m, list(keys), "left")
+    tokens = F.array_distinct(F.regexp_extract_all(F.col("formula"), F.lit(FIELD_PATTERN), 1))
+    rewritten = F.aggregate(
+        tokens,
+        F.col("formula"),
+        lambda acc, tok: F.when(
+            F.element_at(F.col("fields"), tok).isNotNull(),
+            F.replace(acc, F.concat(F.lit("["), tok, F.lit("]")), F.concat(F.lit("["), F.element_at(F.col("fields"), tok), F.lit("]"))),
+        ).otherwise(acc),
+    )
+    return j.withColumn("formula", F.when(F.col("fields").isNull(), F.col("formula")).otherwise(rewritten)).drop("fields")

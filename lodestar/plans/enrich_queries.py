@@ -235,3 +235,17 @@ _fc(
     f"FROM (SELECT DISTINCT path, name FROM calcs) c LEFT JOIN {FUNCS_SQL} u ON u.path = c.path AND u.name = c.name "
     "LEFT JOIN sup_t s ON s.function = u.function GROUP BY c.path, c.name) GROUP BY path",
 )
+
+
+def _p03(p):
+    cols = X.columns(p)
+    calcs = cols.select("path", "datasource_name", F.concat(F.lit("SUM(["), F.col("local_column_name"), F.lit("]) / 2")).alias("formula"), "local_column_name")
+    out = FC.rewrite_fields(calcs, cols.drop("data_type"), X.datasource_kind(p).select("path", "datasource_name", "ds_type"))
+    return out.select("path", "local_column_name", "formula")
+
+
+_q(
+    "p03_field_rewrite",
+    _p03,
+    f"SELECT path, s_name AS local_column_name, 'SUM([' || CASE WHEN {KIND_SQL} = 'Extract' THEN upper(s_name) ELSE n_name || '::' || s_name END || ']) / 2' AS formula FROM sup",
+)
