@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 _CHANNELS = ["color", "size", "text", "tooltip", "lod", "shape", "path", "angle", "geometry"]
 _CH = ", ".join(f"{c}: ARRAY<STRUCT<_column: STRING>>" for c in _CHANNELS)
+_GF_FIELDS = ["_function", "_level", "_member", "_from", "_to", "_end", "_count", "_expression", "_user:ui-enumeration", "_user:ui-pattern_type", "_user:ui-pattern_text"]
+_GF_LEAF = ", ".join(f"`{f}`: STRING" for f in _GF_FIELDS)
 
 WORKBOOK_SCHEMA = (
     "datasources STRUCT<datasource: ARRAY<STRUCT<"
@@ -29,13 +31,12 @@ WORKBOOK_SCHEMA = (
     "column: ARRAY<STRUCT<_caption: STRING, _name: STRING, _datatype: STRING, _role: STRING, `_param-domain-type`: STRING, calculation: STRUCT<_class: STRING, _formula: STRING>>>, "
     "filter: ARRAY<STRUCT<_class: STRING, _column: STRING, `_included-values`: STRING, `_first-period`: STRING, `_last-period`: STRING, `_period-type`: STRING, "
     "`_include-null`: STRING, `_include-future`: STRING, `_anchor-date`: STRING, min: STRING, max: STRING, "
-    "groupfilter: STRUCT<_function: STRING, _level: STRING, _member: STRING, _from: STRING, _to: STRING, _end: STRING, _count: STRING, "
-    "`_user:ui-enumeration`: STRING, `_user:ui-pattern_type`: STRING>>>"
+    f"groupfilter: STRUCT<{_GF_LEAF}, groupfilter: ARRAY<STRUCT<{_GF_LEAF}>>>>>"
     ">>>, "
     "worksheets STRUCT<worksheet: ARRAY<STRUCT<_name: STRING, table: STRUCT<"
     "view: STRUCT<datasources: STRUCT<datasource: ARRAY<STRUCT<_caption: STRING, _name: STRING>>>, "
     "filter: ARRAY<STRUCT<_class: STRING, _column: STRING, min: STRING, max: STRING, "
-    "groupfilter: STRUCT<_function: STRING, _level: STRING, _member: STRING, `_user:ui-enumeration`: STRING>>>>, "
+    f"groupfilter: STRUCT<{_GF_LEAF}, groupfilter: ARRAY<STRUCT<{_GF_LEAF}>>>>>>, "
     f"panes: STRUCT<pane: ARRAY<STRUCT<mark: STRUCT<_class: STRING>, encodings: STRUCT<{_CH}>>>>, "
     "rows: STRING, cols: STRING>>>>, "
     "dashboards STRUCT<dashboard: ARRAY<STRUCT<_name: STRING, "
@@ -189,6 +190,53 @@ def chart_datasources(parsed: DataFrame) -> DataFrame:
     return d.select("path", "worksheet_name", F.col("d._caption").alias("datasource_name"))
 
 
+def group_filter_semantics(gf: Column) -> dict[str, Column]:
+    """EX-17 over a group filter and its child group filters (parent first,
+    then children in document order), evaluated per row with higher-order
+    functions (no shuffle):
+
+    * kind: ``end`` -> top; ``filter`` with a pattern -> wildcard; ``filter``
+      without -> condition; anything else -> general;
+    * enumeration: the last one set by union/except/member/empty-level; an
+      ``except`` without an enumeration over an exclusive selection flips it
+      to inclusive ("except everything but …");
+    * members: member values plus ``range from..to`` expanded (EX-18).
+    """
+    parent = F.struct(*[gf[f].alias(f) for f in _GF_FIELDS])
+    gfs = F.filter(F.concat(F.array(parent), F.coalesce(gf["groupfilter"], F.array().cast(f"array<struct<{_GF_LEAF}>>"))), lambda g: g["_function"].isNotNull())
+    fn = lambda g: g["_function"]
+    en = lambda g: g["_user:ui-enumeration"]
+    has_pattern = lambda g: g["_user:ui-pattern_type"].isNotNull() | g["_user:ui-pattern_text"].isNotNull()
+    kind = (
+        F.when(F.exists(gfs, lambda g: fn(g) == "end"), F.lit("top"))
+        .when(F.exists(gfs, lambda g: (fn(g) == "filter") & has_pattern(g)), F.lit("wildcard"))
+        .when(F.exists(gfs, lambda g: fn(g) == "filter"), F.lit("condition"))
+        .when(F.size(gfs) > 0, F.lit("general"))
+    )
+
+    def set_enum(g):
+        return (
+            F.when((fn(g) == "union") & (en(g) == "inclusive"), F.lit("inclusive"))
+            .when((fn(g) == "except") & en(g).isin("inclusive", "exclusive"), F.lit("exclusive"))
+            .when((fn(g) == "member") & en(g).isin("inclusive", "exclusive"), en(g))
+            .when(fn(g) == "empty-level", en(g))
+        )
+
+    enums = F.filter(F.transform(gfs, set_enum), lambda e: e.isNotNull())
+    last_enum = F.try_element_at(enums, F.lit(-1))
+    except_all = F.exists(gfs, lambda g: (fn(g) == "except") & (en(g).isNull() | ~en(g).isin("inclusive", "exclusive")))
+    enumeration = F.when(except_all & (last_enum == "exclusive"), F.lit("inclusive")).otherwise(last_enum)
+    members = F.flatten(
+        F.transform(
+            gfs,
+            lambda g: F.when(fn(g) == "member", F.array(g["_member"]))
+            .when(fn(g) == "range", F.transform(F.sequence(g["_from"].cast("int"), g["_to"].cast("int")), lambda i: i.cast("string")))
+            .otherwise(F.array().cast("array<string>")),
+        )
+    )
+    return {"function": gf["_function"], "filter_kind": kind, "enumeration": enumeration, "members": members}
+
+
 def classify_filter(function: Column, enumeration: Column) -> Column:
     """EX-17 function code -> general / wildcard / top / condition."""
     return (
@@ -218,16 +266,17 @@ def datasource_filters(parsed: DataFrame, as_of=None) -> DataFrame:
     ds = datasources(parsed)
     f = ds.select("path", F.col("ds._caption").alias("datasource_name"), F.posexplode("ds.filter").alias("pos", "f"))
     w = Window.partitionBy("path", "datasource_name").orderBy("pos")
+    gs = group_filter_semantics(F.col("f.groupfilter"))
     return f.select(
         "path",
         "datasource_name",
         F.concat(F.lit("Filter_"), F.row_number().over(w).cast("string")).alias("filter_name"),
         F.col("f._class").alias("filter_class"),
         F.regexp_replace(F.col("f._column"), r"^\[|\]$", "").alias("column"),
-        F.col("f.groupfilter._function").alias("function"),
-        classify_filter(F.col("f.groupfilter._function"), F.col("f.groupfilter.`_user:ui-enumeration`")).alias("filter_kind"),
-        F.col("f.groupfilter._member").alias("member"),
-        F.col("f.groupfilter.`_user:ui-enumeration`").alias("enumeration"),
+        gs["function"].alias("function"),
+        gs["filter_kind"].alias("filter_kind"),
+        F.when(F.size(gs["members"]) > 0, F.array_join(gs["members"], ",")).alias("member"),
+        gs["enumeration"].alias("enumeration"),
         F.col("f.min").alias("min"),
         F.col("f.max").alias("max"),
         F.when(F.col("f._class") == "quantitative", quantitative_kind(F.col("f.min"), F.col("f.max"))).alias("range_kind"),
@@ -250,6 +299,7 @@ def worksheet_filters(parsed: DataFrame) -> DataFrame:
     ds_name = F.element_at(parts, 1)
     caption = F.element_at(F.filter(F.col("datasource"), lambda d: d["_name"] == ds_name), 1)["_caption"]
     w = Window.partitionBy("path", "worksheet_name").orderBy("pos")
+    gs = group_filter_semantics(F.col("f.groupfilter"))
     return f.select(
         "path",
         "worksheet_name",
@@ -257,10 +307,10 @@ def worksheet_filters(parsed: DataFrame) -> DataFrame:
         caption.alias("datasource_name"),
         F.element_at(parts, -1).alias("column"),
         F.col("f._class").alias("filter_class"),
-        F.col("f.groupfilter._function").alias("function"),
-        classify_filter(F.col("f.groupfilter._function"), F.col("f.groupfilter.`_user:ui-enumeration`")).alias("filter_kind"),
-        F.col("f.groupfilter._member").alias("member"),
-        F.col("f.groupfilter.`_user:ui-enumeration`").alias("enumeration"),
+        gs["function"].alias("function"),
+        gs["filter_kind"].alias("filter_kind"),
+        F.when(F.size(gs["members"]) > 0, F.array_join(gs["members"], ",")).alias("member"),
+        gs["enumeration"].alias("enumeration"),
     )
 
 

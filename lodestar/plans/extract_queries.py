@@ -123,7 +123,7 @@ _q(
     "ex16_worksheet_filters",
     lambda p: X.worksheet_filters(p),
     "SELECT path, worksheet_name, 'Filter_1' AS filter_name, n_name AS datasource_name, 'C_MKTSEGMENT' AS column, 'categorical' AS filter_class, "
-    "'except' AS function, 'general' AS filter_kind, c_mktsegment AS member, 'exclusive' AS enumeration FROM segs",
+    "'member' AS function, 'general' AS filter_kind, c_mktsegment AS member, 'exclusive' AS enumeration FROM segs",
 )
 _q("ex14_chart_datasources", lambda p: X.chart_datasources(p), "SELECT path, worksheet_name, n_name AS datasource_name FROM segs")
 
@@ -155,7 +155,7 @@ _fq(
 _fq(
     "ex17_filter_classifier",
     ["path", "filter_name", "function", "filter_kind"],
-    "SELECT path, 'Filter_' || CAST(k AS VARCHAR) AS filter_name, CASE WHEN cls = 'categorical' THEN 'member' END AS function, "
+    "SELECT path, 'Filter_' || CAST(k AS VARCHAR) AS filter_name, CASE WHEN cls = 'categorical' THEN CASE WHEN dg % 2 = 0 THEN 'except' ELSE 'member' END END AS function, "
     "CASE WHEN cls = 'categorical' THEN 'general' END AS filter_kind FROM fl",
 )
 _fq(

@@ -158,10 +158,20 @@ def workbook_corpus(spark: SparkSession, sf_dir: str, bucket_size: int = BUCKET_
         "o_orderpriority",
         F.when(
             fclass == "categorical",
-            F.concat(
-                F.lit("<filter class='categorical' column='[O_ORDERPRIORITY]'><groupfilter function='member' level='[O_ORDERPRIORITY]' member='"),
-                F.col("o_orderpriority"),
-                F.lit("' user:ui-enumeration='inclusive'/></filter>"),
+            F.when(
+                digit % 2 == 0,  # "except everything but P": nested, flips to inclusive (EX-17)
+                F.concat(
+                    F.lit("<filter class='categorical' column='[O_ORDERPRIORITY]'><groupfilter function='except' level='[O_ORDERPRIORITY]'>"),
+                    F.lit("<groupfilter function='level-members' level='[O_ORDERPRIORITY]'/><groupfilter function='member' level='[O_ORDERPRIORITY]' member='"),
+                    F.col("o_orderpriority"),
+                    F.lit("' user:ui-enumeration='exclusive'/></groupfilter></filter>"),
+                ),
+            ).otherwise(
+                F.concat(
+                    F.lit("<filter class='categorical' column='[O_ORDERPRIORITY]'><groupfilter function='member' level='[O_ORDERPRIORITY]' member='"),
+                    F.col("o_orderpriority"),
+                    F.lit("' user:ui-enumeration='inclusive'/></filter>"),
+                )
             ),
         )
         .when(
@@ -199,7 +209,7 @@ def workbook_corpus(spark: SparkSession, sf_dir: str, bucket_size: int = BUCKET_
             F.lower("n_name"),
             F.lit("'/></datasources><filter class='categorical' column='[federated."),
             F.lower("n_name"),
-            F.lit("].[C_MKTSEGMENT]'><groupfilter function='except' level='[C_MKTSEGMENT]' member='"),
+            F.lit("].[C_MKTSEGMENT]'><groupfilter function='member' level='[C_MKTSEGMENT]' member='"),
             F.col("c_mktsegment"),
             F.lit("' user:ui-enumeration='exclusive'/></filter></view><panes><pane><mark class='"),
             _map(SEGMENT_MARKS, F.col("c_mktsegment")),

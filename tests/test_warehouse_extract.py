@@ -82,3 +82,22 @@ def test_member_range_and_field_rewrite(spark):
     df = spark.createDataFrame([("3", "6", "SUM([Sales]) + [Profit]")], "a string, b string, f string")
     r = df.select(X.expand_member_range(F.col("a"), F.col("b")).alias("m"), field_rewrite(F.col("f"), {"Sales": "ORDERS::SALES"}).alias("g")).first()
     assert r.m == [3, 4, 5, 6] and r.g == "SUM([ORDERS::SALES]) + [Profit]"
+
+
+def test_group_filter_classifier(spark):
+    flt = (
+        "<filter class='categorical' column='[A]'><groupfilter function='except' level='[A]'><groupfilter function='level-members' level='[A]'/>"
+        "<groupfilter function='member' member='x' user:ui-enumeration='exclusive'/></groupfilter></filter>"
+        "<filter class='categorical' column='[B]'><groupfilter function='range' from='2' to='4' user:ui-enumeration='inclusive'/></filter>"
+        "<filter class='categorical' column='[C]'><groupfilter function='end' count='5' end='top'><groupfilter function='order' direction='DESC'/></groupfilter></filter>"
+        "<filter class='categorical' column='[D]'><groupfilter function='filter' expression='x' user:ui-pattern_type='contains' user:ui-pattern_text='ab'/></filter>"
+        "<filter class='categorical' column='[E]'><groupfilter function='filter' expression='SUM([x]) &gt; 1'/></filter>"
+        "<filter class='categorical' column='[F]'><groupfilter function='except' user:ui-enumeration='inclusive'><groupfilter function='member' member='y'/></groupfilter></filter>"
+    )
+    xml = f"<workbook><datasources><datasource caption='d' name='n'><connection class='federated'/>{flt}</datasource></datasources></workbook>"
+    docs = spark.createDataFrame([("w.twb", xml)], "path string, content string")
+    got = {r.column: (r.filter_kind, r.enumeration, r.member) for r in X.datasource_filters(X.parse(docs)).collect()}
+    assert got["A"] == ("general", "inclusive", "x")  # except-everything-but flips to inclusive
+    assert got["B"] == ("general", None, "2,3,4")  # EX-18 range expansion
+    assert got["C"][0] == "top" and got["D"][0] == "wildcard" and got["E"][0] == "condition"
+    assert got["F"] == ("general", "exclusive", "y")
