@@ -152,8 +152,8 @@ def run_stamp(df: DataFrame, mode: str, start, end, status: str = "Success") ->
 
 
 def target_label(ds_type: Column) -> Column:
-    """MP-12 extract -> Mode Dataset, else Thoughtspot table."""
-    return F.when(ds_type == "Extract", F.lit("Mode Dataset")).otherwise(F.lit("Thoughtspot table"))
+    """MP-12 extract -> dataset label, else table label (fixed values in mappings)."""
+    return F.when(ds_type == "Extract", F.lit(M.TARGET_EXTRACT)).otherwise(F.lit(M.TARGET_TABLE))
 
 
 def output_stamp(dump: DataFrame, outputs: DataFrame, match=("twb_file_name", "datasource_name"), order_col: str = "row_pos") -> DataFrame:

@@ -11,6 +11,7 @@ from lodestar.operators import formulas as FC
 from lodestar.plans.extract_queries import CALC_ID, DOCS, FORMULA, KIND_SQL, parsed_corpus
 from lodestar.plans.registry import add
 from lodestar.plans.warehouse_sql import with_warehouse
+from lodestar.sources import mappings as M
 from lodestar.sources.dump_fixture import materialized_warehouse
 
 
@@ -129,7 +130,7 @@ _q(
 _q(
     "mp12_target_label",
     lambda p: X.datasource_kind(p).select("path", "datasource_name", E.target_label(F.col("ds_type")).alias("conversion_in_ts")),
-    f"SELECT path, n_name AS datasource_name, CASE WHEN {KIND_SQL} = 'Extract' THEN 'Mode Dataset' ELSE 'Thoughtspot table' END AS conversion_in_ts FROM docs",
+    f"SELECT path, n_name AS datasource_name, CASE WHEN {KIND_SQL} = 'Extract' THEN '{M.TARGET_EXTRACT}' ELSE '{M.TARGET_TABLE}' END AS conversion_in_ts FROM docs",
 )
 
 

@@ -4,6 +4,8 @@ Independent SQL statement of the same rules as ``dump_fixture.derive_dump``
 and ``warehouse.load``; used only by ``oracle_sql()``.
 """
 
+from lodestar.sources.mappings import TARGET_EXTRACT, TARGET_TABLE
+
 DUMP_CTES = r"""
 nat AS (
   SELECT r_name, n_name, n_nationkey, r_name || '.twb' AS twb_file_name,
@@ -54,12 +56,12 @@ base AS (
   SELECT r_name, twb_file_name, 'table' AS object_type, n_name AS datasource_name, '[DB].[' || r_name || '].[' || n_name || ']' AS table_name,
          'connection tag' AS property_type, '<connection class="' || lower(connector) || '"/>' AS property_value,
          'table tml' AS output_file_type, lower(n_name) || '.table.tml' AS output_file_name,
-         CASE WHEN ds_type = 'Extract' THEN 'Mode Dataset' ELSE 'Thoughtspot table' END AS conversion_in_ts
+         CASE WHEN ds_type = 'Extract' THEN '@EXTRACT@' ELSE '@TABLE@' END AS conversion_in_ts
   FROM nat
   UNION ALL BY NAME
   SELECT r_name, twb_file_name, 'custom sql query' AS object_type, n_name AS datasource_name, 'Custom_SQL_' || n_name AS table_name,
          'text' AS property_type, 'query' AS property_name, 'SELECT * FROM ' || n_name AS property_value,
-         'sql view tml' AS output_file_type, lower(n_name) || '_custom.sql.tml' AS output_file_name, 'Thoughtspot table' AS conversion_in_ts
+         'sql view tml' AS output_file_type, lower(n_name) || '_custom.sql.tml' AS output_file_name, '@TABLE@' AS conversion_in_ts
   FROM nat WHERE n_nationkey % 5 = 0
   UNION ALL BY NAME
   SELECT r_name, twb_file_name, 'custom sql query' AS object_type, n_name AS datasource_name, 'Custom_SQL_' || n_name AS table_name,
@@ -127,6 +129,8 @@ raw_data_dump AS (
   FROM runs)
 """
 
+DUMP_CTES = DUMP_CTES.replace("@EXTRACT@", TARGET_EXTRACT).replace("@TABLE@", TARGET_TABLE)
+
 WAREHOUSE_CTES = r"""
 meh AS (SELECT DISTINCT exec_id, exec_mode, exec_start_time, exec_end_time, exec_status, twb_file_name, CAST(NULL AS VARCHAR) AS exec_error_details
         FROM raw_data_dump WHERE exec_mode IS NOT NULL),

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.plans.warehouse import DUMP_COLUMNS, conform_dump
-from lodestar.sources.mappings import chart_map, connectors_map, datatype_map, joins_map
+from lodestar.sources.mappings import TARGET_EXTRACT, TARGET_TABLE, chart_map, connectors_map, datatype_map, joins_map
 from lodestar.sources.tables import Tables
 
 # Fixed values of the fixture.
@@ -142,7 +142,7 @@ def derive_dump(spark, sf_dir: str) -> DataFrame:
             F.concat(F.lit('<connection class="'), F.lower("connector"), F.lit('"/>')).alias("property_value"),
             F.lit("table tml").alias("output_file_type"),
             F.concat(F.lower("n_name"), F.lit(".table.tml")).alias("output_file_name"),
-            F.when(F.col("ds_type") == "Extract", F.lit("Mode Dataset")).otherwise(F.lit("Thoughtspot table")).alias("conversion_in_ts"),
+            F.when(F.col("ds_type") == "Extract", F.lit(TARGET_EXTRACT)).otherwise(F.lit(TARGET_TABLE)).alias("conversion_in_ts"),
         )
     )
     # custom SQL (EX-06) for nations whose key is a multiple of 5
@@ -160,7 +160,7 @@ def derive_dump(spark, sf_dir: str) -> DataFrame:
             F.concat(F.lit("SELECT * FROM "), F.col("n_name")).alias("property_value"),
             F.lit("sql view tml").alias("output_file_type"),
             F.concat(F.lower("n_name"), F.lit("_custom.sql.tml")).alias("output_file_name"),
-            F.lit("Thoughtspot table").alias("conversion_in_ts"),
+            F.lit(TARGET_TABLE).alias("conversion_in_ts"),
         )
     )
     rows.append(

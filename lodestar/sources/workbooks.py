@@ -134,7 +134,7 @@ def workbook_corpus(spark: SparkSession, sf_dir: str, bucket_size: int = BUCKET_
             F.col("c_mktsegment"),
             F.lit("' datatype='real' name='"),
             calc_id,
-            F.lit("' role='measure'><calculation class='tableau' formula=\""),
+            F.lit("' role='measure'><calculation class='formula' formula=\""),
             _map(SEGMENT_FORMULAS, F.col("c_mktsegment")),
             F.lit("\"/></column><column caption='Ratio "),
             F.col("c_mktsegment"),
@@ -142,7 +142,7 @@ def workbook_corpus(spark: SparkSession, sf_dir: str, bucket_size: int = BUCKET_
             F.col("c_nationkey").cast("string"),
             F.lit("_"),
             seg3,
-            F.lit("_R]' role='measure'><calculation class='tableau' formula='"),
+            F.lit("_R]' role='measure'><calculation class='formula' formula='"),
             calc_id,
             F.lit(" / 100'/></column>"),
         ).alias("x"),

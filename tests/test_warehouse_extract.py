@@ -69,8 +69,8 @@ def test_formula_corpus(spark):
 def test_mapping_folder_and_fixed_tables(spark, tmp_path):
     from lodestar.sources import mappings as M
 
-    (tmp_path / "joins.csv").write_text(M.JOINS_CSV)
-    (tmp_path / "datatype.csv").write_text(M.DATATYPE_CSV)
+    (tmp_path / "joins.csv").write_text("workbook_join,target_join,live,extract,migrator\n" + M.JOINS_CSV)
+    (tmp_path / "datatype.csv").write_text("a,b,c,d,e,f,g,h,i,j\n" + M.DATATYPE_CSV)
     frames = M.load_mapping_folder(spark, str(tmp_path))
     assert set(frames) == {"joins", "datatype"}
     assert frames["joins"].count() == 4 and M.connectors_map(spark).count() == 88
