@@ -23,3 +23,19 @@ for _tile in TILES:
         return run_tile(views_for(spark, sf_dir), _tile)
 
     add(f"{_tile.rid}_{_tile.slug}", _fn, with_warehouse(",\n" + MODEL_SQL.strip() + "\n" + tile_sql(_tile)).replace("\n,\n", ",\n", 1))
+
+
+# FX-13: the report parameter selects the run; the same tile for the second run
+_RUN2 = "md5('run2')"
+_by_name = {t.rid: t for t in TILES}
+for _rid in ("r05", "r39", "r52"):
+    _tile = _by_name[_rid]
+
+    def _fn2(spark, sf_dir, _tile=_tile):
+        return run_tile(views_for(spark, sf_dir), _tile, _RUN2)
+
+    add(
+        f"fx13_run2_{_tile.rid}_{_tile.slug}",
+        _fn2,
+        with_warehouse(",\n" + MODEL_SQL.strip() + "\n" + tile_sql(_tile, _RUN2)).replace("\n,\n", ",\n", 1),
+    )
