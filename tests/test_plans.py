@@ -45,3 +45,10 @@ def test_flagship_pushdown_and_pruning(spark, sf_small):
     for b in scans:  # only the needed columns are read
         schema = [ln for ln in b.splitlines() if ln.startswith("ReadSchema")][0]
         assert "l_tax" not in schema and "l_shipdate" not in schema
+
+
+def test_eager_aggregation_below_joins(spark, sf_small):
+    import __spark_entry__ as entry
+
+    text = plan(entry.queries()["w05_running_sum"](spark, sf_small), "simple")
+    assert "HashAggregate(keys=[l_orderkey" in text  # lineitem reduced per order before the star joins
