@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = (
     "language_id",
     "substring_dedup",
+    "mixing",
     "byte_bpe",
     "near_dedup",
     "quality_rules",
