@@ -158,15 +158,12 @@ def fit(
     partial bundles are bounded by the parameters.
     """
     named = df.selectExpr(f"`{id_col}` AS id", f"`{lang_col}` AS lang", f"`{text_col}` AS text").filter("lang IS NOT NULL AND id IS NOT NULL")
-    top = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
+    top = named.groupBy("lang").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "lang").limit(max_languages)
+    # a hash share of about twice the sample goes to the ordering, however many rows a language has
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("double") * F.col("docs") < float(2 * max_train_docs) * (1 << 30)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    keys = (
-        named.select("id", "lang")
-        .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= max_train_docs)
-        .join(F.broadcast(top), "lang", "left_semi")
-        .select("id", "lang")
-    )
+    drawn = named.select("id", "lang").join(F.broadcast(top), "lang").filter(share).drop("docs")
+    keys = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max_train_docs).select("id", "lang")
     # ids that a language holds at most max_train_docs of: a bounded broadcast
     sample = named.join(F.broadcast(keys.distinct()), ["id", "lang"], "left_semi").select("lang", "text").repartition(8)
 

@@ -204,7 +204,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = MAX_FIT_DOCS, ma
     are collected (a few numbers each).
     """
     marked = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("good"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_docs)
+    # a hash share of about twice the sample goes to the ordering, however many labels there are
+    share = 2.0 * max_fit_docs / max(1, labels.count())
+    drawn = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
+    chosen = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_docs)
     sample = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text AS _text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     finish = lambda base, features: {"failed": pa.array(base_failed(base)), "features": pa.array(list(features), pa.list_(pa.float64()))}
     rows = _mapped(sample.select("doc_id", "good", "_text"), ["doc_id", "good"], finish, "doc_id long, good int, failed boolean, features array<double>").collect()
