@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -113,3 +114,14 @@ def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 def plain(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns of the input cannot clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that a job has written, through Spark's own file systems."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -12,6 +12,8 @@ MODULES = (
     "substring_dedup",
     "mixing",
     "byte_bpe",
+    "topk_search",
+    "warc",
     "near_dedup",
     "quality_rules",
 )
