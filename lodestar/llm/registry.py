@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
     "language_id",
+    "chat_format",
     "substring_dedup",
     "mixing",
     "byte_bpe",
