@@ -15,6 +15,7 @@ MODULES = (
     "byte_bpe",
     "topk_search",
     "warc",
+    "token_counts",
     "near_dedup",
     "quality_rules",
 )
