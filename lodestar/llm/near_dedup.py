@@ -7,10 +7,12 @@ sets form one class at once.  Of the class representatives, those that agree in
 a band of bins share a bucket, and a bucket proposes star-shaped candidates
 only: its centre with each member.  Candidates are confirmed on full sets.
 
-A star can miss a link between two members that both differ from the centre, so
-rounds follow: a bucket whose members are not yet one component gets other
-centres (those with most links first, twice as many a round), until every bucket
-is one component or all its pairs were tried.  Nothing is capped.
+A star can miss a link between two members that both differ from the centre.  So
+buckets whose members are not yet one component get a second star, around the
+member with most links.  Documents that still share an unsettled bucket meet once
+more by an exact prefix filter (similar sets share one of their rarest shingles),
+with ever more centres a round, until every such bucket is one component or
+all its pairs were tried.  Nothing is capped.
 
 With 48 bands of 6 bins, two sets at similarity 0.8 share no band with a
 probability of (1 - 0.8**6)**48, about five in ten million.
@@ -29,13 +31,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import WordHash, as_bytes, checkpoint, column, mix, steps, table
 from lodestar.llm.graph import components
 
 BANDS, ROWS = 48, 6
+#: By how much the centres of an unsettled bucket grow from round to round.
+MORE_CENTRES = 32
 SEED = 9
 #: Documents whose sketches are densified at once.
 BLOCK = 1024
@@ -151,6 +155,32 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumnRenamed("doc_id", id_col)
 
 
+class _Links:
+    """Confirmed links between representatives, the pairs tried, and the components so far."""
+
+    def __init__(self, sets: DataFrame, percent: int):
+        self.sets, self.percent = sets, percent
+        self.tried = self.links = sets.select(F.col("doc_id").alias("u"), F.col("doc_id").alias("v")).limit(0)
+        self.roots = sets.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root")).limit(0)
+
+    def test(self, pairs: DataFrame) -> None:
+        """Confirms the pairs (u < v) that were not tried before, on full sets."""
+        fresh = checkpoint(pairs.join(self.tried, ["u", "v"], "left_anti"))
+        confirmed = checkpoint(_confirm(fresh, self.sets, self.percent))
+        self.tried = self.tried.union(fresh)
+        if not confirmed.isEmpty():
+            self.links = self.links.union(confirmed)
+            self.roots = components(self.roots.selectExpr("node AS u", "root AS v").union(confirmed))
+
+    def open(self, members: DataFrame) -> DataFrame:
+        """The rows of buckets that are more than one component, with root and degree (number of links)."""
+        degree = self.links.selectExpr("u AS rep").union(self.links.selectExpr("v AS rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+        known = self.roots.withColumnRenamed("node", "rep").join(degree, "rep")
+        labelled = members.join(known, "rep", "left").withColumns({"root": F.coalesce("root", "rep"), "degree": F.coalesce("degree", F.lit(0))})
+        split = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
+        return checkpoint(labelled.join(split, "bucket"))
+
+
 def _linked(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root) of the class representatives that have confirmed links."""
     rows = reps.select(F.explode("bands").alias("bucket"), "rep", "n")
@@ -158,46 +188,61 @@ def _linked(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFr
     members = checkpoint(rows.join(shared, "bucket"))  # only buckets with company
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = checkpoint(full_sets(docs.join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]))
-    links = tried = members.select(F.col("rep").alias("u"), F.col("rep").alias("v")).limit(0)
-    roots, ranked, centres = None, members, 1
+    links = _Links(sets, percent)
+    links.test(_stars(members.withColumns({"root": F.col("rep"), "degree": F.lit(0)}), 1, percent))
+    left = links.open(members)
+    if left.isEmpty():
+        return links.roots
+    links.test(_stars(left, 1, percent))  # now around the members with most links
+    left = links.open(members)
+    if left.isEmpty():
+        return links.roots
+    # what still shares a bucket without being one component meets again on its rarest shingles only
+    rare = checkpoint(_rare_buckets(sets.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), percent))
+    centres = 1
     while True:
-        largest = ranked.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
-        fresh = checkpoint(_candidates(ranked, centres, largest, percent).join(tried, ["u", "v"], "left_anti"))
-        confirmed = checkpoint(_confirm(fresh, sets, percent))
-        tried = tried.union(fresh)
-        if roots is None or not confirmed.isEmpty():
-            links = links.union(confirmed)
-            roots = components(links)
-        if centres >= largest:  # every member was a centre: all pairs of the open buckets are tried
-            return roots
-        degree = links.selectExpr("u AS rep").union(links.selectExpr("v AS rep")).groupBy("rep").agg(F.count("*").alias("degree"))
-        labelled = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-        labelled = labelled.select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        split = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-        ranked = checkpoint(labelled.join(split, "bucket"))
-        if ranked.isEmpty():
-            return roots
-        centres *= 2
+        left = links.open(rare)
+        largest = left.groupBy("bucket").count().agg(F.max("count")).first()[0]
+        if largest is None:
+            return links.roots
+        links.test(_stars(left, min(centres, largest), percent, every=centres >= largest))
+        if centres >= largest:  # every member was a centre: all pairs are tried
+            return links.roots
+        centres *= MORE_CENTRES
 
 
-def _candidates(ranked: DataFrame, centres: int, largest: int, percent: int) -> DataFrame:
-    """Pairs (u < v) of a centre with a member of its bucket, of sizes that allow the similarity.
+def _rare_buckets(sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, rep, n, pos): the shingles that two similar sets must share one of.
 
-    First the centre is the smallest id.  Later a bucket has the best member (most
-    links, then smallest id) of as many hashed groups, each member in the end; what is
-    in the centre's component already is left out.
+    With all shingles in one order, rare ones first, sets of the similarity agree in
+    one of their first n - ceil(percent * n / 100) + 1 shingles (prefix filter).
     """
-    if "root" not in ranked.columns:
-        ranked = ranked.select("*", F.lit(0).alias("degree"), F.col("rep").alias("root"))
-    if centres < largest:
-        group = F.pmod(F.xxhash64("rep", F.lit(centres)), F.lit(centres))
-        best = F.min(F.struct((-F.col("degree")).alias("d"), "rep", "n", "root"))
-        heads = ranked.groupBy("bucket", group.alias("g")).agg(best.alias("c")).select("bucket", "c.*")
+    rows = sets.select(F.col("doc_id").alias("rep"), F.size("items").cast("long").alias("n"), F.explode("items").alias("bucket"))
+    often = rows.groupBy("bucket").agg(F.count("*").alias("docs"))
+    order = Window.partitionBy("rep").orderBy("docs", "bucket")
+    placed = rows.join(often, "bucket").withColumn("pos", F.row_number().over(order).cast("long") - 1)
+    return placed.filter(F.col("pos") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).filter("docs > 1").select("bucket", "rep", "n", "pos")
+
+
+def _stars(members: DataFrame, centres: int, percent: int, every: bool = False) -> DataFrame:
+    """Pairs (u < v) of a centre with a member of its bucket that is not in its component.
+
+    Centres: of each of so many hashed groups of a bucket the member with most links,
+    then the smallest id; or every member.  Pairs whose sizes, or whose places of a
+    shared rare shingle, rule the similarity out are no candidates.
+    """
+    placed = "pos" in members.columns
+    cols = ["rep", "n", "root", *(["pos"] if placed else [])]
+    if every:
+        heads = members.select("bucket", *cols)
     else:
-        heads = ranked
-    heads = heads.selectExpr("bucket", "rep AS centre", "n AS cn", "root AS croot")
-    fit = ranked.join(heads, "bucket").filter(f"rep <> centre AND root <> croot AND 100 * least(n, cn) >= {percent} * greatest(n, cn)")
-    return fit.selectExpr("least(rep, centre) AS u", "greatest(rep, centre) AS v").distinct()
+        group = F.pmod(F.xxhash64("rep", F.lit(centres)), F.lit(centres))
+        heads = members.groupBy("bucket", group.alias("g")).agg(F.min(F.struct((-F.col("degree")).alias("d"), *cols)).alias("c")).select("bucket", "c.*")
+    heads = heads.select("bucket", *[F.col(c).alias(f"c_{c}") for c in cols])
+    fits = f"rep <> c_rep AND root <> c_root AND 100 * least(n, c_n) >= {percent} * greatest(n, c_n)"
+    if placed:  # the first shared shingle in the common order bounds the intersection
+        fits += f" AND (100 + {percent}) * (1 + least(n - 1 - pos, c_n - 1 - c_pos)) >= {percent} * (n + c_n)"
+    return members.join(heads, "bucket").filter(fits).selectExpr("least(rep, c_rep) AS u", "greatest(rep, c_rep) AS v").distinct()
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
