@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import WordHash, as_bytes, column, mix, parts, steps, table
 
 #: Words of a window, and words of the runs that minimisers are taken from.
-K, M = 20, 6
+K, M = 20, 4
 #: Super-k-mers with one minimiser in a batch, and in all, from which it is hot.
 HOT_LOCAL, HOT_TOTAL = 64, 4096
 STEP = 8 << 20
@@ -79,10 +79,6 @@ def _minimisers(h: np.ndarray, ends: np.ndarray, k: int, m: int) -> tuple[np.nda
     return at[first], np.diff(first, append=len(at)), runs[place[first]].view(np.int64)
 
 
-def _pack(start: int, n: int, kind: int) -> int:
-    return start << 8 | n << 2 | kind
-
-
 def _mark(k: int, m: int):
     """Step 1 on (did, tx, text): rows (key, did, tx, mark, many)."""
 
@@ -124,10 +120,15 @@ def _mark(k: int, m: int):
                             if x in seen:
                                 kind[i] = _HOT
                             seen.add(x)
+                # settled removals that follow one another in a document become one
+                follows = np.flatnonzero((kind[1:] == _REMOVE) & (kind[:-1] == _REMOVE) & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + n[:-1])) + 1
+                heads = np.setdiff1d(np.arange(len(kind)), follows)
+                n = np.add.reduceat(n, heads)
+                key, did, tx, start, kind, many = (x[heads] for x in (key, did, tx, start, kind, many))
                 alone = kind != _OPEN  # need not meet their minimiser: spread evenly
                 key = np.where(alone, mix(mix(did.view(np.uint64)) + start.astype(np.uint64)).view(np.int64), key)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(did), pa.array(tx), pa.array(start << 8 | n << 2 | kind), pa.array(many)], ["key", "did", "tx", "mark", "many"]
+                [pa.array(key), pa.array(did), pa.array(tx), pa.array(start << 32 | n << 2 | kind), pa.array(many)], ["key", "did", "tx", "mark", "many"]
             )
 
     return run
@@ -149,7 +150,7 @@ def _packed(k: int):
             for i, (did, tx, text) in enumerate(zip(column(b, "did").to_pylist(), column(b, "tx").to_pylist(), as_bytes(b, "text"))):
                 words = text.split()
                 for j in range(offsets[i], offsets[i + 1]):
-                    start, n, kind = mark[j] >> 8, mark[j] >> 2 & 63, mark[j] & 3
+                    start, n, kind = mark[j] >> 32, mark[j] >> 2 & 0x3FFFFFFF, mark[j] & 3
                     if kind == _REMOVE:
                         out.append((key[j], None, did, tx, start, -(n + k - 1)))
                     elif kind == _OPEN:
@@ -233,8 +234,8 @@ def _intervals(rows: list[tuple]) -> pa.RecordBatch:
 
 def repeated_intervals(rows: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """(did, tx, start, words): word intervals covered by windows that start earlier elsewhere; rows: (did, tx, text)."""
-    if not 1 <= m <= k or k - m + 1 > 63:
-        raise ValueError("needs 1 <= m <= k and at most 63 runs in a window")
+    if not 1 <= m <= k:
+        raise ValueError("needs 1 <= m <= k")
     marks = rows.mapInArrow(_mark(k, m), "key long, did long, tx int, mark long, many long")
     shared = marks.withColumn("total", F.sum("many").over(Window.partitionBy("key")))
     # a mark goes on if its minimiser occurs again, or if it is settled or hot already
