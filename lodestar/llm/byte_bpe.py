@@ -22,6 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestar.llm.common import as_bytes, column, steps, table
 
@@ -134,6 +135,26 @@ def encode_digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     return _encoded(df, ranks_path, pattern, id_col, text_col, digests=True)
 
 
+def encode_rows(df: DataFrame, ranks_path: str, pattern: str, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` with n_tokens, ids (array<int>) and round_trip: whether the ids decode to the text's bytes."""
+    model = df.sparkSession.sparkContext.broadcast(serialise_model(read_ranks(ranks_path)))
+    cols = df.select(F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in keep])
+
+    def run(batches):
+        c = codec(model.value, pattern)
+        for b in steps(batches, "_text"):
+            texts = column(b, "_text").to_pylist()
+            ids = c.encode([t or "" for t in texts])
+            same = [c.decode(i) == (t or "").encode() for i, t in zip(ids, texts, strict=True)]
+            n = np.array([len(i) // 4 for i in ids], dtype=np.int64)
+            flat = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32))
+            arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*(column(b, k) for k in keep), pa.array(n), arrays, pa.array(same)], [*keep, "n_tokens", "ids", "round_trip"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name != "_text")
+    return cols.mapInArrow(run, f"{schema}, n_tokens long, ids array<int>, round_trip boolean")
+
+
 def _encoded(df, ranks_path, pattern, id_col, text_col, digests):
     spark = df.sparkSession
     model = spark.sparkContext.broadcast(serialise_model(read_ranks(ranks_path)))

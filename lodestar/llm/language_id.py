@@ -200,6 +200,14 @@ def predict(df: DataFrame, prototypes: Prototypes, text_col: str = "text", keep:
     return cols.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
+def accepted(df: DataFrame, prototypes: Prototypes, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``df`` whose language could be determined; a null language is filled with the predicted one."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    judged = predict(df, prototypes, text_col, dict(zip(names, (F.col(f"`{c}`") for c in df.columns), strict=True)))
+    filled = [F.coalesce(n, "lang_pred").alias(c) if c == lang_col else F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)]
+    return judged.filter(F.col("lang_pred") != UNDETERMINED).select(*filled)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """True for the documents kept out of training: crc32 of the id's text has remainder 2 by 4."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

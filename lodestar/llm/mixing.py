@@ -75,17 +75,16 @@ def leaf_budgets(leaves: DataFrame, budget: Column | int, max_epochs: int, weigh
     """(domain, lang, source, total, given) of leaves (domain, lang, source, total tokens)."""
     cap = leaves.withColumn("cap", F.col("total") * max_epochs)
     path = ["domain", "lang", "source"]
-    root = cap.agg(F.sum("total").alias("all")).select(budget if isinstance(budget, Column) else F.lit(budget).cast("long").alias("b"))
-    parent = root.toDF("budget").withColumn("root", F.lit(0))
-    keys = ["root"]
+    root = cap.agg(F.sum("total").alias("all")).select(budget if isinstance(budget, Column) else F.lit(budget).cast("long"))
+    parent, keys = None, []
     for depth, name in enumerate(path):
-        own = ["root", *path[: depth + 1]]
-        nodes = cap.withColumn("root", F.lit(0)).groupBy(*own).agg(F.sum("cap").alias("cap"))
-        nodes = nodes.withColumn("weight", weights[depth]).withColumn("name", F.col(name))
-        shared = _share(nodes.join(parent, keys), keys)
-        parent = shared.select(*own, F.col("given").alias("budget"))
+        own = path[: depth + 1]
+        nodes = cap.groupBy(*own).agg(F.sum("cap").alias("cap")).withColumn("weight", weights[depth]).withColumn("name", F.col(name))
+        # the root is a single value; below it each node is joined with its parent
+        nodes = nodes.join(parent, keys) if keys else nodes.withColumn("budget", root.scalar())
+        parent = _share(nodes, keys).select(*own, F.col("given").alias("budget"))
         keys = own
-    return leaves.join(parent.drop("root"), path).withColumnRenamed("budget", "given")
+    return leaves.join(parent, path).withColumnRenamed("budget", "given")
 
 
 def order_key(epoch: Column, seed: int = SEED) -> Column:
@@ -134,18 +133,30 @@ def mix(docs: DataFrame, budget: Column | int, max_epochs: int = MAX_EPOCHS, see
     return both.filter("copies > 0").drop("epochs", "part", "cut", "key", "range", "taken")
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
-    """Documents with the tree's columns: the domain is that of the source's number by three."""
-    number = F.coalesce(F.regexp_extract(F.coalesce("source", F.lit("")), r"([0-9]{1,9})$", 1).try_cast("long"), F.lit(0))
-    domain = F.element_at(F.array(*map(F.lit, ("web", "books", "forums"))), (number % 3 + 1).cast("int"))
-    return docs.select(
-        "doc_id", "text", domain.alias("domain"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), tokens(F.col("text")).alias("n_tokens")
-    )
+def domain_of(source: Column) -> Column:
+    """The domain of a source: that of its number by three."""
+    number = F.coalesce(F.regexp_extract(F.coalesce(source, F.lit("")), r"([0-9]{1,9})$", 1).try_cast("long"), F.lit(0))
+    return F.element_at(F.array(*map(F.lit, ("web", "books", "forums"))), (number % 3 + 1).cast("int"))
 
 
 def mixture(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The production mixture of documents: the tree's columns, n_tokens and copies."""
-    return mix(with_domain(docs), F.expr(f"all * {budget_percent} div 100"), max_epochs)
+    """The production mixture: doc_id, text, domain, lang, source, n_tokens, copies, and ``row``: the whole input row."""
+    placed = docs.select(
+        "doc_id",
+        "text",
+        domain_of(F.col("source")).alias("domain"),
+        F.coalesce("lang", F.lit("")).alias("lang"),
+        F.coalesce("source", F.lit("")).alias("source"),
+        tokens(F.col("text")).alias("n_tokens"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    )
+    return mix(placed, F.expr(f"all * {budget_percent} div 100"), max_epochs)
+
+
+def mixed_rows(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The rows of the mixture with the input's columns, each as often as it is taken."""
+    taken = mixture(docs, budget_percent, max_epochs)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

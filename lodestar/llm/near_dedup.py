@@ -155,6 +155,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumnRenamed("doc_id", id_col)
 
 
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` that are kept: of each group of near duplicates the document with the smallest id, once."""
+    verdict = checkpoint(near_duplicates(df, id_col, text_col, **options).select(id_col, "kept"))
+    gone = verdict.filter("NOT kept").select(id_col).distinct()
+    left = df.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    repeated = checkpoint(verdict.filter(f"kept AND `{id_col}` IS NOT NULL").groupBy(id_col).count().filter("count > 1").select(id_col))
+    if repeated.isEmpty():
+        return left
+    # rows that repeat an id are one document
+    again = left.join(repeated, id_col, "left_semi").select(*left.columns).dropDuplicates([id_col])
+    return left.join(repeated, id_col, "left_anti").select(*left.columns).unionByName(again)
+
+
 class _Links:
     """Confirmed links between representatives, the pairs tried, and the components so far."""
 

@@ -134,13 +134,22 @@ def _mark(k: int, m: int):
     return run
 
 
+def _unpacked(batches):
+    """Batches whose struct ``doc`` (text and further columns) is laid open."""
+    for b in batches:
+        doc = column(b, "doc")
+        fields = {f.name: doc.field(f.name) for f in doc.type}
+        rest = {n: column(b, n) for n in b.schema.names if n != "doc"}
+        yield pa.RecordBatch.from_arrays([*fields.values(), *rest.values()], [*fields, *rest])
+
+
 def _packed(k: int):
-    """Step 2 on (did, tx, text, marks): rows (key, s, did, tx, start, n) with the packed strings; n = -words for settled removals."""
+    """Step 2 on (did, tx, doc, marks): rows (key, s, did, tx, start, n) with the packed strings; n = -words for settled removals."""
 
     def run(batches):
         import xxhash
 
-        for b in steps(batches, "text", STEP):
+        for b in steps(_unpacked(batches), "text", STEP):
             out: list[tuple] = []
             hot: dict[bytes, tuple] = {}
             marks = column(b, "marks")
@@ -233,23 +242,23 @@ def _intervals(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def repeated_intervals(rows: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """(did, tx, start, words): word intervals covered by windows that start earlier elsewhere; rows: (did, tx, text)."""
+    """(did, tx, start, words): word intervals covered by windows that start earlier elsewhere; rows: (did, tx, doc with a text)."""
     if not 1 <= m <= k:
         raise ValueError("needs 1 <= m <= k")
-    marks = rows.mapInArrow(_mark(k, m), "key long, did long, tx int, mark long, many long")
+    marks = rows.select("did", "tx", F.col("doc.text").alias("text")).mapInArrow(_mark(k, m), "key long, did long, tx int, mark long, many long")
     shared = marks.withColumn("total", F.sum("many").over(Window.partitionBy("key")))
     # a mark goes on if its minimiser occurs again, or if it is settled or hot already
     kept = shared.filter(F.col("mark").bitwiseAND(3).isin(_HOT, _REMOVE) | (F.col("total") > 1))
     hot = F.when((F.col("total") >= HOT_TOTAL) & (F.col("mark").bitwiseAND(3) == _OPEN), F.col("mark") + _HOT).otherwise(F.col("mark"))
     by_doc = kept.select("did", "tx", F.struct(hot.alias("mark"), "key").alias("x")).groupBy("did", "tx").agg(F.collect_set("x").alias("marks"))
-    packed = rows.join(by_doc, ["did", "tx"]).select("did", "tx", "text", "marks").mapInArrow(_packed(k), "key long, s binary, did long, tx int, start long, n long")
+    packed = rows.join(by_doc, ["did", "tx"]).select("did", "tx", "doc", "marks").mapInArrow(_packed(k), "key long, s binary, did long, tx int, start long, n long")
     dealt = packed.repartition(parts(rows), "key").sortWithinPartitions("key", "s", "did", "start")
     return dealt.mapInArrow(_compare(k), "did long, tx int, start long, words long")
 
 
 def _finish(names: list[str], digests: bool):
     def run(batches):
-        for b in steps(batches, "text", STEP):
+        for b in steps(_unpacked(batches), "text", STEP):
             spans = column(b, "spans")
             offsets = spans.offsets.to_numpy()
             start = spans.values.field("start").to_numpy(zero_copy_only=False)
@@ -277,22 +286,19 @@ def _finish(names: list[str], digests: bool):
 
 
 def _judged(df: DataFrame, id_col: str, text_col: str, k: int, m: int, digests: bool) -> DataFrame:
+    """id, the further columns as c0, c1, ... (none with digests), n_words, n_removed, kept."""
     others = [c for c in df.columns if c not in (id_col, text_col)] if not digests else []
-    # further columns ride along under names of their own
-    cols = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]
-    did = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias("did")
-    text = F.col(f"`{text_col}`").alias("text")
-    tx = F.hash(F.col(f"`{text_col}`")).alias("tx")
-    rows = df.select(did, tx, text)
+    # text and further columns travel as one struct, so that both joins below use one and the same exchange
+    doc = F.struct(F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    did = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID))
+    rows = df.select(did.alias("did"), F.hash(F.col(f"`{text_col}`")).alias("tx"), doc.alias("doc"))
     spans = repeated_intervals(rows, k, m).groupBy("did", "tx").agg(F.collect_list(F.struct("start", "words")).alias("spans"))
-    full = df.select(did, tx, text, F.col(f"`{id_col}`").cast("long").alias("id"), *cols) if cols else rows
-    joined = full.join(spans, ["did", "tx"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,words:bigint>>")))
-    names = ["id", *(f"c{i}" for i in range(len(others)))] if cols else ["did"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.select(*names).schema)
-    out = joined.select(*names, "text", "spans").mapInArrow(_finish(names, digests), f"{schema}, n_words long, n_removed long, kept string")
-    if not cols:
-        out = out.withColumn("id", F.when(F.col("did") != _NULL_ID, F.col("did"))).drop("did")
-    return out.select("id", *[f"c{i}" for i in range(len(others))], "n_words", "n_removed", "kept")
+    none = F.array().cast("array<struct<start:bigint,words:bigint>>")
+    joined = rows.join(spans, ["did", "tx"], "left").select("did", "doc", F.coalesce("spans", none).alias("spans"))
+    names = [f"c{i}" for i in range(len(others))]
+    schema = ", ".join(["did bigint", *(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema["doc"].dataType if f.name != "text")])
+    out = joined.mapInArrow(_finish(["did", *names], digests), f"{schema}, n_words long, n_removed long, kept string")
+    return out.select(F.when(F.col("did") != _NULL_ID, F.col("did")).alias("id"), *names, "n_words", "n_removed", "kept")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, m: int = M) -> DataFrame:
