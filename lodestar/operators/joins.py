@@ -92,41 +92,50 @@ def star_join(frames: dict[str, DataFrame], edges: list[Relationship], keep_righ
     first = order[0][0].left
     plan = frames[first].alias(first)
     attach_seq = [first]
-    dropped: set[tuple[str, str]] = set()
-    pending_conds: list[Column] = []
     joined = {first}
+    kept_keys: dict[tuple[str, str], list[tuple[str, str]]] = {}  # key column -> equal columns of outer-joined tables
+    dropped: set[tuple[str, str]] = set()
+    used: set[tuple[str, str]] = set()
     for e, flipped in order:
-        new = e.left if flipped else e.right
-        if new in joined:  # both sides present: a filter-style extra condition
-            pending_conds.append(_condition(e.left, e.right, e.keys))
+        if (e.left, e.right) in used:
             continue
+        new = e.left if flipped else e.right
+        # every edge between the new table and those joined so far belongs to this join's condition
+        conds = [x for x in merged.values() if new in (x.left, x.right) and ({x.left, x.right} - {new}) <= joined]
+        used |= {(x.left, x.right) for x in conds}
         side = frames[new].alias(new)
         if e.hint:
             side = side.hint(e.hint)
-        how = _SPARK_HOW[e.how]
-        if flipped:
-            how = _FLIP[e.how]
-        plan = plan.join(side, _condition(e.left, e.right, e.keys), how)
+        how = _FLIP[e.how] if flipped else _SPARK_HOW[e.how]
+        plan = plan.join(side, reduce(lambda x, y: x & y, [_condition(x.left, x.right, x.keys) for x in conds]), how)
         joined.add(new)
         attach_seq.append(new)
         if not keep_right_keys:
-            new_cols = [x if flipped else y for x, y in e.keys]
-            for c in new_cols:
-                dropped.add((new, c))
-    for c in pending_conds:
-        plan = plan.filter(c)
+            for x in conds:
+                for lk, rk in x.keys:
+                    own, other = ((x.left, lk), (x.right, rk)) if x.left == new else ((x.right, rk), (x.left, lk))
+                    dropped.add(own)
+                    if how in ("right", "full"):  # rows of the new table alone have the key on its side only
+                        kept_keys.setdefault(other, []).append(own)
     names: dict[str, int] = {}
     for t in attach_seq:
         for c in frames[t].columns:
             if (t, c) not in dropped:
                 names[c] = names.get(c, 0) + 1
+
+    def value(t: str, c: str, seen: frozenset = frozenset()) -> list[Column]:
+        """The column and, after outer joins, those equal to it."""
+        more = [v for o in kept_keys.get((t, c), []) if o not in seen for v in value(*o, seen | {(t, c)})]
+        return [F.col(f"`{t}`.`{c}`"), *more]
+
     cols = []
     for t in attach_seq:
         for c in frames[t].columns:
             if (t, c) in dropped:
                 continue
             out = c if names[c] == 1 else f"{t}__{c}"
-            cols.append(F.col(f"`{t}`.`{c}`").alias(out))
+            parts = value(t, c)
+            cols.append((F.coalesce(*parts) if len(parts) > 1 else parts[0]).alias(out))
     return plan.select(*cols)
 
 
@@ -163,8 +172,10 @@ def cardinality(left: DataFrame, right: DataFrame, left_keys, right_keys) -> Dat
 
     One row with ``left_max``/``right_max`` = the largest number of rows per
     key on each side and the label ONE_TO_ONE / ONE_TO_MANY / MANY_TO_ONE /
-    MANY_TO_MANY.  Two partial aggregates, no join of the sides.
+    MANY_TO_MANY.  Two partial aggregates, no join of the sides.  Rows with a
+    NULL key match nothing and are not counted.
     """
+    left, right = left.dropna(subset=list(left_keys)), right.dropna(subset=list(right_keys))
     lm = left.groupBy(*left_keys).count().agg(F.max("count").alias("left_max"))
     rm = right.groupBy(*right_keys).count().agg(F.max("count").alias("right_max"))
     from lodestar.operators.grouping import attach_one_row
@@ -190,35 +201,47 @@ def parse_join_operands(col: Column) -> Column:
     )
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_iter: int = 64) -> DataFrame:
-    """J-07: connected components by iterative min-label propagation.
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """J-07: (vertex, component), component = the smallest vertex reachable.
 
-    Works for large edge sets: each round is one join + aggregate on the
-    vertex id, its result is cut from the lineage with a reliable
-    ``checkpoint`` (written to the cluster's ``spark.checkpoint.dir``, so a
-    lost executor never replays earlier rounds), and the loop stops when no
-    label changed.  Returns (vertex, component) with component = the smallest
-    vertex id of the component.  Rounds are bounded by the graph diameter.
+    Alternating star contraction: every vertex's larger neighbours, then its
+    smaller ones, are linked with the smallest vertex it sees.  The rounds grow
+    with the logarithm of the component size, not with the diameter, and go on
+    until nothing changes.  A round is grouped minima (combined map-side) and
+    equi-joins, cut from the lineage by a reliable ``checkpoint``.  A vertex
+    whose only edge is a self-loop is its own component.
     """
     from lodestar.session import checkpoint_dir
 
-    spark = edges.sparkSession
-    checkpoint_dir(spark)
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter(F.col("a") != F.col("b")).distinct().checkpoint()
-    # first round straight from the edges: every vertex takes min(self, neighbours)
-    labels = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")).checkpoint()
-    for _ in range(max_iter):
-        cand = both.join(labels.select(F.col("v").alias("b"), F.col("label").alias("nl")), "b").groupBy(F.col("a").alias("v")).agg(F.min("nl").alias("nl"))
-        new = labels.join(cand, "v", "left").select(
-            "v",
-            F.least("label", F.coalesce("nl", "label")).alias("label"),
-            (F.coalesce(F.col("nl"), F.col("label")) < F.col("label")).alias("changed"),
-        ).checkpoint()
-        labels = new.select("v", "label")
-        if new.filter("changed").limit(1).count() == 0:
+    checkpoint_dir(edges.sparkSession)
+    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
+    state = e.filter("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct().checkpoint()
+    mark = _edge_mark(state)
+    while True:
+        state = _small_star(_large_star(state)).checkpoint()
+        after = _edge_mark(state)
+        if after == mark:
             break
-    return labels.select(F.col("v").alias("vertex"), F.col("label").alias("component"))
+        mark = after
+    linked = state.selectExpr("u AS vertex", "v AS component").union(state.selectExpr("v AS vertex", "v AS component").distinct())
+    alone = e.filter("u = v").select(F.col("u").alias("vertex")).distinct().join(linked, "vertex", "left_anti")
+    return linked.union(alone.selectExpr("vertex", "vertex AS component"))
+
+
+def _edge_mark(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.union(edges.selectExpr("v AS u", "u AS v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
+    return both.join(least, "u").filter("v > u").selectExpr("v AS u", "m AS v").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").filter("v <> m").selectExpr("v AS u", "m AS v")
+    return moved.union(least.selectExpr("u", "m AS v")).distinct()
 
 
 def edges_of_component(edges: DataFrame, components: DataFrame, src: str = "src") -> DataFrame:

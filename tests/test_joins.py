@@ -38,7 +38,7 @@ def test_connected_components_vs_brute_force(spark):
         ra, rb = find(a), find(b)
         if ra != rb:
             parent[max(ra, rb)] = min(ra, rb)
-    expected = {v: find(v) for a, b in edges for v in (a, b) if a != b}
+    expected = {v: find(v) for a, b in edges for v in (a, b)}
     assert got == expected
 
 
@@ -55,3 +55,33 @@ def test_operand_parse(spark):
     df = spark.createDataFrame([("[t1].[a]::[t2].[b]",)], "s string")
     r = df.select(J.parse_join_operands(F.col("s")).alias("p")).first().p
     assert (r.left_table, r.left_column, r.right_table, r.right_column) == ("t1", "a", "t2", "b")
+
+
+def test_connected_components_of_a_long_chain(spark):
+    chain = spark.range(200).selectExpr("id AS src", "id + 1 AS dst")
+    got = J.connected_components(chain).collect()
+    assert len(got) == 201 and {r.component for r in got} == {0}
+    assert J.connected_components(chain.limit(0)).collect() == []
+
+
+def test_star_join_keeps_keys_of_unmatched_rows(spark):
+    a = spark.createDataFrame([(1, "x"), (3, "z")], "k int, av string")
+    b = spark.createDataFrame([(1, "p"), (2, "q")], "bk int, bv string")
+    for how, want in (("full", {(1, "x", "p"), (2, None, "q"), (3, "z", None)}), ("right", {(1, "x", "p"), (2, None, "q")}), ("left", {(1, "x", "p"), (3, "z", None)})):
+        got = J.star_join({"a": a, "b": b}, [J.Relationship("a", "b", [("k", "bk")], how)])
+        assert {tuple(r) for r in got.collect()} == want
+
+
+def test_extra_edge_joins_the_condition_and_stays_outer(spark):
+    a = spark.createDataFrame([(1, 7), (2, 8)], "a1 int, a2 int")
+    b = spark.createDataFrame([(1, 10), (2, 20)], "b1 int, b2 int")
+    c = spark.createDataFrame([(10, 7), (20, 9)], "c1 int, c2 int")
+    edges = [J.Relationship("a", "b", [("a1", "b1")], "left"), J.Relationship("b", "c", [("b2", "c1")], "left"), J.Relationship("a", "c", [("a2", "c2")], "left")]
+    got = J.star_join({"a": a, "b": b, "c": c}, edges, keep_right_keys=True).collect()
+    assert {(r.a1, r.c1) for r in got} == {(1, 10), (2, None)}
+
+
+def test_cardinality_ignores_null_keys(spark):
+    left = spark.createDataFrame([(1,), (None,), (None,)], "k int")
+    right = spark.createDataFrame([(1,), (2,)], "k int")
+    assert J.cardinality(left, right, ["k"], ["k"]).first().cardinality == "ONE_TO_ONE"
