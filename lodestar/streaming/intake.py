@@ -3,14 +3,18 @@
 ``readStream`` over a folder of workbook files (``binaryFile`` needs an explicit
 schema), ``foreachBatch`` parses and extracts each micro-batch and appends the
 property rows stamped with the batch's run id, partitioned by ``exec_id``.
-The stream's checkpoint makes every file count exactly once across restarts;
+Spark may hand the same micro-batch to ``foreachBatch`` again after a failure;
+a batch therefore overwrites its own partition, so a replay changes nothing.
 ``trigger(availableNow=True)`` drains what is there and stops, which is how a
 scheduled job uses it.  ST-02 drops re-delivered copies of the same document
-(md5 of the content) with ``dropDuplicatesWithinWatermark``.
+(md5 of the content): keys seen before are kept in the output table, so a file
+of any age is taken if its content was never seen.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,29 +35,64 @@ def workbook_stream(spark: SparkSession, folder: str, pattern: str = "*.twb", ma
 
 
 def property_rows(docs: DataFrame) -> DataFrame:
-    """Extraction used per micro-batch: column metadata rows + error rows."""
+    """Extraction used per micro-batch: column metadata rows + error rows.
+
+    Both come out of one parse of each document: the two row kinds are one array
+    that is exploded."""
     parsed = X.parse(docs)
-    cols = X.columns(parsed).select("path", F.lit("column").alias("object_type"), "datasource_name", "local_column_name", F.col("data_type").alias("property_value"), F.lit(None).cast("string").alias("exec_error_details"))
-    errs = X.errors(parsed).select("path", "object_type", F.lit(None).cast("string").alias("datasource_name"), F.lit(None).cast("string").alias("local_column_name"), F.lit(None).cast("string").alias("property_value"), "exec_error_details")
-    return cols.unionByName(errs)
+    kind = "struct<object_type:string,datasource_name:string,local_column_name:string,property_value:string,exec_error_details:string>"
+    none = F.lit(None).cast("string")
+    strip = lambda c: F.regexp_replace(c, r"^\[|\]$", "")
 
+    def column_row(ds, m):
+        return F.struct(F.lit("column").alias("object_type"), ds["_caption"].alias("datasource_name"), strip(m["local-name"]).alias("local_column_name"), m["local-type"].alias("property_value"), none.alias("exec_error_details"))
+
+    empty = F.array().cast(f"array<{kind}>")
+    records = lambda ds: F.filter(F.coalesce(ds["metadata-records"]["metadata-record"], F.array()), lambda m: m["_class"] == "column")
+    cols = F.flatten(F.transform(F.col("wb.datasources.datasource"), lambda ds: F.transform(records(ds), lambda m: column_row(ds, m)).cast(f"array<{kind}>")))
+    bad = F.struct(F.lit("error").alias("object_type"), none.alias("datasource_name"), none.alias("local_column_name"), none.alias("property_value"), F.concat(F.lit("could not parse "), F.col("path")).alias("exec_error_details"))
+    failed = F.col("wb").isNull() | F.col("content").isNull() | F.col("wb.datasources").isNull()
+    rows = F.when(failed, F.array(bad).cast(f"array<{kind}>")).otherwise(F.coalesce(cols, empty))
+    return parsed.select("path", F.inline(rows))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
-def run_intake(spark: SparkSession, folder: str, out_dir: str, checkpoint: str, pattern: str = "*.twb") -> None:
-    """ST-01: drain new files into ``out_dir`` (append, partitioned by exec_id)."""
-    src = workbook_stream(spark, folder, pattern).select("path", F.col("content").cast("string").alias("content"))
 
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = property_rows(batch).withColumn("exec_id", F.md5(F.lit(f"stream-batch-{batch_id}")))
-        rows.write.mode("append").partitionBy("exec_id").parquet(out_dir)
+def write_intake_batch(batch: DataFrame, batch_id: int, out_dir: str) -> None:
+    """One micro-batch into its own ``exec_id`` partition, which a replay overwrites."""
+    run = hashlib.md5(f"stream-batch-{batch_id}".encode()).hexdigest()
+    property_rows(batch).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/exec_id={run}")
 
-    q = src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def write_dedupe_batch(batch: DataFrame, batch_id: int, out_dir: str) -> None:
+    """The documents of a micro-batch whose content no other batch has, once each (smallest path).
+
+    The seen keys are the output table itself, but for this batch's own partition
+    (a replay must not find itself); the anti-join is on the md5 key."""
+    spark = batch.sparkSession
+    first = batch.groupBy("twb_key").agg(F.min_by(F.struct("path", "modificationTime"), "path").alias("f")).select("twb_key", "f.*")
+    if _exists(spark, out_dir):
+        schema = "path string, modificationTime timestamp, twb_key string, batch_id long"
+        seen = spark.read.schema(schema).parquet(out_dir).filter(F.col("batch_id") != batch_id).select("twb_key")
+        first = first.join(seen, "twb_key", "left_anti")
+    first.select("path", "modificationTime", "twb_key").write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
+
+
+def run_intake(spark: SparkSession, folder: str, out_dir: str, checkpoint: str, pattern: str = "*.twb") -> None:
+    """ST-01: drain new files into ``out_dir`` (partitioned by exec_id, a run for each micro-batch)."""
+    src = workbook_stream(spark, folder, pattern).select("path", F.col("content").cast("string").alias("content"))
+    write = lambda batch, batch_id: write_intake_batch(batch, batch_id, out_dir)
+    q = src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
-def run_dedupe(spark: SparkSession, folder: str, out_dir: str, checkpoint: str, pattern: str = "*.twb", delay: str = "1 day") -> None:
-    """ST-02: keep one copy per content md5 within the watermark delay."""
+def run_dedupe(spark: SparkSession, folder: str, out_dir: str, checkpoint: str, pattern: str = "*.twb") -> None:
+    """ST-02: keep one file of each content, whatever its modification time."""
     src = workbook_stream(spark, folder, pattern)
     keyed = src.select("path", "modificationTime", F.md5(F.col("content")).alias("twb_key"))
-    deduped = keyed.withWatermark("modificationTime", delay).dropDuplicatesWithinWatermark(["twb_key"])
-    q = deduped.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    write = lambda batch, batch_id: write_dedupe_batch(batch, batch_id, out_dir)
+    q = keyed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()

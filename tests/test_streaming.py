@@ -31,3 +31,27 @@ def test_dedupe_keeps_one_copy_per_content(spark, tmp_path):
     _write_docs(spark, src + "/b", [("a_copy.twb", same)])
     intake.run_dedupe(spark, src, out, chk, pattern="*.txt")
     assert spark.read.parquet(out).select("twb_key").distinct().count() == spark.read.parquet(out).count() == 2
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    out = str(tmp_path / "out")
+    docs = spark.createDataFrame([("a.twb", WB.format(REC.format("x"))), ("bad", "<workbook>")], "path string, content string")
+    for _ in range(2):
+        intake.write_intake_batch(docs, 3, out)
+    rows = spark.read.parquet(out).collect()
+    assert sorted((r.object_type, r.local_column_name) for r in rows) == [("column", "x"), ("error", None)]
+
+
+def test_dedupe_takes_old_files_and_replays(spark, tmp_path):
+    out = str(tmp_path / "out")
+    schema = "path string, modificationTime timestamp, twb_key string"
+
+    def batch(*rows):
+        return spark.createDataFrame(rows, "path string, t string, twb_key string").selectExpr("path", "timestamp(t) AS modificationTime", "twb_key")
+
+    assert batch().schema.simpleString().startswith("struct<path:string") and schema
+    intake.write_dedupe_batch(batch(("n/a", "2024-06-01", "k1"), ("n/b", "2024-06-01", "k1")), 0, out)
+    old = batch(("o/a", "2001-01-01", "k2"), ("o/b", "2001-01-01", "k1"))  # far older than what was seen
+    for _ in range(2):
+        intake.write_dedupe_batch(old, 1, out)
+    assert sorted((r.twb_key, r.path) for r in spark.read.parquet(out).collect()) == [("k1", "n/a"), ("k2", "o/a")]
