@@ -151,9 +151,9 @@ def run_stamp(df: DataFrame, mode: str, start, end, status: str = "Success") ->
     )
 
 
-def target_label(ds_type: Column) -> Column:
-    """MP-12 extract -> dataset label, else table label (fixed values in mappings)."""
-    return F.when(ds_type == "Extract", F.lit(M.TARGET_EXTRACT)).otherwise(F.lit(M.TARGET_TABLE))
+def target_label(ds_type: Column, extract_label: str = M.TARGET_EXTRACT, table_label: str = M.TARGET_TABLE) -> Column:
+    """MP-12 extract -> dataset label, else table label."""
+    return F.when(ds_type == "Extract", F.lit(extract_label)).otherwise(F.lit(table_label))
 
 
 def output_stamp(dump: DataFrame, outputs: DataFrame, match=("twb_file_name", "datasource_name"), order_col: str = "row_pos") -> DataFrame:

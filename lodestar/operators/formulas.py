@@ -48,9 +48,9 @@ FIELD_PATTERN = r"\[([^\]]+)\]"
 
 
 def strip_comments(formula: Column) -> Column:
-    """Remove ``//`` line comments and ``/* … */`` blocks before scanning."""
-    no_block = F.regexp_replace(formula, r"(?s)/\*.*?\*/", " ")
-    return F.regexp_replace(no_block, r"//[^\n]*", " ")
+    """Remove ``//`` line comments and ``/* … */`` blocks before scanning; string
+    literals (a URL, say) are kept whole."""
+    return F.regexp_replace(formula, r"""("[^"]*"|'[^']*')|//[^\n]*|/\*(?s:.*?)\*/""", "$1 ")
 
 
 def function_usage(calcs: DataFrame, keys=("path", "name")) -> DataFrame:
@@ -85,34 +85,50 @@ def rename_functions(formula: Column) -> Column:
     """FC-04 apply the rename map (whole-word function names followed by ``(``)."""
     out = formula
     for src, dst in RENAMES.items():
-        out = F.regexp_replace(out, rf"\b{src}\s*\(", f"{dst}(")
+        out = F.regexp_replace(out, rf"(?i)\b{src}\s*\(", f"{dst}(")
     return out
 
 
-def dependency_depth(calcs: DataFrame, keys=("path",), max_depth: int = 32) -> DataFrame:
+def dependency_depth(calcs: DataFrame, keys=("path",)) -> DataFrame:
     """FC-05 depth of calc -> calc references (0 = references no calculation).
 
     Edges come from FC-02 restricted to names of calculations in the same
-    document; depth is relaxed one join per round until no row changes."""
-    names = calcs.select(*keys, F.regexp_replace("name", r"^\[|\]$", "").alias("callee")).distinct()
+    document.  A document's references are one bounded group, so each is resolved
+    in one pass (``applyInPandas``) whatever its depth.  Calculations in a cycle,
+    and those that need one, have a NULL depth and an ``error`` text."""
+    bare = F.regexp_replace("name", r"^\[|\]$", "")
+    names = calcs.select(*keys, bare.alias("callee")).distinct()
     edges = field_usage(calcs, (*keys, "name")).withColumnRenamed("field", "callee").join(names, [*keys, "callee"], "inner")
-    edges = edges.select(*keys, F.regexp_replace("name", r"^\[|\]$", "").alias("caller"), "callee")
-    depth = calcs.select(*keys, F.regexp_replace("name", r"^\[|\]$", "").alias("caller")).distinct().withColumn("depth", F.lit(0))
-    from lodestar.session import checkpoint_dir
-
-    checkpoint_dir(calcs.sparkSession)
-    for _ in range(max_depth):
-        nxt = (
-            edges.join(depth.withColumnRenamed("caller", "callee").withColumnRenamed("depth", "d"), [*keys, "callee"])
-            .groupBy(*keys, "caller")
-            .agg((F.max("d") + 1).alias("d1"))
-        )
-        new = depth.join(nxt, [*keys, "caller"], "left").select(*keys, "caller", F.greatest("depth", F.coalesce("d1", F.lit(0))).alias("depth")).checkpoint()
-        changed = new.join(depth.withColumnRenamed("depth", "old"), [*keys, "caller"]).filter(F.col("depth") != F.col("old")).limit(1).count()
-        depth = new
-        if changed == 0:
-            break
-    return depth
+    edges = edges.select(*keys, bare.alias("caller"), "callee").distinct()
+    every = calcs.select(*keys, bare.alias("caller"), F.lit(None).cast("string").alias("callee")).distinct().unionByName(edges)
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in every.select(*keys).schema)
+    k = len(keys)
+
+    def resolve(key, pdf):
+        import pandas as pd
+
+        needs: dict[str, set] = {}
+        for caller, callee in zip(pdf["caller"], pdf["callee"]):
+            needs.setdefault(caller, set())
+            if callee is not None and not pd.isna(callee):
+                needs[caller].add(callee)
+        used_by: dict[str, list] = {}
+        for caller, callees in needs.items():
+            for c in callees:
+                used_by.setdefault(c, []).append(caller)
+        waits = {c: len(x) for c, x in needs.items()}
+        depth, ready = {c: 0 for c, n in waits.items() if n == 0}, [c for c, n in waits.items() if n == 0]
+        while ready:
+            done = ready.pop()
+            for caller in used_by.get(done, []):
+                waits[caller] -= 1
+                depth[caller] = max(depth.get(caller, 0), depth[done] + 1)
+                if waits[caller] == 0:
+                    ready.append(caller)
+        rows = [(*key[:k], c, depth[c] if waits[c] == 0 else None, None if waits[c] == 0 else "reference cycle") for c in needs]
+        return pd.DataFrame(rows, columns=[*keys, "caller", "depth", "error"]).astype({"depth": "Int32"})
+
+    return every.groupBy(*keys).applyInPandas(resolve, f"{key_schema}, caller string, depth int, error string")
 
 
 def convertible_share(verdicts: DataFrame, key: str = "path") -> DataFrame:

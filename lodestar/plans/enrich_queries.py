@@ -208,12 +208,12 @@ _fc(
 )
 _REN = "formula"
 for _src, _dst in FC.RENAMES.items():
-    _REN = f"regexp_replace({_REN}, '\\b{_src}\\s*\\(', '{_dst}(', 'g')"
+    _REN = f"regexp_replace({_REN}, '\\b{_src}\\s*\\(', '{_dst}(', 'gi')"
 _fc("fc04_function_renaming", lambda c: c.select("path", "name", FC.rename_functions(F.col("formula")).alias("formula")), f"SELECT path, name, {_REN} AS formula FROM calcs")
 
 
 def _fc05(c):
-    return FC.dependency_depth(c, keys=("path",))
+    return FC.dependency_depth(c, keys=("path",)).select("path", "caller", "depth")
 
 
 _fc(

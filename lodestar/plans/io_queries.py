@@ -21,7 +21,7 @@ DOC_PATH_SQL = "substr(path, 9)"  # '/corpus/' prefix removed -> 'REGION/NATION_
 
 def _write_corpus_files(spark, sf_dir, folder, copies=1):
     """Write every corpus document as its own file: ``folder/copy_k/doc=<name>/part-*.twb``."""
-    docs = workbook_corpus(spark, sf_dir).select(F.substring("path", 9, 1000).alias("doc"), "content")
+    docs = workbook_corpus(spark, sf_dir).select(F.expr("substring(path, 9)").alias("doc"), "content")
     for k in range(copies):
         docs.write.mode("overwrite").partitionBy("doc").option("compression", "none").format("text").save(f"{folder}/copy_{k}")
     return folder
@@ -58,9 +58,11 @@ def _io06(spark, sf_dir):
     t = Tables(spark, sf_dir)
     rows = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
     path = S.scratch_dir(spark, "csv")
-    S.append_csv(rows.filter(F.col("s_nationkey") < 12), path)  # first run writes the header + rows
-    S.append_csv(rows.filter(F.col("s_nationkey") >= 12), path)  # second run appends
-    return spark.read.option("header", True).schema("s_suppkey bigint, s_name string, s_nationkey int").csv(path)
+    S.append_csv(rows.filter(F.col("s_nationkey") < 12), path, "1")  # first run writes the header + rows
+    for _ in range(2):  # the second run appends; written again, it replaces itself
+        S.append_csv(rows.filter(F.col("s_nationkey") >= 12), path, "2")
+    back = spark.read.option("header", True).schema("s_suppkey bigint, s_name string, s_nationkey int").csv(path)
+    return back.select("s_suppkey", "s_name", "s_nationkey")
 
 
 add("io06_combined_csv_append", _io06, "SELECT s_suppkey, s_name, s_nationkey FROM supplier")

@@ -322,13 +322,39 @@ def key_integrity(w: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+# Tables without exec_id of their own: the header whose run they belong to, by its key.
+RUN_OF = {
+    "datasource_detail": ("datasource_header", "datasource_header_id"),
+    "worksheet_detail": ("worksheet_header", "worksheet_header_id"),
+    "dashboard_detail": ("dashboard_header", "dashboard_header_id"),
+    "table_detail": ("table_header", "table_header_id"),
+    "datasource_table_xref": ("datasource_header", "datasource_header_id"),
+    "datasource_column_xref": ("datasource_header", "datasource_header_id"),
+    "worksheet_datasource_xref": ("worksheet_header", "worksheet_header_id"),
+    "table_output_file": ("table_header", "table_header_id"),
+}
+
+
+def with_run(w: dict[str, DataFrame], name: str, first: str | None) -> DataFrame:
+    """A table with the run of each row; rows without a header belong to the load's ``first`` run."""
+    df = w[name]
+    if "exec_id" in df.columns:
+        return df
+    header, key = RUN_OF[name]
+    runs = w[header].select(key, "exec_id").distinct()
+    return df.join(runs, key, "left").select(*df.columns, F.coalesce("exec_id", F.lit(first)).alias("exec_id"))
+
+
 def write_run(w: dict[str, DataFrame], out_dir: str) -> None:
-    """Q15: idempotent load — tables with ``exec_id`` overwrite only the runs
-    present in this load (dynamic partition overwrite)."""
+    """Q15: idempotent load.  Every table is kept by ``exec_id``; the runs of this
+    load are replaced in all of them, also where a run has no rows now, and other
+    runs stay as they are."""
     spark = next(iter(w.values())).sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    for name, df in w.items():
-        writer = df.write.mode("overwrite")
-        if "exec_id" in df.columns:
-            writer = writer.partitionBy("exec_id")
-        writer.parquet(f"{out_dir.rstrip('/')}/{name}")
+    runs = [r[0] for r in w["migration_execution_header"].select("exec_id").distinct().collect()]  # the runs of one load
+    fs = spark._jvm.org.apache.hadoop.fs
+    for name in w:
+        target = f"{out_dir.rstrip('/')}/{name}"
+        for run in runs:  # a load that fails after this is loaded again
+            old = fs.Path(f"{target}/exec_id={run}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        with_run(w, name, min(runs, default=None)).write.mode("append").partitionBy("exec_id").parquet(target)

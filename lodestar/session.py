@@ -27,11 +27,11 @@ SQL_DEFAULTS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
+    """Sets the options that this session has not set itself; a caller's own values stay."""
+    own = {k for k, _ in spark.sparkContext.getConf().getAll()}
     for key, value in SQL_DEFAULTS.items():
-        try:
+        if key not in own and (key == "spark.sql.session.timeZone" or spark.conf.get(key, None) is None):
             spark.conf.set(key, value)
-        except Exception:  # static conf on a managed cluster
-            pass
     return spark
 
 
@@ -55,13 +55,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
-    Uses ``spark.checkpoint.dir`` as the cluster names it.  Only when it is
-    unset (local tests) a scratch folder is created and registered.
+    Uses ``spark.checkpoint.dir`` as the cluster names it.  Only in local mode,
+    where driver and tasks share one machine, a scratch folder is created when it
+    is unset; on a cluster that is an error, as executors could not see it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master}")
         configured = tempfile.mkdtemp(prefix="lodestar-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)

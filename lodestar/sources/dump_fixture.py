@@ -367,7 +367,7 @@ def materialized_warehouse(spark, sf_dir: str) -> dict:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MATERIALIZED:
         checkpoint_dir(spark)
-        dump = derive_dump(spark, sf_dir).coalesce(4).checkpoint()
+        dump = derive_dump(spark, sf_dir).hint("rebalance").checkpoint()  # as many partitions as its size asks for
         w = {"raw_data_dump": dump}
         w.update(W.load(dump))
         _MATERIALIZED[key] = w
