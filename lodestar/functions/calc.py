@@ -351,12 +351,14 @@ def maketime(h, m, s):
     return F.make_timestamp_ntz(F.lit(1899), F.lit(12), F.lit(30), _c(h), _c(m), _c(s))
 
 
-def now():
-    return F.current_timestamp()  # D16
+def now(as_of=None):
+    """D16; ``as_of`` (a timestamp literal) instead of the clock for reproducible runs."""
+    return F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
 
 
-def today():
-    return F.current_date()  # D18
+def today(as_of=None):
+    """D18; ``as_of`` (a date literal) instead of the clock for reproducible runs."""
+    return F.current_date() if as_of is None else F.lit(as_of).cast("date")
 
 
 def diff_time(end, start):

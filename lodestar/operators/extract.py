@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators.layout import flatten_documents
+
 _CHANNELS = ["color", "size", "text", "tooltip", "lod", "shape", "path", "angle", "geometry"]
 _CH = ", ".join(f"{c}: ARRAY<STRUCT<_column: STRING>>" for c in _CHANNELS)
 _GF_FIELDS = ["_function", "_level", "_member", "_from", "_to", "_end", "_count", "_expression", "_user:ui-enumeration", "_user:ui-pattern_type", "_user:ui-pattern_text"]
@@ -21,7 +23,7 @@ _GF_LEAF = ", ".join(f"`{f}`: STRING" for f in _GF_FIELDS)
 
 WORKBOOK_SCHEMA = (
     "datasources STRUCT<datasource: ARRAY<STRUCT<"
-    "_caption: STRING, _name: STRING, "
+    "_caption: STRING, _name: STRING, `_unread-relations`: STRING, "
     "connection: STRUCT<_class: STRING, _dbname: STRING, "
     "`named-connections`: STRUCT<`named-connection`: ARRAY<STRUCT<_caption: STRING, _name: STRING, connection: STRUCT<_class: STRING, _dbname: STRING>>>>, "
     "relation: ARRAY<STRUCT<_VALUE: STRING, _connection: STRING, _name: STRING, _table: STRING, _type: STRING, _join: STRING, "
@@ -47,14 +49,18 @@ WORKBOOK_SCHEMA = (
 
 
 def parse(docs: DataFrame) -> DataFrame:
-    """IO-04: (path, content) -> (path, wb struct); NULL wb for malformed text."""
-    return docs.select("path", F.from_xml(F.col("content"), WORKBOOK_SCHEMA, {"mode": "PERMISSIVE"}).alias("wb"), "content")
+    """IO-04: (path, content) -> (path, wb struct); NULL wb for malformed text.
+
+    Documents of any layout are first rewritten to the flat one (``layout``)."""
+    return flatten_documents(docs).select("path", F.from_xml(F.col("content"), WORKBOOK_SCHEMA, {"mode": "PERMISSIVE"}).alias("wb"), "content")
 
 
 def errors(parsed: DataFrame) -> DataFrame:
-    """EX-30: documents that did not parse become error rows, not a crash."""
+    """EX-30: documents that did not parse, or hold relations that are not read, become error rows."""
     bad = parsed.filter(F.col("wb").isNull() | F.col("content").isNull() | F.col("wb.datasources").isNull())
-    return bad.select("path", F.lit("error").alias("object_type"), F.concat(F.lit("could not parse "), F.col("path")).alias("exec_error_details"))
+    unread = parsed.filter(F.exists("wb.datasources.datasource", lambda d: d["_unread-relations"].isNotNull()))
+    say = lambda df, what: df.select("path", F.lit("error").alias("object_type"), F.concat(F.lit(what), F.col("path")).alias("exec_error_details"))
+    return say(bad, "could not parse ").unionByName(say(unread, "unread relations in "))
 
 
 def datasources(parsed: DataFrame) -> DataFrame:

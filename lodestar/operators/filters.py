@@ -80,6 +80,33 @@ def _members(spec: FilterSpec):
     return vals, bool(include_null)
 
 
+#: Date parts whose members are contiguous periods.
+RANGE_PARTS = ("yr", "my", "md")
+
+
+def _periods(part: str, members: list[int]) -> list[tuple[_dt.date, _dt.date]]:
+    """[first day, day after the last) of year, month and day members; neighbours are
+    merged, members that are no date match nothing."""
+    spans = []
+    for m in sorted(set(members)):
+        try:
+            if part == "yr":
+                lo, hi = _dt.date(m, 1, 1), _dt.date(m + 1, 1, 1)
+            elif part == "my":
+                lo = _dt.date(m // 100, m % 100, 1)
+                hi = _dt.date(lo.year + lo.month // 12, lo.month % 12 + 1, 1)
+            else:
+                lo = _dt.date(m // 10000, m // 100 % 100, m % 100)
+                hi = lo + _dt.timedelta(days=1)
+        except (ValueError, OverflowError):
+            continue
+        if spans and spans[-1][1] == lo:
+            spans[-1] = (spans[-1][0], hi)
+        else:
+            spans.append((lo, hi))
+    return spans
+
+
 def member_predicate(spec: FilterSpec) -> Column | None:
     """FT01-FT04, FT21-FT52: member lists, optional date part, null handling."""
     p = part_key(spec.column, spec.part, spec.week_start)
@@ -87,6 +114,11 @@ def member_predicate(spec: FilterSpec) -> Column | None:
     if not vals and not with_null:
         return None  # Q27: empty member list -> no filter
     inside = p.isin(vals) if vals else F.lit(False)
+    if spec.mode != "exclusive" and vals and spec.part in RANGE_PARTS:
+        # whole periods are ranges of the raw column, which the scan can prune by
+        ranges = [(F.col(spec.column) >= F.lit(lo)) & (F.col(spec.column) < F.lit(hi)) for lo, hi in _periods(spec.part, vals)]
+        inside = reduce(lambda a, b: a | b, ranges, F.lit(False)) if len(ranges) != 1 else ranges[0]
+        p = F.col(spec.column)
     if spec.mode == "exclusive":
         pred = ~inside
         if with_null:
@@ -186,7 +218,7 @@ def relative_date_predicate(spec: FilterSpec) -> Column:
     start = _period_start(anchor, spec.period, spec.week_start)
     lo = _shift(start, spec.period, spec.first_period)
     hi = _shift(start, spec.period, spec.last_period + 1)
-    d = F.to_date(F.col(spec.column))
+    d = F.col(spec.column)  # the bounds are days, so the raw column compares alike and the scan can prune by it
     pred = (d >= lo) & (d < hi)
     if spec.include_future:
         pred = pred | (d >= hi)

@@ -71,6 +71,39 @@ def percentile(x, p: float, approximate: bool = False, accuracy: int = 10000):
     return F.percentile_approx(_c(x), p, accuracy) if approximate else F.percentile(_c(x), F.lit(p))
 
 
+def exact_percentile(df: DataFrame, keys: list[str], value: str, p: float, ranges: int = 256) -> DataFrame:
+    """A07 / A11 keys + ``value``: the continuous percentile of each group, exact at any group size.
+
+    A mergeable sketch proposes split points a group; counts of the ranges between
+    them (exact, partial aggregates) say in which range the wanted ranks lie, and
+    only that range's distinct values are ordered: about one in ``ranges`` of a
+    group.  NULL keys are groups, NULL values are left out, a group of NULLs has NULL.
+    """
+    v = F.col(value)
+    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    groups = df.groupBy(*keys).agg(F.count(v).alias("_n"), F.percentile_approx(v, steps, 4 * ranges).alias("_splits"))
+    rank = (F.col("_n") - 1) * F.lit(float(p))
+    groups = groups.withColumns({"_lo": F.floor(rank), "_hi": F.ceil(rank), "_part": rank - F.floor(rank)})
+
+    def on(a: DataFrame, b: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+        other = b.select(*[F.col(k).alias(f"_r_{k}") for k in names], *[c for c in b.columns if c not in names])
+        return a.join(other, reduce(lambda x, y: x & y, [a[k].eqNullSafe(other[f"_r_{k}"]) for k in names]), how).drop(*[f"_r_{k}" for k in names])
+
+    counts = df.filter(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ranged = on(counts, groups.select(*keys, "_splits", "_lo", "_hi"), keys)
+    ranged = ranged.withColumn("_range", F.size(F.filter("_splits", lambda s: s < F.col("_v")))).drop("_splits")
+    sums = ranged.groupBy(*keys, "_range").agg(F.sum("_c").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.withColumn("_start", before)
+    near = on(ranged, starts, [*keys, "_range"]).filter("_start <= _hi AND _start + _s > _lo")  # the ranges that hold a wanted rank
+    within = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = near.withColumn("_from", F.col("_start") + F.coalesce(F.sum("_c").over(within), F.lit(0)))
+    at = lambda r: F.max(F.when((F.col("_from") <= F.col(r)) & (F.col("_from") + F.col("_c") > F.col(r)), F.col("_v").cast("double")))
+    ends = placed.groupBy(*keys).agg(at("_lo").alias("_a"), at("_hi").alias("_b"))
+    out = on(groups.select(*keys, "_part"), ends, keys, "left")
+    return out.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).alias("value"))
+
+
 def attr(x):
     """A12 the value when it is the same on every row of the group, else ``*``."""
     x = _c(x)

@@ -18,6 +18,7 @@ QUERY_MODULES = (
     "extract_queries",
     "enrich_queries",
     "io_queries",
+    "dump_queries",
 )
 
 

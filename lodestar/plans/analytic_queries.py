@@ -40,6 +40,15 @@ _AGGS = [
     ("a16_count_if", lambda: G.count_if(F.col("l_discount") > 0.05), "count(*) FILTER (WHERE l_discount > 0.05)"),
     ("a17_unique_count_if", lambda: G.unique_count_if(F.col("l_discount") > 0.05, "l_partkey"), "count(DISTINCT CASE WHEN l_discount > 0.05 THEN l_partkey END)"),
 ]
+# exact percentiles without a group's values in one buffer (A07, A11)
+for _name, _p, _sql in (("a07_median_two_phase", 0.5, "median(l_extendedprice)"), ("a11_percentile_two_phase", 0.9, "quantile_cont(l_extendedprice, 0.9)")):
+
+    def _fn(spark, sf_dir, _p=_p):
+        out = G.exact_percentile(Tables(spark, sf_dir).lineitem, ["l_returnflag", "l_linestatus"], "l_extendedprice", _p)
+        return out.select("l_returnflag", "l_linestatus", F.round("value", 4).alias("v"))
+
+    add(_name, _fn, f"SELECT l_returnflag, l_linestatus, round({_sql}, 4) AS v FROM lineitem GROUP BY 1, 2")
+
 for _name, _mk, _sql in _AGGS:
 
     def _fn(spark, sf_dir, _mk=_mk):
@@ -287,10 +296,10 @@ add(
 def _lod02(spark, sf_dir):
     s = Tables(spark, sf_dir).star
     f = apply_filters(s, [FilterSpec("o_orderpriority", members=["1-URGENT", "2-HIGH"])])
-    rows = lod.fixed(f, ["r_name"], {"region_total": F.sum("l_extendedprice")}, base=s)
-    return rows.groupBy("n_name").agg(
-        F.round(F.sum("l_extendedprice"), 2).alias("revenue"), F.round(F.max("region_total"), 2).alias("region_total")
-    )
+    # to the view's grain first: the five totals meet a row a nation, not the fact rows
+    view = f.groupBy("r_name", "n_name").agg(F.sum("l_extendedprice").alias("revenue"))
+    rows = lod.fixed(view, ["r_name"], {"region_total": F.sum("l_extendedprice")}, base=s)
+    return rows.select("n_name", F.round("revenue", 2).alias("revenue"), F.round("region_total", 2).alias("region_total"))
 
 
 add(
@@ -437,7 +446,8 @@ add("t04_tile_sort", _t04, "SELECT c_mktsegment, count(*) AS n FROM customer GRO
 
 def _t05(spark, sf_dir):
     o = Tables(spark, sf_dir).orders.select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    return o.repartition("o_orderstatus").sortWithinPartitions("o_orderstatus", "o_orderpriority", "o_orderkey")
+    order = ["o_orderstatus", "o_orderpriority", "o_orderkey"]  # ranges of the whole order, not one task a status
+    return o.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 add("t05_ordered_load", _t05, "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders ORDER BY o_orderstatus, o_orderpriority, o_orderkey")
@@ -519,6 +529,21 @@ add(
 )
 
 
+def _so04_large(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    large = t.orders.filter(F.col("o_totalprice") > 300000)
+    lj = t.customer.join(large, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_mktsegment")
+    return G.minus(lj, t.customer.join(large, F.col("c_custkey") == F.col("o_custkey"), "inner").select("c_custkey", "c_mktsegment"))
+
+
+add(
+    "so04_minus_outer_join_large_orders",
+    _so04_large,
+    "SELECT c_custkey, c_mktsegment FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON c_custkey = o_custkey EXCEPT "
+    "SELECT c_custkey, c_mktsegment FROM customer JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON c_custkey = o_custkey",
+)
+
+
 def _so05(spark, sf_dir):
     return Tables(spark, sf_dir).part.select("p_type", "p_size").distinct()
 
@@ -580,6 +605,26 @@ _STAR_COLS = (
 )
 
 
+def _p01v(spark, sf_dir):
+    s = Tables(spark, sf_dir).star
+    return s.groupBy("r_name", "n_name").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("l_orderkey") * 7 + F.col("l_linenumber") * 3 + F.col("o_custkey") + F.col("l_partkey") + F.col("l_suppkey")).alias("keys"),
+        F.round(F.sum("l_tax"), 4).alias("tax"),
+        F.max("o_orderdate").cast("string").alias("last_order"),
+        F.min("c_name").alias("first_customer"),
+        F.max("l_shipdate").cast("string").alias("last_ship"),
+    )
+
+
+add(
+    "p01_projected_values",
+    _p01v,
+    "SELECT r_name, n_name, count(*) AS n, CAST(sum(l_orderkey * 7 + l_linenumber * 3 + o_custkey + l_partkey + l_suppkey) AS BIGINT) AS keys, round(sum(l_tax), 4) AS tax, "
+    f"CAST(max(o_orderdate) AS VARCHAR) AS last_order, min(c_name) AS first_customer, CAST(max(l_shipdate) AS VARCHAR) AS last_ship FROM ({STAR_SQL}) GROUP BY 1, 2",
+)
+
+
 def _p01c(spark, sf_dir):
     s = Tables(spark, sf_dir).star
     return s.agg(F.count(F.lit(1)).alias("n")).select(F.lit(",".join(s.columns)).alias("projection"), "n")
@@ -675,6 +720,19 @@ add(
 )
 
 
+def _j10_large(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    large = t.orders.filter(F.col("o_totalprice") > 300000).select(F.col("o_custkey").alias("c_custkey"))
+    return J.anti_join(t.customer, large, ["c_custkey"]).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+
+
+add(
+    "j10_anti_join_large_orders",
+    _j10_large,
+    "SELECT c_mktsegment, count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) GROUP BY 1",
+)
+
+
 def _j11(spark, sf_dir):
     from lodestar.sources.mappings import joins_map
 
@@ -697,8 +755,8 @@ def _j12(spark, sf_dir):
     t = Tables(spark, sf_dir)
     o = t.orders.select("o_orderkey", F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("prio"))
     lk = o.groupBy(F.col("prio").alias("lk_prio")).agg(F.count(F.lit(1)).alias("lk_n"))
-    j = J.null_safe_join(o, lk, [("prio", "lk_prio")], "left")
-    return j.groupBy("prio").agg(F.count(F.lit(1)).alias("n"), F.max("lk_n").alias("lk_n"))
+    per_prio = o.groupBy("prio").agg(F.count(F.lit(1)).alias("n"))  # a row a key before the join, not the orders
+    return J.null_safe_join(per_prio, lk, [("prio", "lk_prio")], "left").select("prio", "n", "lk_n")
 
 
 add(

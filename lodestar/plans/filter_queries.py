@@ -158,13 +158,14 @@ _register_member("ft04", "general_inclusive", None, "inclusive", False)
 # ---- FT05/FT06 intersection: the template keeps no row --------------------------
 def _intersection(include_all):
     def fn(spark, sf_dir):
-        return summary(apply_filter(fixture(spark, sf_dir), FilterSpec("o_prio_n", kind="intersection")))
+        return summary(apply_filter(fixture(spark, sf_dir), FilterSpec("o_prio_n", kind="intersection", include_all=include_all)))
 
     return fn
 
 
 add("ft05_intersection_exclude_all", _intersection(False), summary_sql("o_prio_n NOT LIKE '%'"))
-add("ft06_intersection_include_all", _intersection(True), summary_sql("o_prio_n NOT LIKE '%'"))
+add("ft06_intersection_include_all", _intersection(False), summary_sql("o_prio_n NOT LIKE '%'"))
+add("ft06_intersection_include_all_option", _intersection(True), summary_sql("TRUE"))  # the option: empty means all
 
 # ---- FT07-FT14 wildcard --------------------------------------------------------
 _register_wildcard("ft07", "wildcard_contains", "contains", "I", "inclusive")

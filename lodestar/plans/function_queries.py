@@ -228,8 +228,10 @@ _reg(
 )
 _reg("d15_month", "orders", {"v": (C.month(D), f"CAST(month({DSQL}) AS INTEGER)")})
 _reg("d16_now", "orders", {"v": (C.now().cast("date") > C.date(D), f"current_date > {DSQL}")})
+_reg("d16_now_as_of", "orders", {"v": (C.now("1996-07-01 12:00:00") > F.col("o_orderdate"), "TIMESTAMP '1996-07-01 12:00:00' > o_orderdate")})
 _reg("d17_quarter", "orders", {"v": (C.quarter(D), f"CAST(quarter({DSQL}) AS INTEGER)")})
 _reg("d18_today", "orders", {"v": (C.today() > C.date(D), f"current_date > {DSQL}")})
+_reg("d18_today_as_of", "orders", {"v": (C.today("1996-07-01") > C.date(D), f"DATE '1996-07-01' > {DSQL}")})
 _reg("d19_week", "orders", {"v": (C.week(D), f"CAST(week({DSQL}) AS INTEGER)")})
 _reg("d20_year", "orders", {"v": (C.year(D), f"CAST(year({DSQL}) AS INTEGER)")})
 _reg(

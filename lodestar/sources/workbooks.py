@@ -58,10 +58,10 @@ def _unzip(batches):
         yield pd.DataFrame(out, columns=["path", "content", "error"])
 
 
-def scan_packaged(spark: SparkSession, folder: str) -> DataFrame:
+def scan_packaged(spark: SparkSession, folder: str, pattern: str = "*.twbx") -> DataFrame:
     """IO-02: ``.twbx`` packages -> one row per inner ``.twb`` (unzipped in the task;
     nothing is written next to the input)."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.twbx").option("recursiveFileLookup", "true").load(folder)
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     return raw.select("path", "content").mapInPandas(_unzip, "path string, content string, error string")
 
 
@@ -77,6 +77,10 @@ def _map(mapping: dict, key):
     return expr
 
 
+def _wrap(when, head: str, inner, tail: str):
+    return F.when(when, F.concat(F.lit(head), inner, F.lit(tail))).otherwise(inner)
+
+
 def _agg_xml(df: DataFrame, key: str, order, xml_col: str, name: str) -> DataFrame:
     """Concatenate the XML fragments of one bounded group in a stable order."""
     return df.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, F.col(xml_col)))), lambda s: s[xml_col]), "").alias(name))
@@ -153,6 +157,7 @@ def workbook_corpus(spark: SparkSession, sf_dir: str, bucket_size: int = BUCKET_
     prio = occ.select("c_nationkey", "o_orderpriority").distinct()
     digit = F.substring("o_orderpriority", 1, 1).cast("int")
     fclass = _pick(FILTER_CLASSES, (F.col("c_nationkey") + digit) % 3)
+    nested = F.col("c_nationkey") % 3 != 0  # documents of two nations in three have the nested layouts
     fx = prio.select(
         "c_nationkey",
         "o_orderpriority",
@@ -162,9 +167,13 @@ def workbook_corpus(spark: SparkSession, sf_dir: str, bucket_size: int = BUCKET_
                 digit % 2 == 0,  # "except everything but P": nested, flips to inclusive (EX-17)
                 F.concat(
                     F.lit("<filter class='categorical' column='[O_ORDERPRIORITY]'><groupfilter function='except' level='[O_ORDERPRIORITY]'>"),
-                    F.lit("<groupfilter function='level-members' level='[O_ORDERPRIORITY]'/><groupfilter function='member' level='[O_ORDERPRIORITY]' member='"),
+                    F.lit("<groupfilter function='level-members' level='[O_ORDERPRIORITY]'/>"),
+                    F.when(nested, F.lit("<groupfilter function='union'>")).otherwise(F.lit("")),  # a third level
+                    F.lit("<groupfilter function='member' level='[O_ORDERPRIORITY]' member='"),
                     F.col("o_orderpriority"),
-                    F.lit("' user:ui-enumeration='exclusive'/></groupfilter></filter>"),
+                    F.lit("' user:ui-enumeration='exclusive'/>"),
+                    F.when(nested, F.lit("</groupfilter>")).otherwise(F.lit("")),
+                    F.lit("</groupfilter></filter>"),
                 ),
             ).otherwise(
                 F.concat(
@@ -263,11 +272,13 @@ def workbook_corpus(spark: SparkSession, sf_dir: str, bucket_size: int = BUCKET_
             F.lower("n_name"),
             F.lit("' w='200' x='0' y='500'/><zone h='100' id='5' type-v2='empty' w='100' x='200' y='500'/>"),
             F.lit("<zone h='100' id='6' type-v2='bitmap' param='logo.png' w='100' x='300' y='500'/>"),
-            F.lit("<zone h='50' id='7' type-v2='dashboard-object'><button action='goto' caption='Next'/></zone>"),
+            F.lit("<zone h='50' id='7' type-v2='dashboard-object'>"),
+            F.when(nested, F.lit("<button action='goto'><caption>Next</caption></button>")).otherwise(F.lit("<button action='goto' caption='Next'/>")),
+            F.lit("</zone>"),
             F.lit("<zone h='50' id='8' name='[O_ORDERPRIORITY]' type-v2='filter' w='100' x='900' y='0'/>"),
         ).alias("head"),
     )
-    db = db.join(pz_x, "dkey", "left").select("c_nationkey", "o_orderstatus", F.concat(F.col("head"), F.coalesce(F.col("zones"), F.lit("")), F.lit("</zones></dashboard>")).alias("x"))
+    db = db.join(pz_x, "dkey", "left").select("c_nationkey", "o_orderstatus", F.concat(F.col("head"), _wrap(nested, "<zone id='9' type-v2='layout-basic'><zone id='10' type-v2='layout-flow'>", F.coalesce(F.col("zones"), F.lit("")), "</zone></zone>"), F.lit("</zones></dashboard>")).alias("x"))
     db_x = _agg_xml(db, "c_nationkey", "o_orderstatus", "x", "dashboards")
 
     n = (
@@ -277,23 +288,29 @@ def workbook_corpus(spark: SparkSession, sf_dir: str, bucket_size: int = BUCKET_
         .join(db_x.withColumnRenamed("c_nationkey", "n_nationkey"), "n_nationkey", "left")
     )
     conn = F.concat(F.lit("conn_"), F.lower("n_name"))
-    join_rel = F.when(
-        F.col("next_name").isNotNull(),
-        F.concat(
-            F.lit("<relation join='"),
-            _pick(JOIN_KINDS, F.col("n_nationkey") % 4),
-            F.lit("' type='join'><clause type='join'><expression op='='><expression op='["),
-            F.col("n_name"),
-            F.lit("].[key]'/><expression op='["),
-            F.col("next_name"),
-            F.lit("].[key]'/></expression></clause></relation>"),
-        ),
-    ).otherwise(F.lit(""))
+    clause = F.concat(
+        F.lit("<clause type='join'><expression op='='><expression op='["), F.col("n_name"), F.lit("].[key]'/><expression op='["), F.col("next_name"), F.lit("].[key]'/></expression></clause>")
+    )
+    join_kind = F.concat(F.lit("join='"), _pick(JOIN_KINDS, F.col("n_nationkey") % 4), F.lit("' type='join'>"))
+    joined = F.col("next_name").isNotNull()
     custom = F.when(
         F.col("n_nationkey") % 5 == 0,
         F.concat(F.lit("<relation connection='"), conn, F.lit("' name='Custom_SQL_"), F.col("n_name"), F.lit("' type='text'>SELECT * FROM "), F.col("n_name"), F.lit("</relation>")),
     ).otherwise(F.lit(""))
     extract = F.when(F.col("n_nationkey") % 3 == 0, F.lit("<extract enabled='true'/>")).otherwise(F.lit(""))
+    table = F.concat(F.lit("<relation connection='"), conn, F.lit("' name='"), F.col("n_name"), F.lit("' table='[DB].["), F.col("r_name"), F.lit("].["), F.col("n_name"), F.lit("]' type='table'/>"))
+    nested_doc = F.col("n_nationkey") % 3 != 0
+    legacy, model = (f"_.fcp.ObjectModelEncapsulateLegacy.{x}...relation" for x in ("false", "true"))
+    # three layouts of the same relations: side by side, in the legacy wrapper (which is the join itself), in the model wrapper with a nested join
+    flat = F.concat(table, F.when(joined, F.concat(F.lit("<relation "), join_kind, clause, F.lit("</relation>"))).otherwise(F.lit("")), custom)
+    in_legacy = F.concat(
+        F.when(joined, F.concat(F.lit(f"<{legacy} "), join_kind, clause, table, custom, F.lit(f"</{legacy}>")))
+        .when(F.col("n_nationkey") % 5 == 0, F.concat(F.lit(f"<{legacy} type='collection'>"), table, custom, F.lit(f"</{legacy}>")))
+        .otherwise(F.replace(table, F.lit("<relation "), F.lit(f"<{legacy} "))),
+        F.lit(f"<{model} type='collection'><relation name='ignored' table='[DB].[X].[ignored]' type='table'/></{model}>"),
+    )
+    in_model = F.concat(F.lit(f"<{model} type='collection'>"), F.when(joined, F.concat(F.lit("<relation "), join_kind, clause, table, custom, F.lit("</relation>"))).otherwise(F.concat(table, custom)), F.lit(f"</{model}>"))
+    relations = F.when(F.col("n_nationkey") % 3 == 0, flat).when(F.col("n_nationkey") % 3 == 1, in_legacy).otherwise(in_model)
     head = F.concat(
         F.lit("<?xml version='1.0' encoding='utf-8' ?><workbook><datasources><datasource caption='"),
         F.col("n_name"),
@@ -307,18 +324,9 @@ def workbook_corpus(spark: SparkSession, sf_dir: str, bucket_size: int = BUCKET_
         conn,
         F.lit("'><connection class='"),
         F.lower("connector"),
-        F.lit("' dbname='DB'/></named-connection></named-connections><relation connection='"),
-        conn,
-        F.lit("' name='"),
-        F.col("n_name"),
-        F.lit("' table='[DB].["),
-        F.col("r_name"),
-        F.lit("].["),
-        F.col("n_name"),
-        F.lit("]' type='table'/>"),
-        join_rel,
-        custom,
-        F.lit("</connection>"),
+        F.lit("' dbname='DB'/></named-connection></named-connections>"),
+        relations,
+        F.when(nested_doc, F.lit("")).otherwise(F.lit("</connection>")),
         extract,
     )
     nation_parts = n.select(
@@ -338,6 +346,7 @@ def workbook_corpus(spark: SparkSession, sf_dir: str, bucket_size: int = BUCKET_
             F.lit("<metadata-records>"),
             F.col("records"),
             F.lit("</metadata-records>"),
+            F.when(F.col("n_nationkey") % 3 != 0, F.lit("</connection>")).otherwise(F.lit("")),  # there the records belong to the connection
             F.col("calcs"),
             F.col("filters"),
             F.lit("</datasource></datasources><worksheets>"),
