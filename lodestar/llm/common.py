@@ -48,6 +48,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows that a partition of a compacted table holds.
+COMPACT_ROWS = 200_000
+
+
+def compact(df: DataFrame) -> tuple[DataFrame, int]:
+    """A checkpoint in as many partitions as its counted rows ask for, and the count.
+
+    Iterations over tables that have become small otherwise write a file for every
+    pair of partitions; a table of one partition needs no exchange at all.
+    """
+    kept = checkpoint(df)
+    n = kept.count()
+    return kept.coalesce(max(1, -(-n // COMPACT_ROWS))), n
+
+
 def parts(df: DataFrame) -> int:
     """Partitions for an explicit exchange: the session's shuffle setting."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -34,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WordHash, as_bytes, checkpoint, column, mix, steps, table
+from lodestar.llm.common import WordHash, as_bytes, checkpoint, column, compact, mix, steps, table
 from lodestar.llm.graph import components
 
 BANDS, ROWS = 48, 6
 #: By how much the centres of an unsettled bucket grow from round to round.
 MORE_CENTRES = 32
+#: Full sets that a partition holds.
+SETS_PER_PARTITION = 4_096
 SEED = 9
 #: Documents whose sketches are densified at once.
 BLOCK = 1024
@@ -178,43 +180,46 @@ class _Links:
 
     def test(self, pairs: DataFrame) -> None:
         """Confirms the pairs (u < v) that were not tried before, on full sets."""
-        fresh = checkpoint(pairs.join(self.tried, ["u", "v"], "left_anti"))
-        confirmed = checkpoint(_confirm(fresh, self.sets, self.percent))
-        self.tried = self.tried.union(fresh)
-        if not confirmed.isEmpty():
-            self.links = self.links.union(confirmed)
+        fresh, n = compact(pairs.join(self.tried, ["u", "v"], "left_anti"))
+        if not n:
+            return
+        confirmed, n = compact(_confirm(fresh, self.sets, self.percent))
+        self.tried = compact(self.tried.union(fresh))[0]
+        if n:
+            self.links = compact(self.links.union(confirmed))[0]
             self.roots = components(self.roots.selectExpr("node AS u", "root AS v").union(confirmed))
 
-    def open(self, members: DataFrame) -> DataFrame:
-        """The rows of buckets that are more than one component, with root and degree (number of links)."""
-        degree = self.links.selectExpr("u AS rep").union(self.links.selectExpr("v AS rep")).groupBy("rep").agg(F.count("*").alias("degree"))
-        known = self.roots.withColumnRenamed("node", "rep").join(degree, "rep")
+    def open(self, members: DataFrame) -> tuple[DataFrame, int]:
+        """The rows of buckets that are more than one component, with root and degree (number of links); how many."""
+        ends = self.links.select(F.explode(F.array("u", "v")).alias("rep"))
+        known = self.roots.withColumnRenamed("node", "rep").join(ends.groupBy("rep").agg(F.count("*").alias("degree")), "rep")
         labelled = members.join(known, "rep", "left").withColumns({"root": F.coalesce("root", "rep"), "degree": F.coalesce("degree", F.lit(0))})
         split = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-        return checkpoint(labelled.join(split, "bucket"))
+        return compact(labelled.join(split, "bucket"))
 
 
 def _linked(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root) of the class representatives that have confirmed links."""
     rows = reps.select(F.explode("bands").alias("bucket"), "rep", "n")
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
-    members = checkpoint(rows.join(shared, "bucket"))  # only buckets with company
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    members, _ = compact(rows.join(shared, "bucket"))  # only buckets with company
+    wanted, n = compact(members.select(F.col("rep").alias("doc_id")).distinct())
     sets = checkpoint(full_sets(docs.join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]))
+    sets = sets.coalesce(max(1, -(-n // SETS_PER_PARTITION)))
     links = _Links(sets, percent)
     links.test(_stars(members.withColumns({"root": F.col("rep"), "degree": F.lit(0)}), 1, percent))
-    left = links.open(members)
-    if left.isEmpty():
-        return links.roots
-    links.test(_stars(left, 1, percent))  # now around the members with most links
-    left = links.open(members)
-    if left.isEmpty():
+    left, n = links.open(members)
+    if n:
+        links.test(_stars(left, 1, percent))  # now around the members with most links
+        left, n = links.open(members)
+    if not n:
         return links.roots
     # what still shares a bucket without being one component meets again on its rarest shingles only
-    rare = checkpoint(_rare_buckets(sets.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), percent))
+    still, _ = compact(left.select(F.col("rep").alias("doc_id")).distinct())
+    rare, _ = compact(_rare_buckets(sets.join(still, "doc_id", "left_semi"), percent))
     centres = 1
     while True:
-        left = links.open(rare)
+        left, _ = links.open(rare)
         largest = left.groupBy("bucket").count().agg(F.max("count")).first()[0]
         if largest is None:
             return links.roots
