@@ -108,7 +108,7 @@ def _st01(spark, sf_dir):
     _write_corpus_files(spark, sf_dir, f"{base}/in")
     intake.run_intake(spark, f"{base}/in", f"{base}/out", f"{base}/chk", pattern="*.txt")
     out = spark.read.parquet(f"{base}/out")
-    return out.filter(F.col("object_type") == "column").select(_doc_from_path(F.col("path")).alias("doc"), "local_column_name", F.col("property_value").alias("data_type"))
+    return out.filter(F.col("property_type") == "metadata-record").select(_doc_from_path(F.col("path")).alias("doc"), "local_column_name", F.col("property_value").alias("data_type"))
 
 
 add(

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.operators import extract as X
+from lodestar.operators.dump import extracted_rows
 from lodestar.sources.workbooks import BINARY_SCHEMA
 
 
@@ -34,37 +35,21 @@ def workbook_stream(spark: SparkSession, folder: str, pattern: str = "*.twb", ma
     )
 
 
-def property_rows(docs: DataFrame) -> DataFrame:
-    """Extraction used per micro-batch: column metadata rows + error rows.
-
-    Both come out of one parse of each document: the two row kinds are one array
-    that is exploded."""
-    parsed = X.parse(docs)
-    kind = "struct<object_type:string,datasource_name:string,local_column_name:string,property_value:string,exec_error_details:string>"
-    none = F.lit(None).cast("string")
-    strip = lambda c: F.regexp_replace(c, r"^\[|\]$", "")
-
-    def column_row(ds, m):
-        return F.struct(F.lit("column").alias("object_type"), ds["_caption"].alias("datasource_name"), strip(m["local-name"]).alias("local_column_name"), m["local-type"].alias("property_value"), none.alias("exec_error_details"))
-
-    empty = F.array().cast(f"array<{kind}>")
-    records = lambda ds: F.filter(F.coalesce(ds["metadata-records"]["metadata-record"], F.array()), lambda m: m["_class"] == "column")
-    cols = F.flatten(F.transform(F.col("wb.datasources.datasource"), lambda ds: F.transform(records(ds), lambda m: column_row(ds, m)).cast(f"array<{kind}>")))
-    bad = F.struct(F.lit("error").alias("object_type"), none.alias("datasource_name"), none.alias("local_column_name"), none.alias("property_value"), F.concat(F.lit("could not parse "), F.col("path")).alias("exec_error_details"))
-    failed = F.col("wb").isNull() | F.col("content").isNull() | F.col("wb.datasources").isNull()
-    rows = F.when(failed, F.array(bad).cast(f"array<{kind}>")).otherwise(F.coalesce(cols, empty))
-    return parsed.select("path", F.inline(rows))
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def write_intake_batch(batch: DataFrame, batch_id: int, out_dir: str) -> None:
-    """One micro-batch into its own ``exec_id`` partition, which a replay overwrites."""
+    """The dump rows of one micro-batch (every kind that extraction has) into its own
+    ``exec_id`` partition, which a replay overwrites.  The parsed documents are kept
+    while the kinds are taken from them, so each document is parsed once."""
     run = hashlib.md5(f"stream-batch-{batch_id}".encode()).hexdigest()
-    property_rows(batch).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/exec_id={run}")
+    parsed = X.parse(batch).persist()
+    try:
+        extracted_rows(parsed).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/exec_id={run}")
+    finally:
+        parsed.unpersist()
 
 
 def write_dedupe_batch(batch: DataFrame, batch_id: int, out_dir: str) -> None:
