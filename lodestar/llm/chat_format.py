@@ -19,7 +19,7 @@ record whose fingerprint no mapping has keeps ``mapping`` null and has no turns
 ordered by the order column, then role, then text, nulls first; repeated rows are
 repeated turns.  Null keys form one conversation.  A conversation is one output
 row, so its turns meet in one task; nothing is cut.  Input columns beyond those
-named are ignored.
+named are ignored; a column named mapping or turns is replaced.
 """
 
 from __future__ import annotations

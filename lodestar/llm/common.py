@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +63,15 @@ def compact(df: DataFrame) -> tuple[DataFrame, int]:
     return kept.coalesce(max(1, -(-n // COMPACT_ROWS))), n
 
 
+#: Rows of a counted table of ids or id pairs (8 or 16 bytes each) up to which it is broadcast.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def small_side(ids: DataFrame, n: int) -> DataFrame:
+    """The counted ids as a broadcast side where they are within the bound; joined by exchange beyond it."""
+    return F.broadcast(ids) if n <= MAX_BROADCAST_IDS else ids
+
+
 def parts(df: DataFrame) -> int:
     """Partitions for an explicit exchange: the session's shuffle setting."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -122,15 +131,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
-def plain(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that further columns of the input cannot clash."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WordHash, as_bytes, checkpoint, column, compact, mix, steps, table
+from lodestar.llm.common import WordHash, as_bytes, checkpoint, column, compact, mix, small_side, steps, table
 from lodestar.llm.graph import components
 
 BANDS, ROWS = 48, 6
@@ -160,11 +160,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` that are kept: of each group of near duplicates the document with the smallest id, once."""
     verdict = checkpoint(near_duplicates(df, id_col, text_col, **options).select(id_col, "kept"))
-    gone = verdict.filter("NOT kept").select(id_col).distinct()
+    gone = small_side(*compact(verdict.filter("NOT kept").select(id_col).distinct()))
     left = df.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
-    repeated = checkpoint(verdict.filter(f"kept AND `{id_col}` IS NOT NULL").groupBy(id_col).count().filter("count > 1").select(id_col))
-    if repeated.isEmpty():
+    repeated, n = compact(verdict.filter(f"kept AND `{id_col}` IS NOT NULL").groupBy(id_col).count().filter("count > 1").select(id_col))
+    if not n:
         return left
+    repeated = small_side(repeated, n)
     # rows that repeat an id are one document
     again = left.join(repeated, id_col, "left_semi").select(*left.columns).dropDuplicates([id_col])
     return left.join(repeated, id_col, "left_anti").select(*left.columns).unionByName(again)
@@ -183,7 +184,7 @@ class _Links:
         fresh, n = compact(pairs.join(self.tried, ["u", "v"], "left_anti"))
         if not n:
             return
-        confirmed, n = compact(_confirm(fresh, self.sets, self.percent))
+        confirmed, n = compact(_confirm(small_side(fresh, n), self.sets, self.percent))
         self.tried = compact(self.tried.union(fresh))[0]
         if n:
             self.links = compact(self.links.union(confirmed))[0]
@@ -204,7 +205,7 @@ def _linked(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFr
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
     members, _ = compact(rows.join(shared, "bucket"))  # only buckets with company
     wanted, n = compact(members.select(F.col("rep").alias("doc_id")).distinct())
-    sets = checkpoint(full_sets(docs.join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]))
+    sets = checkpoint(full_sets(docs.join(small_side(wanted, n), "doc_id", "left_semi"), size).dropDuplicates(["doc_id"]))
     sets = sets.coalesce(max(1, -(-n // SETS_PER_PARTITION)))
     links = _Links(sets, percent)
     links.test(_stars(members.withColumns({"root": F.col("rep"), "degree": F.lit(0)}), 1, percent))
@@ -215,7 +216,7 @@ def _linked(docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFr
     if not n:
         return links.roots
     # what still shares a bucket without being one component meets again on its rarest shingles only
-    still, _ = compact(left.select(F.col("rep").alias("doc_id")).distinct())
+    still = small_side(*compact(left.select(F.col("rep").alias("doc_id")).distinct()))
     rare, _ = compact(_rare_buckets(sets.join(still, "doc_id", "left_semi"), percent))
     centres = 1
     while True:

@@ -18,7 +18,7 @@ Defined results: vectors that are null, empty or hold null or non-finite
 components take no part, nor do rows with a null id; a query and a candidate of
 different lengths are not compared; ties go to the smaller id.  A row is not its
 own candidate: rows with the query's id are left out, rows of another id with the
-same vector are not.  Repeated rows of a query id count once as query, as often
+same vector are not.  Repeated rows of a query id are one query (that of the smallest vector), and as often
 as they occur as candidates.  Further columns are ignored; the table may be empty.
 """
 
@@ -108,7 +108,7 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
     vectors = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"), is_query.alias("is_query"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     vectors = vectors.filter(F.col("id").isNotNull() & (F.size("vector") > 0) & finite)
-    queries = vectors.filter("is_query").dropDuplicates(["id"]).select("id", "vector")
+    queries = vectors.filter("is_query").groupBy("id").agg(F.min("vector").alias("vector"))
     n, n_queries = vectors.count(), queries.count()
     blocks, shards = -(-max(1, n_queries) // query_block), -(-max(1, n) // shard)
     q = checkpoint(packed(queries, blocks, scale)).selectExpr("block AS q_block", "dim", "ids AS q_ids", "matrix AS q_matrix")

@@ -59,19 +59,15 @@ def _corpus(seed):
 @pytest.mark.parametrize("local,total", [(64, 4096), (2, 4), (3, 1_000_000)])
 def test_hot_minimisers_give_the_same(spark, monkeypatch, local, total):
     """Buckets of any heat, over several partitions and slices."""
-    import inspect
-
     rows = _corpus(local)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    # workers import the module, so the thresholds go there with the function
-    monkeypatch.setattr(sd, "HOT_LOCAL", local)
-    monkeypatch.setattr(sd, "HOT_TOTAL", total)
+    monkeypatch.setattr(sd, "HOT_TOTAL", total)  # read on the driver
     step = sd._mark
 
     def with_limits(k, m):
         run = step(k, m)
 
-        def limited(batches):
+        def limited(batches):  # and by the workers, which import the module
             from lodestar.llm import substring_dedup as own
 
             own.HOT_LOCAL, own.HOT_TOTAL = local, total
@@ -82,7 +78,6 @@ def test_hot_minimisers_give_the_same(spark, monkeypatch, local, total):
 
         return limited
 
-    assert inspect.isfunction(step)
     monkeypatch.setattr(sd, "_mark", with_limits)
     assert _got(sd.repeat_report(df)) == _brute(rows)
 
