@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.functions import calc as C
 from lodestar.operators import grouping as G
 from lodestar.operators import joins as J
 from lodestar.operators import lod
