@@ -80,6 +80,8 @@ def _members(spec: FilterSpec):
     return vals, bool(include_null)
 
 
+#: Members of a top-N set up to which it is broadcast.
+MAX_BROADCAST_MEMBERS = 100_000
 #: Date parts whose members are contiguous periods.
 RANGE_PARTS = ("yr", "my", "md")
 
@@ -252,7 +254,7 @@ def key_set(base: DataFrame, spec: FilterSpec) -> DataFrame:
         # Q3: ties broken by the member, ascending.  TakeOrderedAndProject:
         # each task keeps its best n, the driver merges n x tasks rows.
         keys = agg.orderBy(order, F.col("_key").asc_nulls_first()).limit(int(spec.count)).select("_key")
-        return F.broadcast(keys)  # at most `count` rows
+        return F.broadcast(keys) if int(spec.count) <= MAX_BROADCAST_MEMBERS else keys  # at most `count` rows
     if spec.kind == "condition":
         return agg.filter(spec.condition).select("_key")
     raise ValueError(spec.kind)

@@ -604,6 +604,31 @@ _STAR_COLS = (
 )
 
 
+def _j05_full(spark, sf_dir):
+    """Keys of rows without a partner, on either side, survive the projection."""
+    t = Tables(spark, sf_dir)
+    c = t.customer.filter(F.col("c_custkey") % 3 != 0).select("c_custkey", "c_mktsegment")
+    o = t.orders.filter(F.col("o_totalprice") > 150000).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"))
+    return J.star_join({"c": c, "o": o}, [J.Relationship("c", "o", [("c_custkey", "o_custkey")], "full")])
+
+
+add(
+    "j05_star_join_full",
+    _j05_full,
+    "SELECT coalesce(c_custkey, o_custkey) AS c_custkey, c_mktsegment, orders FROM (SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0) c "
+    "FULL JOIN (SELECT o_custkey, count(*) AS orders FROM orders WHERE o_totalprice > 150000 GROUP BY 1) o ON c_custkey = o_custkey",
+)
+
+
+def _j13_null(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    c = t.customer.select(F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey")).alias("k"))  # unique but for NULLs
+    return J.cardinality(c, t.customer.select(F.col("c_custkey").alias("k")), ["k"], ["k"])
+
+
+add("j13_cardinality_null_keys", _j13_null, "SELECT CAST(1 AS BIGINT) AS left_max, CAST(1 AS BIGINT) AS right_max, 'ONE_TO_ONE' AS cardinality FROM customer LIMIT 1")
+
+
 def _p01v(spark, sf_dir):
     s = Tables(spark, sf_dir).star
     return s.groupBy("r_name", "n_name").agg(

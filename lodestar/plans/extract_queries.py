@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestar.operators import extract as X
 from lodestar.plans.registry import add
 from lodestar.session import checkpoint_dir
+from lodestar.sources.tables import tables_stamp
 from lodestar.sources.workbooks import BUCKET_SIZE, workbook_corpus
 
 _PARSED: dict = {}
@@ -20,7 +21,7 @@ _PARSED: dict = {}
 def parsed_corpus(spark, sf_dir):
     """Corpus + 'bad' copies (every bucket-0 workbook truncated to 120 chars),
     parsed once and cut from lineage with a reliable checkpoint."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, tables_stamp(spark, sf_dir))
     if key not in _PARSED:
         checkpoint_dir(spark)
         docs = workbook_corpus(spark, sf_dir)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from lodestar.plans.registry import add
 from lodestar.plans.report import MODEL_SQL, TILES, model_views, run_tile, tile_sql
 from lodestar.plans.warehouse_sql import with_warehouse
+from lodestar.sources.tables import tables_stamp
 from lodestar.sources.dump_fixture import materialized_warehouse
 
 _VIEWS: dict = {}
 
 
 def views_for(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, tables_stamp(spark, sf_dir))
     if key not in _VIEWS:
         _VIEWS[key] = model_views(materialized_warehouse(spark, sf_dir))
     return _VIEWS[key]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestar.plans.warehouse import DUMP_COLUMNS, conform_dump
 from lodestar.sources.mappings import TARGET_EXTRACT, TARGET_TABLE, chart_map, connectors_map, datatype_map, joins_map
-from lodestar.sources.tables import Tables
+from lodestar.sources.tables import Tables, tables_stamp
 
 # Fixed values of the fixture.
 RUNS = [
@@ -364,7 +364,7 @@ def materialized_warehouse(spark, sf_dir: str) -> dict:
     from lodestar.plans import warehouse as W
     from lodestar.session import checkpoint_dir
 
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, tables_stamp(spark, sf_dir))
     if key not in _MATERIALIZED:
         checkpoint_dir(spark)
         dump = derive_dump(spark, sf_dir).hint("rebalance").checkpoint()  # as many partitions as its size asks for

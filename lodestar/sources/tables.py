@@ -16,6 +16,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tables_stamp(spark: SparkSession, sf_dir: str, names=("region", "nation", "customer", "supplier", "part", "orders")) -> tuple:
+    """Size and modification time of the tables: what is memoized by it is made anew when a table changes."""
+    out = []
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        out.append((name, fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime()))
+    return tuple(out)
+
+
 def register_views(spark: SparkSession, sf_dir: str, names=TABLE_NAMES) -> None:
     for name in names:
         read_table(spark, sf_dir, name).createOrReplaceTempView(name)
