@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import column, steps, table
+from lodestar.llm.common import column, ship_library, steps, table
 
 #: Pre-tokens whose ids a worker keeps; the memo is emptied beyond it.
-MEMO_PRETOKENS = 500_000
+MEMO_PRETOKENS = 250_000
 
 
 @lru_cache(maxsize=1)
@@ -137,6 +137,7 @@ def encode_digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "
 
 def encode_rows(df: DataFrame, ranks_path: str, pattern: str, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` with n_tokens, ids (array<int>) and round_trip: whether the ids decode to the text's bytes."""
+    ship_library(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(serialise_model(read_ranks(ranks_path)))
     cols = df.select(F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in keep])
 
@@ -157,6 +158,7 @@ def encode_rows(df: DataFrame, ranks_path: str, pattern: str, keep: list[str], t
 
 def _encoded(df, ranks_path, pattern, id_col, text_col, digests):
     spark = df.sparkSession
+    ship_library(spark)
     model = spark.sparkContext.broadcast(serialise_model(read_ranks(ranks_path)))
     id_type = df.schema[id_col].dataType.simpleString()
 

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 WORD_SPLIT_SQL = r"[\x20\x09-\x0D]+"
 
 #: Words whose hashes a worker keeps; the memo is emptied beyond it.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
+#: Bytes of an Arrow batch between Spark and its Python workers (and one row beyond it).
+BATCH_BYTES, _BATCH_KEY = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
 #: UTF-8 bytes of text that one vectorised step takes (a longer text is a step of its own).
 STEP_BYTES = 4 << 20
 
@@ -28,7 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship_library(spark: SparkSession) -> None:
-    """Python workers must import this library wherever the driver was started from."""
+    """Prepares a session for the operators' Python workers.
+
+    They must import this library wherever the driver was started from, and get
+    Arrow batches of bounded bytes: rows hold whole texts, and Spark's default of
+    64 MB a batch is held several times over between the JVM and the worker.  A
+    bound that the session has set itself stays.
+    """
+    if spark.conf.get(_BATCH_KEY, None) in ("67108864b", "64MB", "64m"):
+        spark.conf.set(_BATCH_KEY, BATCH_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

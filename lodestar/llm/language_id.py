@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import column, steps, table
+from lodestar.llm.common import column, ship_library, steps, table
 
 #: Components of a vector.
 DIM = 1024
@@ -189,12 +189,17 @@ def predict(df: DataFrame, prototypes: Prototypes, text_col: str = "text", keep:
     """The columns ``keep`` (name -> Column of df) with ``lang_pred`` and ``score``.  A map over the rows: no shuffle."""
     keep = keep or {"doc_id": F.col("doc_id")}
     cols = df.select(*[c.alias(n) for n, c in keep.items()], F.col(f"`{text_col}`").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name != "_text")
-    names, shipped = list(keep), df.sparkSession.sparkContext.broadcast(prototypes)
+    return _predicted(cols, prototypes, "_text", list(keep))
+
+
+def _predicted(cols: DataFrame, prototypes: Prototypes, text: str, names: list[str]) -> DataFrame:
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name in names)
+    ship_library(cols.sparkSession)
+    shipped = cols.sparkSession.sparkContext.broadcast(prototypes)
 
     def run(batches):
-        for b in steps(batches, "_text"):
-            lang, score = shipped.value.predict(column(b, "_text").to_pylist())
+        for b in steps(batches, text):
+            lang, score = shipped.value.predict(column(b, text).to_pylist())
             yield pa.RecordBatch.from_arrays([*(column(b, n) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
     return cols.mapInArrow(run, f"{schema}, lang_pred string, score double")
@@ -203,7 +208,7 @@ def predict(df: DataFrame, prototypes: Prototypes, text_col: str = "text", keep:
 def accepted(df: DataFrame, prototypes: Prototypes, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``df`` whose language could be determined; a null language is filled with the predicted one."""
     names = [f"c{i}" for i in range(len(df.columns))]
-    judged = predict(df, prototypes, text_col, dict(zip(names, (F.col(f"`{c}`") for c in df.columns), strict=True)))
+    judged = _predicted(df.toDF(*names), prototypes, names[df.columns.index(text_col)], names)
     filled = [F.coalesce(n, "lang_pred").alias(c) if c == lang_col else F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)]
     return judged.filter(F.col("lang_pred") != UNDETERMINED).select(*filled)
 

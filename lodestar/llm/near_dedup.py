@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WordHash, as_bytes, checkpoint, column, compact, mix, small_side, steps, table
+from lodestar.llm.common import WordHash, as_bytes, checkpoint, column, compact, mix, ship_library, small_side, steps, table
 from lodestar.llm.graph import components
 
 BANDS, ROWS = 48, 6
@@ -141,6 +141,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Links: 100 * intersection >= percent * union of the sets of ``size``-word shingles.
     """
+    ship_library(df.sparkSession)
     docs = df.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{text_col}` AS text")
     sk = checkpoint(sketches(docs, size, bands, rows))
     # equal sets: one class, represented by its smallest id (grouped minimum, combined before the shuffle)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import MEMO_WORDS, as_bytes, column, steps, table
+from lodestar.llm.common import MEMO_WORDS, as_bytes, column, ship_library, steps, table
 
 # Fixed values of the rules.
 SYMBOLS = b"#*$%&|<>"
@@ -192,6 +192,7 @@ def _mapped(df: DataFrame, names: list[str], finish, schema: str) -> DataFrame:
             extra = finish(base, features)
             yield pa.RecordBatch.from_arrays([*(column(b, n) for n in names), *extra.values()], [*names, *extra])
 
+    ship_library(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -39,13 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WordHash, as_bytes, column, mix, parts, steps, table
+from lodestar.llm.common import WordHash, as_bytes, column, mix, parts, ship_library, steps, table
 
 #: Words of a window, and words of the runs that minimisers are taken from.
 K, M = 20, 4
 #: Super-k-mers with one minimiser in a batch, and in all, from which it is hot.
 HOT_LOCAL, HOT_TOTAL = 64, 4096
-STEP = 8 << 20
+STEP = 4 << 20
 _NULL_ID = (1 << 63) - 1
 # Kinds of marks.
 _OPEN, _HOT, _REMOVE = 0, 1, 2
@@ -287,6 +287,7 @@ def _finish(names: list[str], digests: bool):
 
 def _judged(df: DataFrame, id_col: str, text_col: str, k: int, m: int, digests: bool) -> DataFrame:
     """id, the further columns as c0, c1, ... (none with digests), n_words, n_removed, kept."""
+    ship_library(df.sparkSession)
     others = [c for c in df.columns if c not in (id_col, text_col)] if not digests else []
     # text and further columns travel as one struct, so that both joins below use one and the same exchange
     doc = F.struct(F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])

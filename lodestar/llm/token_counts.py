@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm.byte_bpe import codec, read_ranks, serialise_model
-from lodestar.llm.common import as_bytes, column, steps, table
+from lodestar.llm.common import as_bytes, column, ship_library, steps, table
 
 RULES = ("majority", "start", "end")
 
@@ -70,6 +70,7 @@ def section_tokens(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    ship_library(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(serialise_model(read_ranks(ranks_path)))
     id_type = df.schema[id_col].dataType.simpleString()
     given = [f"transform(`{sections_col}`, s -> named_struct('start', CAST(s.start AS LONG), 'end', CAST(s.end AS LONG))) AS sections"] if sections_col else []

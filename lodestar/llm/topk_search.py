@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import checkpoint, column, table
+from lodestar.llm.common import checkpoint, column, ship_library, table
 
 SCALE, K = 1024, 10
 #: Rows of a query block and of a shard.
@@ -105,6 +105,7 @@ def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[t
 
 def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE, query_block: int = QUERY_BLOCK, shard: int = SHARD) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best candidates of every query row."""
+    ship_library(rows.sparkSession)
     vectors = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"), is_query.alias("is_query"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     vectors = vectors.filter(F.col("id").isNotNull() & (F.size("vector") > 0) & finite)

@@ -123,6 +123,7 @@ def write(pages: DataFrame, path: str, records_per_archive: int = RECORDS_PER_AR
     the shuffle) that is joined back by the payload's SHA-256; adaptive execution
     splits the join where one payload is very common.
     """
+    ship_library(pages.sparkSession)
     rows = pages.selectExpr("CAST(page_id AS LONG) AS page_id", "url", "CAST(coalesce(html, '') AS BINARY) AS payload").withColumn("same", F.sha2("payload", 256))
     newest = rows.groupBy("same").agg(F.max("page_id").alias("newest"))
     refers = F.when((F.length("payload") >= min_revisit_bytes) & (F.col("page_id") < F.col("newest")), F.col("newest"))
