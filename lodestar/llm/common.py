@@ -21,7 +21,7 @@ MEMO_WORDS = 200_000
 #: Bytes of an Arrow batch between Spark and its Python workers (and one row beyond it).
 BATCH_BYTES, _BATCH_KEY = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
 #: UTF-8 bytes of text that one vectorised step takes (a longer text is a step of its own).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -30,8 +30,10 @@ from lodestar.llm.common import column, ship_library, steps, table
 #: Components of a vector.
 DIM = 1024
 SEED = 20_240_607
+#: Distinct n-grams whose vectors are held at once.
+GRAM_BLOCK = 1 << 12
 #: Characters of a text that are bundled at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Training documents of a language (those with the smallest hashes of their ids).
 MAX_TRAIN_DOCS = 2_000
 #: Languages learned, the most frequent first.
@@ -114,8 +116,8 @@ def _add_group(out: np.ndarray, group: list[tuple[int, np.ndarray]]) -> None:
         rows = np.repeat(np.arange(len(part)), [len(g) for _, g in part])
         counts = np.bincount(rows * len(used) + codes[lo:hi], minlength=len(part) * len(used)).astype(np.float32).reshape(len(part), len(used))
         total = np.zeros((len(part), DIM), dtype=np.float32)
-        for u in range(0, len(used), 1 << 14):
-            total += counts[:, u : u + (1 << 14)] @ _gram_vectors(used[u : u + (1 << 14)], a, vectors)
+        for u in range(0, len(used), GRAM_BLOCK):
+            total += counts[:, u : u + GRAM_BLOCK] @ _gram_vectors(used[u : u + GRAM_BLOCK], a, vectors)
         np.add.at(out, [i for i, _ in part], total)
 
 
