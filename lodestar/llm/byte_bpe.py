@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import column, ship_library, steps, table
 
 #: Pre-tokens whose ids a worker keeps; the memo is emptied beyond it.
-MEMO_PRETOKENS = 250_000
+MEMO_PRETOKENS = 120_000
 
 
 @lru_cache(maxsize=1)
