@@ -47,7 +47,25 @@ def _kinds(spark, sf_dir):
     return rows.groupBy("object_type", "property_name").agg(F.countDistinct("path").alias("documents")).filter("object_type LIKE 'chart%' OR object_type LIKE 'dashboard%'")
 
 
-add("ex29_extracted_chart_and_dashboard_kinds", _kinds)
+def _count_sql(object_type: str, source: str, names: tuple[str, ...]) -> str:
+    values = ", ".join(f"('{n}')" for n in names)
+    return f"SELECT '{object_type}' AS object_type, v.x AS property_name, (SELECT count(DISTINCT path) FROM {source}) AS documents FROM (VALUES {values}) v(x)"
+
+
+add(
+    "ex29_extracted_chart_and_dashboard_kinds",
+    _kinds,
+    f"WITH {DOCS}\n"
+    + "\nUNION ALL ".join(
+        [
+            _count_sql("chart", "segs", ("mark",)),
+            _count_sql("chart property", "segs", ("color", "size", "rows", "cols", "name", "class", "column", "function", "user:ui-enumeration", "member")),
+            _count_sql("dashboard", "dbs", ("layout",)),
+            _count_sql("dashboard property", "dbs", ("web", "bitmap", "empty", "button", "vert", "horz", "text", "dashboard filter")),
+            _count_sql("dashboard property", "placed", ("h", "w", "x", "y")),
+        ]
+    ),
+)
 
 
 # ------------------------------------------------------------------ WH-11 from XML
