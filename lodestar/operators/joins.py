@@ -215,11 +215,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     checkpoint_dir(edges.sparkSession)
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
-    state = e.filter("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct().checkpoint()
-    mark = _edge_mark(state)
+    state, mark = _settled(e.filter("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct())
     while True:
-        state = _small_star(_large_star(state)).checkpoint()
-        after = _edge_mark(state)
+        state, after = _settled(_small_star(_large_star(state)))
         if after == mark:
             break
         mark = after
@@ -228,20 +226,31 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return linked.union(alone.selectExpr("vertex", "vertex AS component"))
 
 
-def _edge_mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+# Edges that a partition holds between rounds; a graph of one partition needs no exchange.
+_EDGES_PER_PARTITION = 200_000
+
+
+def _settled(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """A checkpoint of the edges in as many partitions as their count asks for, and a mark of their content."""
+    kept = edges.checkpoint()
+    mark = tuple(kept.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    return kept.coalesce(max(1, -(-mark[0] // _EDGES_PER_PARTITION))), mark
+
+
+def _pairs(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """A row (u, v) for each of the pairs of columns."""
+    return df.select(F.inline(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.selectExpr("v AS u", "u AS v"))
+    both = _pairs(edges, ("u", "v"), ("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
     return both.join(least, "u").filter("v > u").selectExpr("v AS u", "m AS v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v <> m").selectExpr("v AS u", "m AS v")
-    return moved.union(least.selectExpr("u", "m AS v")).distinct()
+    return _pairs(edges.join(least, "u"), ("v", "m"), ("u", "m")).filter("u <> v").distinct()
 
 
 def edges_of_component(edges: DataFrame, components: DataFrame, src: str = "src") -> DataFrame:
