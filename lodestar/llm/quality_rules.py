@@ -3,7 +3,7 @@
 Every document gets rule statistics over its whole text.  Plain base rules
 reject some documents outright; of the others, an isolation forest (random
 splits of a bounded sample; anomalies are isolated after short paths) gives an
-anomaly score, and a threshold calibrated on labelled rows decides.
+anomaly score, and a threshold calibrated on all labelled rows decides.
 
 Words are runs of bytes other than ASCII white space.  Defined results: a null
 or empty text has no words and fails the base rules; a repeated row counts as
@@ -15,13 +15,14 @@ Further columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import MEMO_WORDS, as_bytes, column, ship_library, steps, table
+from lodestar.llm.common import MAX_BROADCAST_IDS, MEMO_WORDS, as_bytes, checkpoint, column, compact, ship_library, small_side, steps, table
 
 # Fixed values of the rules.
 SYMBOLS = b"#*$%&|<>"
@@ -30,13 +31,15 @@ MARKS = b"!?"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-#: Labelled documents that the forest and its threshold are fitted on (smallest hashes of their ids).
+#: Labelled documents that the forest is grown on (smallest hashes of their ids); the threshold takes all of them.
 MAX_FIT_DOCS = 20_000
 TREES = 100
 SUBSAMPLE = 256
 SEED = 7
 #: Share of the labelled good documents that the threshold may reject.
 MAX_GOOD_LOSS = 0.002
+#: Ranges of scores among which the one with the threshold is looked for.
+RANGES = 256
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: What the forest splits on: by how much a ratio exceeds the range that its rule takes as ordinary
@@ -166,20 +169,41 @@ def grow(x: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: in
     return Forest(pack(0, np.int64), pack(1, float), pack(2, np.int64), pack(3, float), max(_mean_path(size), 1e-9))
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, max_good_loss: float = MAX_GOOD_LOSS) -> float:
-    """The threshold that best separates the labelled rows, and rejects at most the given share of the good ones.
+def calibrate(scored: DataFrame, max_good_loss: float = MAX_GOOD_LOSS, ranges: int = RANGES) -> float:
+    """The threshold that best separates the rows (score, good 1 or 0), and rejects at most the given share of the good ones.
 
     Best: the share of bad rows rejected less the share of good rows rejected.
     Equal thresholds go to the most lenient, which is put halfway to the next score.
+
+    A sketch proposes ranges of the distinct scores; their exact counts say which
+    ones can hold the threshold, and only those are ordered.
     """
-    if not good.any() or good.all():
+    spark = scored.sparkSession
+    counts = checkpoint(scored.groupBy("score").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")))
+    splits = sorted(set(counts.approxQuantile("score", [i / ranges for i in range(1, ranges)], 1.0 / (4 * ranges))))
+    ranged = counts.withColumn("range", F.size(F.filter(F.array(*map(F.lit, splits)).cast("array<double>"), lambda s: s < F.col("score"))))
+    sums = ranged.groupBy("range").agg(F.min("score").alias("lo"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect()
+    all_good, all_bad = sum(r["good"] for r in sums), sum(r["bad"] for r in sums)
+    if not all_good or not all_bad:
         return 1.0
-    cuts = np.unique(scores)
-    lost = 1.0 - np.searchsorted(np.sort(scores[good]), cuts, side="right") / good.sum()
-    caught = 1.0 - np.searchsorted(np.sort(scores[~good]), cuts, side="right") / (~good).sum()
-    gain = np.where(lost <= max_good_loss, caught - lost, -1.0)
-    best = int(np.flatnonzero(gain == gain.max())[-1])
-    return float((cuts[best] + cuts[min(best + 1, len(cuts) - 1)]) / 2.0)
+    may_lose = int(Fraction(str(max_good_loss)) * all_good)
+    # from the highest range down: what lies above it, and the gain of a cut at its end
+    good, bad, above, known, held = 0, 0, None, 0, []
+    for r in sorted(sums, key=lambda r: -r["range"]):
+        if good > may_lose:
+            break
+        known = max(known, bad * all_good - good * all_bad)
+        held.append((r["range"], good, bad, above, (bad + r["bad"]) * all_good - good * all_bad))
+        good, bad, above = good + r["good"], bad + r["bad"], r["lo"]
+    near = spark.createDataFrame([h[:4] for h in held if h[4] >= known], "range int, good_0 long, bad_0 long, above double")
+    order = Window.partitionBy("range").orderBy(F.desc("score"))
+    over = order.rowsBetween(Window.unboundedPreceding, -1)
+    lost = F.col("good_0") + F.coalesce(F.sum("good").over(over), F.lit(0))
+    caught = F.col("bad_0") + F.coalesce(F.sum("bad").over(over), F.lit(0))
+    placed = ranged.join(F.broadcast(near), "range").select("score", lost.alias("lost"), caught.alias("caught"), F.coalesce(F.lag("score").over(order), "above").alias("next"))
+    gain = F.expr(f"CAST(caught AS DECIMAL(19)) * {all_good} - CAST(lost AS DECIMAL(19)) * {all_bad}")
+    cut = placed.filter(F.col("lost") <= may_lose).agg(F.max(F.struct(gain.alias("gain"), "score", "next"))).first()[0]
+    return cut["score"] if cut["next"] is None else (cut["score"] + cut["next"]) / 2.0
 
 
 def _mapped(df: DataFrame, names: list[str], finish, schema: str) -> DataFrame:
@@ -196,28 +220,49 @@ def _mapped(df: DataFrame, names: list[str], finish, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, features, good int): the labelled documents that the base rules pass, repeated rows once.
+
+    The texts stay where they are: only ids and statistics are joined.
+    """
+    marked, n = compact(labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("good")))
+    texts = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text AS _text")
+    if n <= MAX_BROADCAST_IDS:  # else the statistics of all documents are taken
+        texts = texts.join(F.broadcast(marked), "doc_id", "left_semi")
+    finish = lambda base, features: {"failed": pa.array(base_failed(base)), "features": pa.array(list(features), pa.list_(pa.float64()))}
+    rows = _mapped(texts.select("doc_id", "_text"), ["doc_id"], finish, "doc_id long, failed boolean, features array<double>")
+    return rows.filter("NOT failed").select("doc_id", "features").distinct().join(small_side(marked, n), "doc_id")
+
+
+def _scored(rows: DataFrame, forest: Forest) -> DataFrame:
+    """(score, good) of (doc_id, features, good).  A map over the rows."""
+    shipped = rows.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x = np.array(column(b, "features").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(shipped.value.score(x)), column(b, "good")], ["score", "good"])
+
+    return rows.select("features", "good").mapInArrow(run, "score double, good int")
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = MAX_FIT_DOCS, max_good_loss: float = MAX_GOOD_LOSS) -> Forest:
-    """Forest and threshold from at most ``max_fit_docs`` labelled documents.
+    """Forest from at most ``max_fit_docs`` labelled documents, threshold from all of them.
 
     Labels: doc_id, quality (1 good, 0 bad; null or other values are not
-    labels).  A document with both labels is taken as bad.  The id list is
-    bounded by the parameter and broadcast; the statistics of those documents
-    are collected (a few numbers each).
+    labels).  A document with both labels is taken as bad.  The statistics of
+    the forest's documents are collected (a few numbers each, bounded by the
+    parameter).
     """
-    marked = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("good"))
+    rows = checkpoint(_labelled(docs, labels))
     # a hash share of about twice the sample goes to the ordering, however many labels there are
     share = 2.0 * max_fit_docs / max(1, labels.count())
-    drawn = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
-    chosen = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_docs)
-    sample = docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text AS _text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    finish = lambda base, features: {"failed": pa.array(base_failed(base)), "features": pa.array(list(features), pa.list_(pa.float64()))}
-    rows = _mapped(sample.select("doc_id", "good", "_text"), ["doc_id", "good"], finish, "doc_id long, good int, failed boolean, features array<double>").collect()
-    rows = sorted((r for r in rows if not r["failed"]), key=lambda r: r["doc_id"])
-    if not rows:
-        return Forest()
-    x, good = np.array([r["features"] for r in rows]), np.array([r["good"] == 1 for r in rows])
-    forest = grow(x)
-    forest.threshold = calibrate(forest.score(x), good, max_good_loss)
+    drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
+    chosen = drawn.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(max_fit_docs).select("doc_id", "features").collect()
+    forest = grow(np.array([r["features"] for r in sorted(chosen)]))
+    if len(forest.feature):
+        forest.threshold = calibrate(_scored(rows, forest), max_good_loss)
     return forest
 
 

@@ -58,3 +58,38 @@ def test_nulls_repeats_ties_clashes_and_empty_tables(spark):
     none = qr.fit(docs, labels.limit(0))
     assert all(r.kept != r.base_failed for r in qr.judge(docs, none).collect())
     assert qr.judge(docs.limit(0), none).collect() == []
+
+
+def _cut(rows, max_good_loss):
+    """Every score as a cut, one at a time."""
+    from fractions import Fraction
+
+    good, bad = [s for s, g in rows if g], [s for s, g in rows if not g]
+    if not good or not bad:
+        return 1.0
+    best, cuts = None, sorted({s for s, _ in rows})
+    for i, c in enumerate(cuts):
+        lost, caught = Fraction(sum(s > c for s in good), len(good)), Fraction(sum(s > c for s in bad), len(bad))
+        if lost <= Fraction(str(max_good_loss)) and (best is None or caught - lost >= best[0]):
+            best = caught - lost, (c + cuts[min(i + 1, len(cuts) - 1)]) / 2.0
+    return best[1]
+
+
+def test_threshold_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    for n, digits, ranges, loss in ((1, 2, 4, 0.1), (40, 1, 4, 0.0), (500, 3, 8, 0.002), (500, 2, 256, 0.02), (700, 6, 16, 0.5)):
+        good = rng.random(n) < 0.7
+        rows = [(float(s), int(g)) for s, g in zip(np.round(np.where(good, rng.beta(2, 5, n), rng.beta(4, 3, n)), digits), good, strict=True)]
+        assert qr.calibrate(spark.createDataFrame(rows, "score double, good int"), loss, ranges) == _cut(rows, loss)
+    assert qr.calibrate(spark.createDataFrame([], "score double, good int")) == 1.0
+
+
+def test_threshold_takes_all_labels_beyond_the_sample(spark):
+    """Good documents with unusual statistics, of which a sample of 20 sees a few at most."""
+    plain = " ".join(f"word{i}" for i in range(80))
+    texts = [(i, plain + f" d{i}" + " ##" * (i % 40), int(i % 5 > 0)) for i in range(600)]
+    docs = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, g, 0) for i, _, g in texts], "doc_id long, quality int, toxic int")
+    forest = qr.fit(docs, labels, max_fit_docs=20)
+    _, x = qr.statistics([t.encode() for _, t, _ in texts], qr._Ids())
+    assert forest.threshold == _cut(list(zip(forest.score(x).tolist(), [g for *_, g in texts], strict=True)), qr.MAX_GOOD_LOSS)
