@@ -256,8 +256,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = MAX_FIT_DOCS, ma
     parameter).
     """
     rows = checkpoint(_labelled(docs, labels))
-    # a hash share of about twice the sample goes to the ordering, however many labels there are
-    share = 2.0 * max_fit_docs / max(1, labels.count())
+    # a hash share of at least about twice the sample goes to the ordering, however many labelled documents there are
+    share = (2.0 * max_fit_docs + 100) / max(1, rows.count())
     drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
     chosen = drawn.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(max_fit_docs).select("doc_id", "features").collect()
     forest = grow(np.array([r["features"] for r in sorted(chosen)]))

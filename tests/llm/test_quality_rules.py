@@ -93,3 +93,14 @@ def test_threshold_takes_all_labels_beyond_the_sample(spark):
     forest = qr.fit(docs, labels, max_fit_docs=20)
     _, x = qr.statistics([t.encode() for _, t, _ in texts], qr._Ids())
     assert forest.threshold == _cut(list(zip(forest.score(x).tolist(), [g for *_, g in texts], strict=True)), qr.MAX_GOOD_LOSS)
+
+
+def test_rows_that_are_no_labels_change_nothing(spark):
+    plain = " ".join(f"word{i}" for i in range(80))
+    docs = spark.createDataFrame([(i, plain + f" d{i}" + " ##" * (i % 40)) for i in range(300)], "doc_id long, text string")
+    labels = spark.range(300).selectExpr("id AS doc_id", "IF(id % 5 > 0, 1, 0) AS quality", "0 AS toxic")
+    other = spark.range(20_000).selectExpr("id AS doc_id", "CAST(NULL AS INT) AS quality", "0 AS toxic")
+    other = other.union(spark.range(5_000).selectExpr("CAST(NULL AS LONG)", "1", "0")).union(spark.range(10_000, 20_000).selectExpr("id", "1", "0"))
+    got, want = qr.fit(docs, labels.union(labels).union(other), max_fit_docs=50), qr.fit(docs, labels, max_fit_docs=50)
+    assert len(want.feature) and got.threshold == want.threshold
+    assert np.array_equal(got.feature, want.feature) and np.array_equal(got.split, want.split)
