@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
 
-1. language ID: documents whose language cannot be determined go;
+1. language ID: documents without letters go, a null language is filled;
 2. MinHash near-dedup over five-word shingles at similarity 0.8: one document of each group stays;
 3. substring dedup: words of 20-word windows that start earlier elsewhere go;
 4. mixing: the token budget is spread over domains, languages and sources, in up to two epochs;

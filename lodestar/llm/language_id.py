@@ -134,15 +134,19 @@ class Prototypes:
     matrix: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Languages, scores, and whether the texts have letters."""
         profiles, letters = bundle([t or "" for t in texts])
         if not self.languages:
-            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts), (letters > 0).tolist()
         norm = np.linalg.norm(profiles, axis=1)
         cosine = (profiles @ self.matrix.T) / np.where(norm > 0, norm, 1.0)[:, None]
         best = cosine.argmax(axis=1)
         score = np.clip(cosine[np.arange(len(texts)), best], 0.0, 1.0)
         known = letters > 0
-        return [self.languages[b] if k else UNDETERMINED for b, k in zip(best, known)], np.where(known, score, 0.0).tolist()
+        return [self.languages[b] if k else UNDETERMINED for b, k in zip(best, known)], np.where(known, score, 0.0).tolist(), known.tolist()
 
 
 def fit(
@@ -191,7 +195,7 @@ def predict(df: DataFrame, prototypes: Prototypes, text_col: str = "text", keep:
     """The columns ``keep`` (name -> Column of df) with ``lang_pred`` and ``score``.  A map over the rows: no shuffle."""
     keep = keep or {"doc_id": F.col("doc_id")}
     cols = df.select(*[c.alias(n) for n, c in keep.items()], F.col(f"`{text_col}`").alias("_text"))
-    return _predicted(cols, prototypes, "_text", list(keep))
+    return _predicted(cols, prototypes, "_text", list(keep)).drop("_lettered")
 
 
 def _predicted(cols: DataFrame, prototypes: Prototypes, text: str, names: list[str]) -> DataFrame:
@@ -201,18 +205,19 @@ def _predicted(cols: DataFrame, prototypes: Prototypes, text: str, names: list[s
 
     def run(batches):
         for b in steps(batches, text):
-            lang, score = shipped.value.predict(column(b, text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(column(b, n) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+            lang, score, lettered = shipped.value.judge(column(b, text).to_pylist())
+            found = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(lettered, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*(column(b, n) for n in names), *found], [*names, "lang_pred", "score", "_lettered"])
 
-    return cols.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return cols.mapInArrow(run, f"{schema}, lang_pred string, score double, _lettered boolean")
 
 
 def accepted(df: DataFrame, prototypes: Prototypes, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``df`` whose language could be determined; a null language is filled with the predicted one."""
+    """The rows of ``df`` whose text has letters; a null language is filled with the predicted one (``und`` if none was learned)."""
     names = [f"c{i}" for i in range(len(df.columns))]
     judged = _predicted(df.toDF(*names), prototypes, names[df.columns.index(text_col)], names)
     filled = [F.coalesce(n, "lang_pred").alias(c) if c == lang_col else F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)]
-    return judged.filter(F.col("lang_pred") != UNDETERMINED).select(*filled)
+    return judged.filter("_lettered").select(*filled)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

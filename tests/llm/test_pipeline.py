@@ -119,3 +119,15 @@ def test_empty_and_repeated_tables(spark, sf_small, tmp_path):
     assert cp.run(spark, f"{tmp_path}/e").collect() == []
     base.union(base).union(base.withColumn("doc_id", base.doc_id.cast("long") * 0 + None)).write.parquet(f"{tmp_path}/r/documents.parquet")
     assert cp.run(spark, f"{tmp_path}/r").filter("NOT round_trip").count() == 0
+
+
+def test_tables_without_languages_keep_their_documents(spark, sf_small, tmp_path):
+    base = spark.read.parquet(f"{sf_small}/documents.parquet").limit(20)
+    odd = spark.createDataFrame([(90_100, None, None, "src1", 0), (90_102, "12 34", None, "src2", 5)], base.schema)
+    unnamed = base.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "source", "n_chars").unionByName(odd)
+    kept = cp.language(spark, unnamed, sf_small).collect()
+    want = [r.doc_id for r in base.collect() if r.text and any(c.isalpha() for c in r.text)]
+    assert sorted(r.doc_id for r in kept) == sorted(want) and {r.lang for r in kept} == {"und"}
+    unnamed.write.parquet(f"{tmp_path}/documents.parquet")
+    assert cp.run(spark, str(tmp_path)).count() > 0
+    assert cp.language(spark, base.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "lang", "source", "n_chars"), sf_small).count() == len(want)
