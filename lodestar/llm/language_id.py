@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import column, ship_library, steps, table
+from lodestar.llm.common import column, compact, ship_library, small_side, steps, table
 
 #: Components of a vector.
 DIM = 1024
@@ -36,8 +36,10 @@ GRAM_BLOCK = 1 << 12
 PIECE = 1 << 19
 #: Training documents of a language (those with the smallest hashes of their ids).
 MAX_TRAIN_DOCS = 2_000
-#: Languages learned, the most frequent first.
-MAX_LANGUAGES = 256
+#: Languages whose partial bundles a task holds at once (8 KB each).
+LANGUAGE_BLOCK = 1 << 11
+#: Cosines of a block of documents that are held at once.
+COSINES = 1 << 22
 UNDETERMINED = "und"
 _SPACE = 32
 
@@ -142,9 +144,12 @@ class Prototypes:
         if not self.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts), (letters > 0).tolist()
         norm = np.linalg.norm(profiles, axis=1)
-        cosine = (profiles @ self.matrix.T) / np.where(norm > 0, norm, 1.0)[:, None]
-        best = cosine.argmax(axis=1)
-        score = np.clip(cosine[np.arange(len(texts)), best], 0.0, 1.0)
+        best, score, block = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts)), max(1, COSINES // len(self.languages))
+        for a in range(0, len(texts), block):
+            at = slice(a, a + block)
+            cosine = (profiles[at] @ self.matrix.T) / np.where(norm[at] > 0, norm[at], 1.0)[:, None]
+            best[at] = cosine.argmax(axis=1)
+            score[at] = np.clip(cosine.max(axis=1), 0.0, 1.0)
         known = letters > 0
         return [self.languages[b] if k else UNDETERMINED for b, k in zip(best, known)], np.where(known, score, 0.0).tolist(), known.tolist()
 
@@ -155,23 +160,28 @@ def fit(
     text_col: str = "text",
     lang_col: str = "lang",
     max_train_docs: int = MAX_TRAIN_DOCS,
-    max_languages: int = MAX_LANGUAGES,
+    max_languages: int | None = None,
 ) -> Prototypes:
-    """Prototypes of the languages of ``df``, from a bounded sample of its rows.
+    """Prototypes of the languages of ``df`` (the ``max_languages`` most frequent ones, if given), from a bounded sample of each.
 
-    At most ``max_train_docs`` documents of each of the ``max_languages`` most
-    frequent languages are read, so the broadcast id list and the collected
-    partial bundles are bounded by the parameters.
+    At most ``max_train_docs`` documents of a language are read.  Their partial
+    bundles are summed by language in Spark, so the driver gets one prototype
+    (8 KB) a language.
     """
     named = df.selectExpr(f"`{id_col}` AS id", f"`{lang_col}` AS lang", f"`{text_col}` AS text").filter("lang IS NOT NULL AND id IS NOT NULL")
-    top = named.groupBy("lang").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "lang").limit(max_languages)
+    top = named.groupBy("lang").agg(F.count("*").alias("docs"))
+    top = small_side(*compact(top if max_languages is None else top.orderBy(F.desc("docs"), "lang").limit(max_languages)))
     # a hash share of about twice the sample goes to the ordering, however many rows a language has
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("double") * F.col("docs") < float(2 * max_train_docs) * (1 << 30)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    drawn = named.select("id", "lang").join(F.broadcast(top), "lang").filter(share).drop("docs")
-    keys = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max_train_docs).select("id", "lang")
-    # ids that a language holds at most max_train_docs of: a bounded broadcast
-    sample = named.join(F.broadcast(keys.distinct()), ["id", "lang"], "left_semi").select("lang", "text").repartition(8)
+    drawn = named.join(top, "lang").filter(share).drop("docs")
+    keys = drawn.select("id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max_train_docs).select("id", "lang")
+    keys, n = compact(keys.distinct())
+    tasks = max(8, -(-n // max(1, max_train_docs)))
+    sample = drawn.join(small_side(keys, n), ["id", "lang"], "left_semi").select("lang", "text").repartition(tasks)
+
+    def rows(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "bundle"])
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -179,13 +189,20 @@ def fit(
             profiles, _ = bundle([t or "" for t in column(b, "text").to_pylist()])
             for lang, p in zip(column(b, "lang").to_pylist(), profiles, strict=True):
                 sums[lang] = sums[lang] + p if lang in sums else p
+            if len(sums) > LANGUAGE_BLOCK:
+                yield rows(sums)
+                sums = {}
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "bundle"])
+            yield rows(sums)
+
+    def add(part: pa.Table) -> pa.Table:  # at most a row for each training document of the language
+        total = np.zeros(DIM)
+        for v in part.column("bundle").to_pylist():
+            total += np.frombuffer(v)
+        return pa.table({"lang": part.column("lang").slice(0, 1), "bundle": pa.array([total.tobytes()], pa.binary())})
 
-    total: dict[str, np.ndarray] = {}
-    for r in sample.mapInArrow(run, "lang string, bundle array<double>").collect():  # at most 8 rows a language
-        v = np.array(r["bundle"])
-        total[r["lang"]] = total[r["lang"]] + v if r["lang"] in total else v
+    summed = sample.mapInArrow(run, "lang string, bundle binary").groupBy("lang").applyInArrow(add, "lang string, bundle binary")
+    total = {r["lang"]: np.frombuffer(r["bundle"]) for r in summed.collect()}
     languages = sorted(k for k, v in total.items() if v.any())
     matrix = np.stack([total[k] / np.linalg.norm(total[k]) for k in languages]) if languages else np.zeros((0, DIM))
     return Prototypes(languages, matrix)

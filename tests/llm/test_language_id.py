@@ -61,3 +61,15 @@ def test_query_held_out_accuracy(spark, sf_small):
     held = j.filter("held_out")
     assert held.count() > 20 and held.filter("lang_pred = lang").count() >= 0.97 * held.count()
     assert got.filter(F.col("held_out") != (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)).count() == 0
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """Three hundred languages of one word each, the last ones with fewest documents."""
+    monkeypatch.setattr(li, "COSINES", 1 << 10)
+    words = ["".join(chr(97 + (i // 26**k) % 26) * 2 for k in range(3)) for i in range(300)]
+    rows = [(i * 10 + k, words[i], f"l{i:03d}") for i in range(300) for k in range(3 if i < 256 else 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    p = li.fit(df)
+    assert p.languages == [f"l{i:03d}" for i in range(300)]
+    got = li.predict(df, p, keep={"lang": F.col("lang")}).collect()
+    assert len(got) == len(rows) and all(r.lang == r.lang_pred for r in got)
