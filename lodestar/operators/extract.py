@@ -93,9 +93,11 @@ def _relations(parsed: DataFrame) -> DataFrame:
 
 
 def join_clauses(parsed: DataFrame) -> DataFrame:
-    """EX-03 one row per join clause: type and ``a::b`` operands ('=' dropped)."""
+    """EX-03 one row per join clause: type and ``a::b`` operands ('=' dropped) of
+    expressions at any depth; other operators (``AND``, ``<``) stay, in document order."""
     r = _relations(parsed).filter(F.col("rel._type") == "join")
-    ops = F.filter(F.transform(F.col("rel.clause.expression.expression"), lambda e: e["_op"]), lambda o: o != "=")
+    outer = F.col("rel.clause.expression")
+    ops = F.filter(F.concat(F.array(outer["_op"]), F.transform(outer["expression"], lambda e: e["_op"])), lambda o: o != "=")
     return r.select("path", "datasource_name", F.col("rel._join").alias("join_type"), F.array_join(ops, "::").alias("operands"))
 
 

@@ -7,7 +7,8 @@ button captions are attributes or child elements.  ``flatten`` rewrites a
 document so that ``extract.parse`` can read it against one fixed schema:
 
 * every relation is a direct child of the datasource's connection; a join
-  keeps its own clause and kind, its operands follow it;
+  keeps its own clause and kind, its operands follow it; a clause is one
+  expression with all others as direct children, in document order;
 * metadata records are a direct child of the datasource;
 * zones are direct children of ``zones``, in document order;
 * a group filter has its descendants as direct children, level by level;
@@ -73,7 +74,7 @@ def _relations(ds: ET.Element) -> None:
     for r in read:
         made = ET.Element("relation", dict(r.attrib))
         made.text = r.text
-        made.extend(r.findall("clause"))
+        made.extend(_clause(c) for c in r.findall("clause"))
         flat.append(made)
     for e in every:
         _take(ds, e)
@@ -82,6 +83,15 @@ def _relations(ds: ET.Element) -> None:
         ds.set("unread-relations", str(lost))
 
 
+def _clause(clause: ET.Element) -> ET.Element:
+    made = ET.Element("clause", dict(clause.attrib))
+    every = [ET.Element("expression", dict(e.attrib)) for e in clause.iter("expression")]
+    made.extend(every[:1])
+    for outer in made:
+        outer.extend(every[1:])
+    return made
+
+
 def _datasource(ds: ET.Element) -> None:
     if ds.get("caption") is None and ds.get("name") is not None:
         ds.set("caption", ds.get("name"))

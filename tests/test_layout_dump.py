@@ -106,3 +106,19 @@ def test_scale_plans(spark, sf_small):
         plan = _plan(q[name](spark, sf_small))
         # the fact rows are aggregated before the join back: the join sits above an aggregate on its key
         assert plan.index("Join") < plan.index("HashAggregate"), (name, key)
+
+
+def test_join_clauses_at_any_depth(spark):
+    def equal(a, b):
+        return f"<expression op='='><expression op='{a}'/><expression op='{b}'/></expression>"
+
+    both = "<expression op='AND'>" + equal("[a].[k]", "[b].[k]") + "<expression op='AND'>" + equal("[a].[l]", "[b].[l]") + "<expression op='&lt;'><expression op='[a].[m]'/><expression op='[b].[m]'/></expression></expression></expression>"
+    clauses = {"composite": both, "unequal": "<expression op='&lt;='><expression op='[a].[k]'/><expression op='[b].[k]'/></expression>", "single": equal("[a].[k]", "[b].[k]")}
+    docs = [(n, f"<workbook><datasources><datasource name='{n}'><connection class='x'><relation type='join' join='inner'><clause type='join'>{c}</clause></relation></connection></datasource></datasources></workbook>") for n, c in clauses.items()]
+    parsed = X.parse(spark.createDataFrame(docs, "path string, content string"))
+    assert {r.path: r.operands for r in X.join_clauses(parsed).collect()} == {
+        "composite": "AND::[a].[k]::[b].[k]::AND::[a].[l]::[b].[l]::<::[a].[m]::[b].[m]",
+        "unequal": "<=::[a].[k]::[b].[k]",
+        "single": "[a].[k]::[b].[k]",
+    }
+    assert X.errors(parsed).count() == 0
