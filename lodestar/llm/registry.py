@@ -18,6 +18,7 @@ MODULES = (
     "token_counts",
     "near_dedup",
     "quality_rules",
+    "url_filter",
     "hard_negatives",
     "periodic_runs",
 )
