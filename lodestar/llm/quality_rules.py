@@ -14,6 +14,7 @@ Further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from fractions import Fraction
 
@@ -36,8 +37,9 @@ MAX_FIT_DOCS = 20_000
 TREES = 100
 SUBSAMPLE = 256
 SEED = 7
-#: Share of the labelled good documents that the threshold may reject.
-MAX_GOOD_LOSS = 0.002
+#: Share of good documents that the threshold may reject, and by how many standard deviations of
+#: that share the labelled ones may exceed it (few labels say little about a small share).
+MAX_GOOD_LOSS, LOSS_DEVIATIONS = 0.005, 2.0
 #: Ranges of scores among which the one with the threshold is looked for.
 RANGES = 256
 
@@ -169,7 +171,12 @@ def grow(x: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: in
     return Forest(pack(0, np.int64), pack(1, float), pack(2, np.int64), pack(3, float), max(_mean_path(size), 1e-9))
 
 
-def calibrate(scored: DataFrame, max_good_loss: float = MAX_GOOD_LOSS, ranges: int = RANGES) -> float:
+def tolerated(good: int, share: float = MAX_GOOD_LOSS) -> int:
+    """How many of so many good rows may be rejected: as many as a true loss of ``share`` would reject at LOSS_DEVIATIONS above its mean."""
+    return int(share * good + LOSS_DEVIATIONS * math.sqrt(share * (1.0 - share) * good) + 1e-9)
+
+
+def calibrate(scored: DataFrame, max_good_loss: float | Fraction = MAX_GOOD_LOSS, ranges: int = RANGES) -> float:
     """The threshold that best separates the rows (score, good 1 or 0), and rejects at most the given share of the good ones.
 
     Best: the share of bad rows rejected less the share of good rows rejected.
@@ -262,7 +269,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = MAX_FIT_DOCS, ma
     chosen = drawn.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(max_fit_docs).select("doc_id", "features").collect()
     forest = grow(np.array([r["features"] for r in sorted(chosen)]))
     if len(forest.feature):
-        forest.threshold = calibrate(_scored(rows, forest), max_good_loss)
+        good = rows.filter("good = 1").count()
+        forest.threshold = calibrate(_scored(rows, forest), Fraction(tolerated(good, max_good_loss), max(1, good)))
     return forest
 
 

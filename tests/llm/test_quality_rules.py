@@ -1,6 +1,8 @@
 import re
+from fractions import Fraction
 
 import numpy as np
+import pytest
 
 from lodestar.llm import quality_rules as qr
 
@@ -62,8 +64,6 @@ def test_nulls_repeats_ties_clashes_and_empty_tables(spark):
 
 def _cut(rows, max_good_loss):
     """Every score as a cut, one at a time."""
-    from fractions import Fraction
-
     good, bad = [s for s, g in rows if g], [s for s, g in rows if not g]
     if not good or not bad:
         return 1.0
@@ -92,7 +92,7 @@ def test_threshold_takes_all_labels_beyond_the_sample(spark):
     labels = spark.createDataFrame([(i, g, 0) for i, _, g in texts], "doc_id long, quality int, toxic int")
     forest = qr.fit(docs, labels, max_fit_docs=20)
     _, x = qr.statistics([t.encode() for _, t, _ in texts], qr._Ids())
-    assert forest.threshold == _cut(list(zip(forest.score(x).tolist(), [g for *_, g in texts], strict=True)), qr.MAX_GOOD_LOSS)
+    assert forest.threshold == _cut(list(zip(forest.score(x).tolist(), [g for *_, g in texts], strict=True)), Fraction(qr.tolerated(480), 480))
 
 
 def test_rows_that_are_no_labels_change_nothing(spark):
@@ -104,3 +104,43 @@ def test_rows_that_are_no_labels_change_nothing(spark):
     got, want = qr.fit(docs, labels.union(labels).union(other), max_fit_docs=50), qr.fit(docs, labels, max_fit_docs=50)
     assert len(want.feature) and got.threshold == want.threshold
     assert np.array_equal(got.feature, want.feature) and np.array_equal(got.split, want.split)
+
+
+def _path(forest, t, row, node=0):
+    """The path length of a row in a tree, node by node."""
+    if not forest.child[t][node]:
+        return forest.depth[t][node]
+    right = row[forest.feature[t][node]] >= forest.split[t][node]
+    return _path(forest, t, row, int(forest.child[t][node] + right))
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_anomaly_and_kept_equal_plain_path_lengths(spark, scale):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{scale}/{t}.parquet") for t in ("documents", "labels"))
+    forest = qr.fit(docs, labels)
+    rows = qr.judge(docs, forest).orderBy("doc_id").collect()
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    _, x = qr.statistics([texts[r.doc_id] for r in rows], qr._Ids())
+    for r, f in list(zip(rows, x, strict=True))[:300]:
+        paths = [_path(forest, t, f) for t in range(len(forest.feature))]
+        want = 2.0 ** (-sum(paths) / len(paths) / forest.norm)
+        assert abs(r.anomaly - want) < 1e-9 and r.kept == (not r.base_failed and r.anomaly <= forest.threshold)
+
+
+def test_held_out_labels_are_judged(spark):
+    """Fitted on half of the labels: most bad documents of the other half go, few good ones."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    bad = good = caught = lost = 0
+    for part in (0, 1):
+        forest = qr.fit(docs, labels.filter(f"doc_id % 2 = {part}"))
+        for r in qr.judge(docs, forest).join(labels.filter(f"doc_id % 2 = {1 - part} AND quality IN (0, 1)"), "doc_id").filter("NOT base_failed").collect():
+            bad, caught = bad + (r.quality == 0), caught + (r.quality == 0 and not r.kept)
+            good, lost = good + (r.quality == 1), lost + (r.quality == 1 and not r.kept)
+    print(f"held out: {caught} of {bad} bad caught, {lost} of {good} good lost")
+    assert caught >= 0.8 * bad and lost <= 0.02 * good
+
+
+def test_tolerated_loss_grows_smoothly():
+    counts = [qr.tolerated(n) for n in range(0, 20_000)]
+    assert counts[0] == 0 and max(b - a for a, b in zip(counts, counts[1:])) == 1 and all(b >= a for a, b in zip(counts, counts[1:]))
+    assert qr.tolerated(300) > 0 and qr.tolerated(10**7) < 0.0051 * 10**7
