@@ -15,7 +15,7 @@ Exactness: products are taken in float64 where every partial sum stays under
 score that does not fit 64 bits fails the job.
 
 Defined results: vectors that are null, empty or hold null or non-finite
-components take no part, nor do rows with a null id; a query and a candidate of
+components (or components that are not finite once scaled) take no part, nor do rows with a null id; a query and a candidate of
 different lengths are not compared; ties go to the smaller id.  A row is not its
 own candidate: rows with the query's id are left out, rows of another id with the
 same vector are not.  Repeated rows of a query id are one query (that of the smallest vector), and as often
@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import checkpoint, column, ship_library, table
+from lodestar.llm.common import checkpoint, column, parts, ship_library, table
 
 SCALE, K = 1024, 10
 #: Rows of a query block and of a shard.
-QUERY_BLOCK, SHARD = 1024, 8192
+QUERY_BLOCK, SHARD = 1024, 4096
 #: Lists merged at once in the tree.
 FAN = 16
 
@@ -107,17 +107,18 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
     """query_id, rank (from 1), vec_id, score: the k best candidates of every query row."""
     ship_library(rows.sparkSession)
     vectors = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"), is_query.alias("is_query"))
-    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) < float("inf")))
     vectors = vectors.filter(F.col("id").isNotNull() & (F.size("vector") > 0) & finite)
     queries = vectors.filter("is_query").groupBy("id").agg(F.min("vector").alias("vector"))
     n, n_queries = vectors.count(), queries.count()
     blocks, shards = -(-max(1, n_queries) // query_block), -(-max(1, n) // shard)
     q = checkpoint(packed(queries, blocks, scale)).selectExpr("block AS q_block", "dim", "ids AS q_ids", "matrix AS q_matrix")
     c = packed(vectors.select("id", "vector"), shards, scale).withColumnRenamed("block", "shard")
-    # the grid of tiles: each query block once a shard, each shard once a query block
-    grid_q = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    grid_c = c.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    tiles = grid_q.join(grid_c, ["q_block", "shard", "dim"]).select("shard", "dim", "q_ids", "q_matrix", "ids", "matrix")
+    # the tiles: shards stay in one copy, every query block is sent to every shard
+    sent = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    n_parts = max(1, min(shards, max(4096, parts(rows))))
+    met = sent.repartition(n_parts, "shard", "dim").join(c.repartition(n_parts, "shard", "dim"), ["shard", "dim"])
+    tiles = met.select("shard", "dim", "q_ids", "q_matrix", "ids", "matrix")
 
     def run(batches):
         for b in batches:

@@ -45,6 +45,12 @@ def test_no_float_is_rounded(spark):
     assert _got(tk.search(small, F.col("vec_id") == 0)) == _brute([(i, [x / 200 for x in v]) for i, v in rows], lambda i: i == 0)
 
 
+def test_finite_components_that_leave_the_doubles_take_no_part(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e306, 1.0]), (2, [-1.7e308, 0.0]), (3, [3.0, 1.0]), (5, [1e306, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert _got(tk.search(df, F.col("vec_id") % 5 == 0)) == [(0, 1, 3, 5 * 1024 * 1024)]
+
+
 def test_fewer_than_k_and_empty_table(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert _got(tk.search(df, F.col("vec_id") == 0)) == [(0, 1, 1, 1024 * 2048)]
