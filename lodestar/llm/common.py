@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -82,6 +85,51 @@ def small_side(ids: DataFrame, n: int) -> DataFrame:
     return F.broadcast(ids) if n <= MAX_BROADCAST_IDS else ids
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed_documents(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, DataFrame | None]:
+    """``df`` with a further column, its name, and a table of the column's values (doc, id) or None.
+
+    The column is a long for each distinct (id, text), in the order of ids (nulls
+    last), then of text digests.  Where every row has an id and no id has two
+    texts, that is the id itself, without a table.  If not, documents are numbered.
+    """
+    doc_id, text, key = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"), fresh(df, "_doc")
+    ids = df.select(doc_id.alias("i"), F.xxhash64(text).alias("h")).groupBy("i").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    if not ids.filter("i IS NULL OR lo <> hi").limit(1).count():
+        return df.withColumn(key, doc_id), key, None
+    columns = df.columns
+    place, digest = fresh(df, "_place"), fresh(df, "_digest")
+    named = df.withColumns({place: doc_id, digest: F.coalesce(F.md5(text.cast("binary")), F.lit(""))})
+    found = named.select(F.col(place).alias("id"), F.col(digest).alias("digest")).distinct()
+    numbers = checkpoint(found.orderBy(F.asc_nulls_last("id"), "digest").withColumn("doc", F.monotonically_increasing_id()))
+    a, b = named.alias("a"), numbers.alias("b")
+    keyed = a.join(b, F.col(f"a.{place}").eqNullSafe(F.col("b.id")) & (F.col(f"a.{digest}") == F.col("b.digest")))
+    return keyed.select(*[F.col(f"a.`{c}`") for c in columns], F.col("b.doc").alias(key)), key, numbers.select("doc", "id")
+
+
+def tidy(run):
+    """The map ``run`` over a task's batches, giving memory back when they end: Spark uses its Python workers again,
+    and what one stage's batches held would otherwise stay on top of the next stage's."""
+
+    def mapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return mapped
+
+
 def parts(df: DataFrame) -> int:
     """Partitions for an explicit exchange: the session's shuffle setting."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -19,10 +19,13 @@ probability of (1 - 0.8**6)**48, about five in ten million.
 
 Defined results: words are runs of other bytes than ASCII white space, A-Z
 lower-cased; fewer words than a shingle form one shingle of all of them; a null
-text or one without words has an empty set and is linked with nothing.  Rows
-with a null id keep a null component and are kept.  Repeated rows (same id and
-text) are one document and give a row each.  The table may be empty; further
-columns are ignored.  A very long text is one row, never cut.
+text or one without words has an empty set and is linked with nothing.  Repeated
+rows (same id and text) are one document and give a row each; texts that share an
+id are documents of their own, in the order of their digests.  Rows with a null id
+come after all others: in the report they have a null component and are kept; where
+rows are dropped, a null-id copy goes, and of copies that all lack an id the one
+with the smallest digest stays.  The table may be empty; further columns are
+ignored.  A very long text is one row, never cut.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WordHash, as_bytes, checkpoint, column, compact, mix, ship_library, small_side, steps, table
+from lodestar.llm.common import WordHash, as_bytes, checkpoint, column, compact, keyed_documents, mix, ship_library, small_side, steps, table, tidy
 from lodestar.llm.graph import components
 
 BANDS, ROWS = 48, 6
@@ -118,7 +121,7 @@ def sketches(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -
                     ["doc_id", "n_shingles", "set_key", "bands"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -133,43 +136,54 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
             offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "items"])
 
-    return docs.mapInArrow(run, "doc_id long, items array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, items array<long>")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (smallest linked id, its own included), kept.
+def classes(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, n_shingles, root): the smallest document linked, for documents (doc_id, text) with unlike ids.
 
     Links: 100 * intersection >= percent * union of the sets of ``size``-word shingles.
     """
-    ship_library(df.sparkSession)
-    docs = df.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{text_col}` AS text")
     sk = checkpoint(sketches(docs, size, bands, rows))
     # equal sets: one class, represented by its smallest id (grouped minimum, combined before the shuffle)
     reps = checkpoint(
-        sk.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
+        sk.filter("set_key IS NOT NULL")
         .groupBy("set_key")
         .agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
     )
     roots = _linked(docs, reps, size, percent)
-    classes = sk.select("doc_id", "n_shingles", "set_key").join(reps.select("set_key", "rep"), "set_key", "left")
-    out = classes.join(roots, F.col("rep") == F.col("node"), "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id")
-    )
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumnRenamed("doc_id", id_col)
+    placed = sk.select("doc_id", "n_shingles", "set_key").join(reps.select("set_key", "rep"), "set_key", "left")
+    return placed.join(roots, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("root"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (smallest linked id, its own included), kept.  Options as in ``classes``."""
+    ship_library(df.sparkSession)
+    keyed, key, numbers = keyed_documents(df.select(f"`{id_col}`", f"`{text_col}`"), id_col, text_col)
+    out = classes(keyed.select(F.col(key).alias("doc_id"), F.col(f"`{text_col}`").alias("text")), **options)
+    if numbers is None:
+        return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.col("root").alias("component_id"), (F.col("doc_id") == F.col("root")).alias("kept"))
+    named = out.join(numbers.toDF("doc_id", "own"), "doc_id").join(numbers.toDF("root", "of"), "root")
+    has_id = F.col("own").isNotNull()
+    return named.select(F.col("own").alias(id_col), "n_shingles", F.when(has_id, F.col("of")).alias("component_id"), (~has_id | (F.col("doc_id") == F.col("root"))).alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that are kept: of each group of near duplicates the document with the smallest id, once."""
-    verdict = checkpoint(near_duplicates(df, id_col, text_col, **options).select(id_col, "kept"))
-    gone = small_side(*compact(verdict.filter("NOT kept").select(id_col).distinct()))
-    left = df.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
-    repeated, n = compact(verdict.filter(f"kept AND `{id_col}` IS NOT NULL").groupBy(id_col).count().filter("count > 1").select(id_col))
+    """The rows of ``df`` that are kept: of each group of near duplicates the first document, once.  Options as in ``classes``."""
+    ship_library(df.sparkSession)
+    keyed, key, _ = keyed_documents(df, id_col, text_col)
+    found = classes(keyed.select(F.col(key).alias("doc_id"), F.col(f"`{text_col}`").alias("text")), **options)
+    verdict = checkpoint(found.select(F.col("doc_id").alias(key), (F.col("doc_id") == F.col("root")).alias("kept")))
+    gone = small_side(*compact(verdict.filter("NOT kept").select(key).distinct()))
+    left = keyed.join(gone, key, "left_anti")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    repeated, n = compact(verdict.filter("kept").groupBy(key).count().filter("count > 1").select(key))
     if not n:
-        return left
+        return left.select(*columns)
     repeated = small_side(repeated, n)
-    # rows that repeat an id are one document
-    again = left.join(repeated, id_col, "left_semi").select(*left.columns).dropDuplicates([id_col])
-    return left.join(repeated, id_col, "left_anti").select(*left.columns).unionByName(again)
+    # rows that repeat an id and its text are one document
+    again = left.join(repeated, key, "left_semi").dropDuplicates([key])
+    return left.join(repeated, key, "left_anti").select(*columns).unionByName(again.select(*columns))
 
 
 class _Links:

@@ -1,3 +1,4 @@
+import hashlib
 import re
 from collections import defaultdict
 
@@ -76,6 +77,21 @@ def test_nulls_short_texts_repeats_clashes_and_empty_table(spark):
     assert nd.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_one_id_with_two_texts_and_copies_without_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, c), (None, c), (None, c + " end"), (3, b), (3, b), (9, None), (None, None), (4, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _doc int")
+    kept = nd.drop_near_duplicates(df, size=5)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    first_c = min((c, c + " end"), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert got == sorted([(1, a), (2, b), (None, first_c), (9, None), (None, None), (4, "")], key=str)
+    report = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(df, size=5).collect()}
+    assert report == {(1, 36, 1, True), (2, 36, 1, False), (2, 36, 2, True), (3, 36, 2, False), (None, 36, None, True), (None, 37, None, True), (9, 0, 9, True), (4, 0, 4, True), (None, 0, None, True)}
+    only = df.filter("doc_id IS NULL")
+    assert nd.drop_near_duplicates(only, size=5).count() == 3  # a, one of the two c, the null text
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2)
