@@ -23,10 +23,12 @@ So no bucket holds more than ``HOT_TOTAL`` packed strings, and a window that is
 in every document reaches its bucket once a batch.
 
 Defined results: words are runs of bytes other than ASCII white space; a null
-text has none.  Windows are judged on the input.  Null ids rank after all
-others.  Rows with the same id are the same document: neither starts earlier
-than the other at the same word.  The table may be empty and may have further
-columns, which are ignored.  A text is one row and never cut.
+text has none.  Windows are judged on the input.  Rows with equal id and text are
+one document: neither starts earlier than the other at the same word.  Texts that
+share an id are documents in the order of their digests, and so are texts without
+an id, after all that have one (the largest long included).  The table may be
+empty and may have further columns, which are ignored.  A text is one row and
+never cut.
 """
 
 from __future__ import annotations
@@ -39,14 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WordHash, as_bytes, column, mix, parts, ship_library, steps, table
+from lodestar.llm.common import WordHash, as_bytes, column, keyed_documents, mix, parts, ship_library, steps, tidy, table
 
 #: Words of a window, and words of the runs that minimisers are taken from.
 K, M = 20, 4
 #: Super-k-mers with one minimiser in a batch, and in all, from which it is hot.
 HOT_LOCAL, HOT_TOTAL = 64, 4096
-STEP = 4 << 20
-_NULL_ID = (1 << 63) - 1
+STEP = 2 << 20
 # Kinds of marks.
 _OPEN, _HOT, _REMOVE = 0, 1, 2
 
@@ -80,7 +81,7 @@ def _minimisers(h: np.ndarray, ends: np.ndarray, k: int, m: int) -> tuple[np.nda
 
 
 def _mark(k: int, m: int):
-    """Step 1 on (did, tx, text): rows (key, did, tx, mark, many)."""
+    """Step 1 on (did, text): rows (key, did, mark, many)."""
 
     def run(batches):
         hashes = WordHash()
@@ -96,7 +97,7 @@ def _mark(k: int, m: int):
             if not len(first):
                 continue
             doc = np.searchsorted(ends, first, side="right")
-            did, tx = column(b, "did").to_numpy()[doc], column(b, "tx").to_numpy()[doc]
+            did = column(b, "did").to_numpy()[doc]
             start = first - np.concatenate([[0], ends[:-1]])[doc]
             kind, many = np.zeros(len(first), dtype=np.int64), np.ones(len(first), dtype=np.int64)
             _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
@@ -124,11 +125,11 @@ def _mark(k: int, m: int):
                 follows = np.flatnonzero((kind[1:] == _REMOVE) & (kind[:-1] == _REMOVE) & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + n[:-1])) + 1
                 heads = np.setdiff1d(np.arange(len(kind)), follows)
                 n = np.add.reduceat(n, heads)
-                key, did, tx, start, kind, many = (x[heads] for x in (key, did, tx, start, kind, many))
+                key, did, start, kind, many = (x[heads] for x in (key, did, start, kind, many))
                 alone = kind != _OPEN  # need not meet their minimiser: spread evenly
                 key = np.where(alone, mix(mix(did.view(np.uint64)) + start.astype(np.uint64)).view(np.int64), key)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(did), pa.array(tx), pa.array(start << 32 | n << 2 | kind), pa.array(many)], ["key", "did", "tx", "mark", "many"]
+                [pa.array(key), pa.array(did), pa.array(start << 32 | n << 2 | kind), pa.array(many)], ["key", "did", "mark", "many"]
             )
 
     return run
@@ -144,7 +145,7 @@ def _unpacked(batches):
 
 
 def _packed(k: int):
-    """Step 2 on (did, tx, doc, marks): rows (key, s, did, tx, start, n) with the packed strings; n = -words for settled removals."""
+    """Step 2 on (did, doc, marks): rows (key, s, did, start, n) with the packed strings; n = -words for settled removals."""
 
     def run(batches):
         import xxhash
@@ -156,67 +157,67 @@ def _packed(k: int):
             offsets = marks.offsets.to_numpy()
             flat = marks.values
             mark, key = flat.field("mark").to_numpy(zero_copy_only=False).tolist(), flat.field("key").to_numpy(zero_copy_only=False).tolist()
-            for i, (did, tx, text) in enumerate(zip(column(b, "did").to_pylist(), column(b, "tx").to_pylist(), as_bytes(b, "text"))):
+            for i, (did, text) in enumerate(zip(column(b, "did").to_pylist(), as_bytes(b, "text"))):
                 words = text.split()
                 for j in range(offsets[i], offsets[i + 1]):
                     start, n, kind = mark[j] >> 32, mark[j] >> 2 & 0x3FFFFFFF, mark[j] & 3
                     if kind == _REMOVE:
-                        out.append((key[j], None, did, tx, start, -(n + k - 1)))
+                        out.append((key[j], None, did, start, -(n + k - 1)))
                     elif kind == _OPEN:
-                        out.append((key[j], b" ".join(words[start : start + n + k - 1]), did, tx, start, n))
+                        out.append((key[j], b" ".join(words[start : start + n + k - 1]), did, start, n))
                     else:
                         for a in range(start, start + n):
-                            s, here = b" ".join(words[a : a + k]), (did, a, tx)
+                            s, here = b" ".join(words[a : a + k]), (did, a)
                             best = hot.get(s)
                             if best is None:
                                 hot[s] = here
                                 continue
                             late = max(best, here)
                             hot[s] = min(best, here)
-                            if late[:2] != hot[s][:2]:
-                                out.append((key[j], None, late[0], late[2], late[1], -k))
-            out += [(xxhash.xxh3_64_intdigest(s) - (1 << 63), s, did, tx, a, 1) for s, (did, a, tx) in hot.items()]
+                            if late != hot[s]:
+                                out.append((key[j], None, *late, -k))
+            out += [(xxhash.xxh3_64_intdigest(s) - (1 << 63), s, *place, 1) for s, place in hot.items()]
             if out:
-                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["key", "s", "did", "tx", "start", "n"])
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["key", "s", "did", "start", "n"])
 
     return run
 
 
 def _compare(k: int):
-    """Buckets, sorted by (key, s, did, start): rows (did, tx, start, words) to be removed."""
+    """Buckets, sorted by (key, s, did, start): rows (did, start, words) to be removed."""
 
     def settle(group: list[tuple]) -> list[tuple]:
         """Intervals of a bucket's windows that start earlier elsewhere."""
         windows = []
-        for s, did, start, tx, n in group:
+        for s, did, start, n in group:
             cut = [0, *(i + 1 for i, c in enumerate(s) if c == 32), len(s) + 1]
-            windows += [(s[cut[i] : cut[i + k] - 1], did, start + i, tx) for i in range(n)]
+            windows += [(s[cut[i] : cut[i + k] - 1], did, start + i) for i in range(n)]
         windows.sort()
         late = []
-        head = (None, 0, 0, 0)
+        head = (None, 0, 0)
         for w in windows:
             if w[0] != head[0]:
                 head = w
-            elif w[1:3] != head[1:3]:
-                late.append((w[1], w[3], w[2]))
+            elif w[1:] != head[1:]:
+                late.append(w[1:])
         late.sort()
         out: list[tuple] = []
-        for did, tx, start in late:  # neighbours become one interval
-            if out and out[-1][:2] == (did, tx) and start <= out[-1][2] + out[-1][3]:
-                out[-1] = (did, tx, out[-1][2], start + k - out[-1][2])
+        for did, start in late:  # neighbours become one interval
+            if out and out[-1][0] == did and start <= out[-1][1] + out[-1][2]:
+                out[-1] = (did, out[-1][1], start + k - out[-1][1])
             else:
-                out.append((did, tx, start, k))
+                out.append((did, start, k))
         return out
 
     def run(batches):
         group, of, last = [], None, None
         for b in batches:
             out: list[tuple] = []
-            rows = zip(*(as_bytes(b, "s") if c == "s" else column(b, c).to_pylist() for c in ("key", "s", "did", "tx", "start", "n")))
-            for key, s, did, tx, start, n in rows:
+            rows = zip(*(as_bytes(b, "s") if c == "s" else column(b, c).to_pylist() for c in ("key", "s", "did", "start", "n")))
+            for key, s, did, start, n in rows:
                 if n < 0:
-                    out.append((did, tx, start, -n))
+                    out.append((did, start, -n))
                     continue
                 if key != of:
                     if len(group) > 1:
@@ -225,10 +226,10 @@ def _compare(k: int):
                 if last is not None and s == last[0]:
                     # sorted: the first row of a string is its earliest; later ones need not be held
                     if (did, start) != last[1:]:
-                        out.append((did, tx, start, n + k - 1))
+                        out.append((did, start, n + k - 1))
                     continue
                 last = (s, did, start)
-                group.append((s, did, start, tx, n))
+                group.append((s, did, start, n))
             if out:
                 yield _intervals(out)
         if len(group) > 1 and (out := settle(group)):
@@ -238,22 +239,22 @@ def _compare(k: int):
 
 
 def _intervals(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["did", "tx", "start", "words"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64()))], ["did", "start", "words"])
 
 
 def repeated_intervals(rows: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """(did, tx, start, words): word intervals covered by windows that start earlier elsewhere; rows: (did, tx, doc with a text)."""
+    """(did, start, words): word intervals covered by windows that start earlier elsewhere; rows: (did, doc with a text)."""
     if not 1 <= m <= k:
         raise ValueError("needs 1 <= m <= k")
-    marks = rows.select("did", "tx", F.col("doc.text").alias("text")).mapInArrow(_mark(k, m), "key long, did long, tx int, mark long, many long")
+    marks = rows.select("did", F.col("doc.text").alias("text")).mapInArrow(tidy(_mark(k, m)), "key long, did long, mark long, many long")
     shared = marks.withColumn("total", F.sum("many").over(Window.partitionBy("key")))
     # a mark goes on if its minimiser occurs again, or if it is settled or hot already
     kept = shared.filter(F.col("mark").bitwiseAND(3).isin(_HOT, _REMOVE) | (F.col("total") > 1))
     hot = F.when((F.col("total") >= HOT_TOTAL) & (F.col("mark").bitwiseAND(3) == _OPEN), F.col("mark") + _HOT).otherwise(F.col("mark"))
-    by_doc = kept.select("did", "tx", F.struct(hot.alias("mark"), "key").alias("x")).groupBy("did", "tx").agg(F.collect_set("x").alias("marks"))
-    packed = rows.join(by_doc, ["did", "tx"]).select("did", "tx", "doc", "marks").mapInArrow(_packed(k), "key long, s binary, did long, tx int, start long, n long")
+    by_doc = kept.select("did", F.struct(hot.alias("mark"), "key").alias("x")).groupBy("did").agg(F.collect_set("x").alias("marks"))
+    packed = rows.join(by_doc, "did").select("did", "doc", "marks").mapInArrow(tidy(_packed(k)), "key long, s binary, did long, start long, n long")
     dealt = packed.repartition(parts(rows), "key").sortWithinPartitions("key", "s", "did", "start")
-    return dealt.mapInArrow(_compare(k), "did long, tx int, start long, words long")
+    return dealt.mapInArrow(tidy(_compare(k)), "did long, start long, words long")
 
 
 def _finish(names: list[str], digests: bool):
@@ -289,17 +290,20 @@ def _judged(df: DataFrame, id_col: str, text_col: str, k: int, m: int, digests:
     """id, the further columns as c0, c1, ... (none with digests), n_words, n_removed, kept."""
     ship_library(df.sparkSession)
     others = [c for c in df.columns if c not in (id_col, text_col)] if not digests else []
+    keyed, key, numbers = keyed_documents(df, id_col, text_col)
     # text and further columns travel as one struct, so that both joins below use one and the same exchange
-    doc = F.struct(F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
-    did = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID))
-    rows = df.select(did.alias("did"), F.hash(F.col(f"`{text_col}`")).alias("tx"), doc.alias("doc"))
-    spans = repeated_intervals(rows, k, m).groupBy("did", "tx").agg(F.collect_list(F.struct("start", "words")).alias("spans"))
+    further = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]
+    if numbers is not None:  # else the key is the id
+        further.append(F.col(f"`{id_col}`").cast("long").alias("id"))
+    rows = keyed.select(F.col(key).alias("did"), F.struct(F.col(f"`{text_col}`").alias("text"), *further).alias("doc"))
+    spans = repeated_intervals(rows, k, m).groupBy("did").agg(F.collect_list(F.struct("start", "words")).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,words:bigint>>")
-    joined = rows.join(spans, ["did", "tx"], "left").select("did", "doc", F.coalesce("spans", none).alias("spans"))
-    names = [f"c{i}" for i in range(len(others))]
-    schema = ", ".join(["did bigint", *(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema["doc"].dataType if f.name != "text")])
-    out = joined.mapInArrow(_finish(["did", *names], digests), f"{schema}, n_words long, n_removed long, kept string")
-    return out.select(F.when(F.col("did") != _NULL_ID, F.col("did")).alias("id"), *names, "n_words", "n_removed", "kept")
+    joined = rows.join(spans, "did", "left").select("did", "doc", F.coalesce("spans", none).alias("spans"))
+    fields = [f for f in joined.schema["doc"].dataType if f.name != "text"]
+    schema = ", ".join(["did bigint", *(f"{f.name} {f.dataType.simpleString()}" for f in fields)])
+    out = joined.mapInArrow(tidy(_finish(["did", *(f.name for f in fields)], digests)), f"{schema}, n_words long, n_removed long, kept string")
+    own = F.col("did") if numbers is None else F.col("id")
+    return out.select(own.alias("id"), *[f"c{i}" for i in range(len(others))], "n_words", "n_removed", "kept")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, m: int = M) -> DataFrame:

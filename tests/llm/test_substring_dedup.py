@@ -29,6 +29,14 @@ def _brute(rows, k=20):
     return sorted(out, key=str)
 
 
+def _with_places(rows, k=20):
+    """As ``_brute`` over documents told apart by id and text: ids first, then digests."""
+    key = lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest() if r[1] is not None else "")
+    docs = sorted(set(rows), key=key)
+    judged = {docs[i]: (n, gone, kept) for i, n, gone, kept in _brute([(i, t) for i, (_, t) in enumerate(docs)], k)}
+    return sorted(((r[0], *judged[r]) for r in rows), key=str)
+
+
 def _got(df):
     return sorted((tuple(r[c] for c in ("doc_id", "n_words", "n_removed", "kept_sha256")) for r in df.collect()), key=str)
 
@@ -92,3 +100,17 @@ def test_nulls_short_long_repeats_clashes_and_empty_table(spark):
     assert [r.text for r in out.filter("doc_id = 4").collect()] == ["tail"] and out.filter("doc_id = 3").first().text == base
     assert out.filter("did = 2 AND n_words = 1 AND spans = 's'").count() == len(rows)
     assert sd.repeat_report(df.limit(0)).collect() == [] and sd.remove_repeats(df.limit(0)).collect() == []
+
+
+def test_texts_without_ids_or_with_one_id_are_documents_of_their_own(spark):
+    words = lambda x, n=30: " ".join(f"{x}{i}" for i in range(n))
+    last = (1 << 63) - 1
+    rows = [(0, words("a")), (None, words("a")), (None, words("b")), (None, words("c") + " " + words("a")), (None, words("d")), (None, words("d")), (None, "x " + words("d")), (None, None)]
+    rows += [(7, words("e")), (7, words("e") + " more"), (7, "z " + words("e")), (last, words("f") + " " + words("d")), (last, words("g")), (None, words("g"))]
+    df = spark.createDataFrame([(i, t, "own", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, id string, _doc int").repartition(3)
+    assert _got(sd.repeat_report(df)) == _with_places(rows)
+    out = sd.remove_repeats(df)
+    assert out.columns == df.columns and {r.id for r in out.collect()} == {"own"} and sorted(r._doc for r in out.collect()) == list(range(len(rows)))
+    assert [r.text for r in out.filter("_doc = 2").collect()] == [words("b")] and [r.doc_id for r in out.filter("_doc = 12").collect()] == [last]
+    unique = [(last, words("h")), (1, words("h"))]
+    assert _got(sd.repeat_report(spark.createDataFrame(unique, "doc_id long, text string"))) == _with_places(unique)
