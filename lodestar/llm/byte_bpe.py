@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import column, ship_library, steps, table
+from lodestar.llm.common import column, ship_library, steps, table, tidy
 
 #: Pre-tokens whose ids a worker keeps; the memo is emptied beyond it.
 MEMO_PRETOKENS = 120_000
@@ -151,9 +151,10 @@ def encode_rows(df: DataFrame, ranks_path: str, pattern: str, keep: list[str], t
             flat = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32))
             arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([*(column(b, k) for k in keep), pa.array(n), arrays, pa.array(same)], [*keep, "n_tokens", "ids", "round_trip"])
+        c.memo = {}  # the worker goes on with other stages
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name != "_text")
-    return cols.mapInArrow(run, f"{schema}, n_tokens long, ids array<int>, round_trip boolean")
+    return cols.mapInArrow(tidy(run), f"{schema}, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def _encoded(df, ranks_path, pattern, id_col, text_col, digests):
