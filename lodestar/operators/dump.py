@@ -55,7 +55,7 @@ def extracted_rows(parsed: DataFrame) -> DataFrame:
             property_type=lit("metadata-record"), property_name=lit("data type"), property_value="data_type", supported_in_ts="type_support", conversion_in_ts="target_type",
         )
     )
-    calcs = X.resolve_references(X.calculated_fields(parsed))
+    calcs = X.resolve_references(X.calculated_fields(parsed, placed=True))
     verdicts = FC.classify(calcs, ("path", "datasource_name", "name"))
     calcs = calcs.join(verdicts, ["path", "datasource_name", "name"], "left")
     parts.append(_rows(calcs, "column", datasource_name="datasource_name", property_type=lit("calculated_column"), property_name="caption", property_value="formula", supported_in_ts="verdict", conversion_in_ts=FC.rename_functions(F.col("formula"))))
@@ -74,7 +74,7 @@ def extracted_rows(parsed: DataFrame) -> DataFrame:
     parts.append(_rows(X.texts(parsed), "dashboard property", property_type=lit("text"), property_name=lit("text"), property_value="text", **board))
     parts.append(_rows(X.zone_layout(parsed), "dashboard property", worksheet_name="worksheet_name", property_type=lit("zone"), property_name="property_name", property_value="property_value", **board))
     parts.append(_rows(X.dashboard_filter_numbers(parsed), "dashboard property", property_type="filter_name", property_name=lit("dashboard filter"), property_value="filter_column", **board))
-    parts.append(_rows(X.errors(parsed), "error", exec_error_details="exec_error_details"))
+    parts.append(_rows(X.problems(parsed), "error", property_name="extractor", property_value="subject", exec_error_details="exec_error_details"))
     rows = reduce(DataFrame.unionByName, parts)
     return rows.withColumn("twb_file_name", F.substring_index("path", "/", -1))
 

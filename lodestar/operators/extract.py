@@ -6,11 +6,15 @@ prefix, element text is ``_VALUE``), then every extractor is an ``explode``
 and projection of that struct — a narrow, per-document job with no shuffle
 except where a distinct/numbering is part of the semantics.  Malformed
 documents parse to NULL (PERMISSIVE) and are routed to error rows (EX-30)
-instead of failing the job.
+instead of failing the job.  Values that an extractor can't evaluate (a range of
+texts, a period that is no number) and names that aren't unique or missing give
+typed error rows too (``problems``); all other rows of the document stay.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +31,7 @@ WORKBOOK_SCHEMA = (
     "connection: STRUCT<_class: STRING, _dbname: STRING, "
     "`named-connections`: STRUCT<`named-connection`: ARRAY<STRUCT<_caption: STRING, _name: STRING, connection: STRUCT<_class: STRING, _dbname: STRING>>>>, "
     "relation: ARRAY<STRUCT<_VALUE: STRING, _connection: STRING, _name: STRING, _table: STRING, _type: STRING, _join: STRING, "
-    "clause: STRUCT<_type: STRING, expression: STRUCT<_op: STRING, expression: ARRAY<STRUCT<_op: STRING>>>>>>>, "
+    "clause: STRUCT<_type: STRING, expression: STRUCT<_op: STRING, _n: STRING, expression: ARRAY<STRUCT<_op: STRING, _n: STRING, _parent: STRING>>>>>>>, "
     "extract: STRUCT<_enabled: STRING>, "
     "`metadata-records`: STRUCT<`metadata-record`: ARRAY<STRUCT<_class: STRING, `remote-name`: STRING, `local-name`: STRING, `parent-name`: STRING, `local-type`: STRING>>>, "
     "column: ARRAY<STRUCT<_caption: STRING, _name: STRING, _datatype: STRING, _role: STRING, `_param-domain-type`: STRING, calculation: STRUCT<_class: STRING, _formula: STRING>>>, "
@@ -63,11 +67,43 @@ def errors(parsed: DataFrame) -> DataFrame:
     return say(bad, "could not parse ").unionByName(say(unread, "unread relations in "))
 
 
+def problems(parsed: DataFrame) -> DataFrame:
+    """EX-30 the error channel: path, object_type, extractor, subject, exec_error_details.
+
+    Documents that can't be read, and of the others each value or name that an
+    extractor left out, with the rule by which the rest was read.
+    """
+    say = lambda df, extractor, subject, *text: df.select("path", F.lit("error").alias("object_type"), F.lit(extractor).alias("extractor"), subject.alias("subject"), F.concat(*text).alias("exec_error_details"))
+    found = [errors(parsed).select("path", "object_type", F.lit("parse").alias("extractor"), F.lit(None).cast("string").alias("subject"), "exec_error_details")]
+    ds = datasources(parsed)
+    named = ds.select("path", F.col("ds._caption").alias("caption")).groupBy("path", "caption").count()
+    found.append(say(named.filter("caption IS NULL"), "datasources", F.lit(None).cast("string"), F.lit("a datasource has neither caption nor name")))
+    found.append(say(named.filter("caption IS NOT NULL AND count > 1"), "datasources", F.col("caption"), F.col("count").cast("string"), F.lit(" datasources are called "), F.col("caption"), F.lit("; they are told apart by their place")))
+    for extractor, rows, name, what in (("calculations", calculated_fields(parsed, placed=True), "name", "a calculation"), ("columns", columns(parsed, placed=True), "local_column_name", "a column")):
+        names = rows.groupBy("path", "ds_pos", "datasource_name", F.col(name).alias("item")).count()
+        found.append(say(names.filter("item IS NULL"), extractor, F.col("datasource_name"), F.lit(f"{what} has no name")))
+        found.append(say(names.filter("item IS NOT NULL AND count > 1"), extractor, F.col("datasource_name"), F.col("item"), F.lit(" names "), F.col("count").cast("string"), F.lit(" items; the first counts")))
+    owned = ds.select("path", F.col("ds._caption").alias("owner"), F.explode("ds.filter").alias("f")).select("path", "owner", F.col("f._column").alias("column"), F.col("f.groupfilter").alias("g"), F.col("f.`_first-period`").alias("first"), F.col("f.`_last-period`").alias("last"))
+    sheets = _worksheets(parsed).select("path", F.col("ws._name").alias("owner"), F.explode("ws.table.view.filter").alias("f")).select("path", "owner", F.col("f._column").alias("column"), F.col("f.groupfilter").alias("g"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    filters = owned.union(sheets).withColumn("ranges", group_filter_semantics(F.col("g"))["unread_ranges"])
+    column = F.coalesce("column", F.lit("a filter"))
+    found.append(say(filters.withColumn("range", F.explode("ranges")), "filters", F.col("owner"), F.lit("range "), F.col("range"), F.lit(" of "), column, F.lit(f" is not one of up to {MAX_RANGE} whole numbers; it has no members")))
+    periods = filters.withColumn("period", F.explode(F.filter(F.array("first", "last"), lambda p: p.isNotNull() & p.try_cast("int").isNull())))
+    found.append(say(periods, "filters", F.col("owner"), F.lit("period "), F.col("period"), F.lit(" of "), column, F.lit(" is no whole number")))
+    return reduce(DataFrame.unionByName, found)
+
+
 def datasources(parsed: DataFrame) -> DataFrame:
-    return parsed.select("path", F.explode("wb.datasources.datasource").alias("ds"))
+    """The datasources of each document, with their place: captions need not be unique."""
+    return parsed.select("path", F.posexplode("wb.datasources.datasource").alias("ds_pos", "ds"))
+
+
+def _unplaced(df: DataFrame, placed: bool) -> DataFrame:
+    """Without the places of datasource and item, unless they are wanted."""
+    return df if placed else df.drop("ds_pos", "pos")
 
 
-def datasource_kind(parsed: DataFrame, live_flag: bool = False) -> DataFrame:
+def datasource_kind(parsed: DataFrame, live_flag: bool = False, placed: bool = False) -> DataFrame:
     """EX-01 Published Datasource (sqlproxy) / Extract / Live; ``live_flag``
     proposes Live for extracts."""
     ds = datasources(parsed)
@@ -77,7 +113,7 @@ def datasource_kind(parsed: DataFrame, live_flag: bool = False) -> DataFrame:
         .otherwise(F.lit("Live"))
     )
     proposed = F.when(F.lit(live_flag) & (kind == "Extract"), F.lit("Live")).otherwise(kind)
-    return ds.select("path", F.col("ds._caption").alias("datasource_name"), kind.alias("ds_type"), proposed.alias("proposed_value"))
+    return _unplaced(ds.select("path", "ds_pos", F.col("ds._caption").alias("datasource_name"), kind.alias("ds_type"), proposed.alias("proposed_value")), placed)
 
 
 def connectors(parsed: DataFrame) -> DataFrame:
@@ -101,6 +137,18 @@ def join_clauses(parsed: DataFrame) -> DataFrame:
     return r.select("path", "datasource_name", F.col("rel._join").alias("join_type"), F.array_join(ops, "::").alias("operands"))
 
 
+def clause_nodes(parsed: DataFrame) -> DataFrame:
+    """EX-03 the join clauses as trees: path, datasource_name, relation (its place), join_type and nodes, an array of
+    (n, op, parent) in document order; the outer expression has number 0 and no parent."""
+    ds = datasources(parsed).select("path", F.col("ds._caption").alias("datasource_name"), F.posexplode("ds.connection.relation").alias("relation", "rel"))
+    outer = F.col("rel.clause.expression")
+    node = lambda n, op, parent: F.struct(n.cast("int").alias("n"), op.alias("op"), parent.cast("int").alias("parent"))
+    first = F.array(node(outer["_n"], outer["_op"], F.lit(None)))
+    others = F.coalesce(F.transform(outer["expression"], lambda e: node(e["_n"], e["_op"], e["_parent"])), F.array().cast("array<struct<n:int,op:string,parent:int>>"))
+    joins = ds.filter((F.col("rel._type") == "join") & outer.isNotNull())
+    return joins.select("path", "datasource_name", "relation", F.col("rel._join").alias("join_type"), F.concat(first, others).alias("nodes"))
+
+
 def tables(parsed: DataFrame) -> DataFrame:
     """EX-04 relations with a table; brackets stripped.  EX-05: a ``sqlproxy``
     datasource takes the connection's db name as its table."""
@@ -119,27 +167,48 @@ def custom_sql(parsed: DataFrame) -> DataFrame:
     return q.join(c, ["path", "datasource_name", "connection_name"], "left")
 
 
-def columns(parsed: DataFrame) -> DataFrame:
+def columns(parsed: DataFrame, placed: bool = False) -> DataFrame:
     """EX-08 column metadata: table, local name, remote name, type."""
     ds = datasources(parsed)
-    m = ds.select("path", F.col("ds._caption").alias("datasource_name"), F.explode("ds.`metadata-records`.`metadata-record`").alias("m")).filter(F.col("m._class") == "column")
+    m = ds.select("path", "ds_pos", F.col("ds._caption").alias("datasource_name"), F.posexplode("ds.`metadata-records`.`metadata-record`").alias("pos", "m")).filter(F.col("m._class") == "column")
     strip = lambda c: F.regexp_replace(c, r"^\[|\]$", "")
-    return m.select(
+    found = m.select(
         "path",
+        "ds_pos",
+        "pos",
         "datasource_name",
         strip(F.col("m.`parent-name`")).alias("table_name"),
         strip(F.col("m.`local-name`")).alias("local_column_name"),
         F.col("m.`remote-name`").alias("remote_column_name"),
         F.col("m.`local-type`").alias("data_type"),
     )
+    return _unplaced(found, placed)
 
 
-def calculated_fields(parsed: DataFrame) -> DataFrame:
+def calculated_fields(parsed: DataFrame, placed: bool = False) -> DataFrame:
     """EX-09 calculated fields; parameters (list/range domains) skipped."""
     ds = datasources(parsed)
-    c = ds.select("path", F.col("ds._caption").alias("datasource_name"), F.explode("ds.column").alias("c"))
+    c = ds.select("path", "ds_pos", F.col("ds._caption").alias("datasource_name"), F.posexplode("ds.column").alias("pos", "c"))
     c = c.filter(F.col("c.calculation").isNotNull() & (F.col("c.`_param-domain-type`").isNull() | ~F.col("c.`_param-domain-type`").isin("list", "range")))
-    return c.select("path", "datasource_name", F.col("c._name").alias("name"), F.col("c._caption").alias("caption"), F.col("c.calculation._formula").alias("formula"))
+    found = c.select("path", "ds_pos", "pos", "datasource_name", F.col("c._name").alias("name"), F.col("c._caption").alias("caption"), F.col("c.calculation._formula").alias("formula"))
+    return _unplaced(found, placed)
+
+
+def first_map(df: DataFrame, keys: list[str], name: str, value: Column, name_of_map: str) -> DataFrame:
+    """(keys..., map name -> value) of each group; of a repeated name the first by ``pos`` (by value, where there is
+    no place) counts, rows without a name or a value don't."""
+    named = df.select(*keys, F.col(name).alias("_name"), value.alias("_value"), (F.col("pos") if "pos" in df.columns else F.lit(0)).alias("_pos")).filter("_name IS NOT NULL AND _value IS NOT NULL")
+    once = named.groupBy(*keys, "_name").agg(F.min(F.struct("_pos", "_value")).alias("_first"))
+    return once.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_name", F.col("_first._value")))).alias(name_of_map))
+
+
+def with_map(df: DataFrame, maps: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with its group's map, null where the group has none; null keys match null keys."""
+    other = maps.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in maps.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return df.join(other, on, "left").drop(*[f"_{k}" for k in keys])
 
 
 def resolve_references(calcs: DataFrame) -> DataFrame:
@@ -147,16 +216,18 @@ def resolve_references(calcs: DataFrame) -> DataFrame:
 
     The id -> caption map is built per datasource (bounded by its column
     count) and applied with a higher-order ``aggregate`` over the ids found in
-    each formula."""
-    m = calcs.groupBy("path", "datasource_name").agg(F.map_from_entries(F.collect_list(F.struct("name", "caption"))).alias("ids"))
-    j = calcs.join(m, ["path", "datasource_name"])
+    each formula.  Placed calculations (``calculated_fields(placed=True)``) are told
+    apart by their datasource's place, so datasources of one caption don't mix; of a
+    repeated id the first counts (``problems`` reports it)."""
+    keys = ["path", "ds_pos"] if "ds_pos" in calcs.columns else ["path", "datasource_name"]
+    j = with_map(calcs, first_map(calcs, keys, "name", F.col("caption"), "ids"), keys)
     found = F.array_distinct(F.regexp_extract_all(F.col("formula"), F.lit(r"(\[Calculation_[^\]]*\])"), 1))
     resolved = F.aggregate(
         found,
         F.col("formula"),
         lambda acc, k: F.when(F.element_at(F.col("ids"), k).isNotNull(), F.replace(acc, k, F.concat(F.lit("["), F.element_at(F.col("ids"), k), F.lit("]")))).otherwise(acc),
     )
-    return j.select("path", "datasource_name", "name", "caption", resolved.alias("formula"))
+    return j.select("path", "datasource_name", "name", "caption", F.when(F.col("ids").isNull(), F.col("formula")).otherwise(resolved).alias("formula"))
 
 
 def _worksheets(parsed: DataFrame) -> DataFrame:
@@ -238,11 +309,13 @@ def group_filter_semantics(gf: Column) -> dict[str, Column]:
         F.transform(
             gfs,
             lambda g: F.when(fn(g) == "member", F.array(g["_member"]))
-            .when(fn(g) == "range", F.transform(F.sequence(g["_from"].cast("int"), g["_to"].cast("int")), lambda i: i.cast("string")))
+            .when(fn(g) == "range", F.coalesce(F.transform(range_members(g["_from"], g["_to"]), lambda i: i.cast("string")), F.array().cast("array<string>")))
             .otherwise(F.array().cast("array<string>")),
         )
     )
-    return {"function": gf["_function"], "filter_kind": kind, "enumeration": enumeration, "members": members}
+    unread = F.filter(gfs, lambda g: (fn(g) == "range") & range_members(g["_from"], g["_to"]).isNull())
+    ranges = F.transform(unread, lambda g: F.concat(F.coalesce(g["_from"], F.lit("")), F.lit(".."), F.coalesce(g["_to"], F.lit(""))))
+    return {"function": gf["_function"], "filter_kind": kind, "enumeration": enumeration, "members": members, "unread_ranges": ranges}
 
 
 def classify_filter(function: Column, enumeration: Column) -> Column:
@@ -262,9 +335,19 @@ def quantitative_kind(min_c: Column, max_c: Column) -> Column:
     )
 
 
+#: Members that a range may stand for; longer ones are error rows (a row holds all members of its filter).
+MAX_RANGE = 100_000
+
+
+def range_members(from_c: Column, to_c: Column) -> Column:
+    """The whole numbers from..to (none where they fall); null where a bound is no whole number or the range is longer than MAX_RANGE."""
+    lo, hi = F.trim(from_c).try_cast("bigint"), F.trim(to_c).try_cast("bigint")
+    return F.when(lo > hi, F.array().cast("array<bigint>")).when(F.try_subtract(hi, lo) < MAX_RANGE, F.sequence(lo, hi))
+
+
 def expand_member_range(from_c: Column, to_c: Column) -> Column:
-    """EX-18 ``range from..to`` -> one member per integer."""
-    return F.sequence(from_c.cast("int"), to_c.cast("int"))
+    """EX-18 ``range from..to`` -> one member per integer; null where the range can't be read (as ``range_members``)."""
+    return range_members(from_c.cast("string"), to_c.cast("string")).cast("array<int>")
 
 
 def datasource_filters(parsed: DataFrame, as_of=None) -> DataFrame:
@@ -272,8 +355,8 @@ def datasource_filters(parsed: DataFrame, as_of=None) -> DataFrame:
     class, function, member / range / relative-date attributes; filters are
     numbered per datasource by ``row_number`` (Q19)."""
     ds = datasources(parsed)
-    f = ds.select("path", F.col("ds._caption").alias("datasource_name"), F.posexplode("ds.filter").alias("pos", "f"))
-    w = Window.partitionBy("path", "datasource_name").orderBy("pos")
+    f = ds.select("path", "ds_pos", F.col("ds._caption").alias("datasource_name"), F.posexplode("ds.filter").alias("pos", "f"))
+    w = Window.partitionBy("path", "datasource_name").orderBy("ds_pos", "pos")
     gs = group_filter_semantics(F.col("f.groupfilter"))
     return f.select(
         "path",
@@ -289,8 +372,8 @@ def datasource_filters(parsed: DataFrame, as_of=None) -> DataFrame:
         F.col("f.max").alias("max"),
         F.when(F.col("f._class") == "quantitative", quantitative_kind(F.col("f.min"), F.col("f.max"))).alias("range_kind"),
         F.col("f.`_period-type`").alias("period_type"),
-        F.col("f.`_first-period`").cast("int").alias("first_period"),
-        F.col("f.`_last-period`").cast("int").alias("last_period"),
+        F.col("f.`_first-period`").try_cast("int").alias("first_period"),
+        F.col("f.`_last-period`").try_cast("int").alias("last_period"),
         # EX-20 anchor defaults to "today" (or an as-of date for reproducible runs)
         F.when(F.col("f._class") == "relative-date", F.coalesce(F.col("f.`_anchor-date`"), F.lit(as_of) if as_of else F.lit("today"))).alias("anchor"),
         F.when(F.col("f._class") == "relative-date", F.coalesce(F.col("f.`_include-null`"), F.lit("false"))).alias("include_null"),
@@ -304,8 +387,8 @@ def worksheet_filters(parsed: DataFrame) -> DataFrame:
     ws = _worksheets(parsed).select("path", F.col("ws._name").alias("worksheet_name"), F.col("ws.table.view").alias("view"))
     f = ws.select("path", "worksheet_name", "view.datasources.datasource", F.posexplode("view.filter").alias("pos", "f"))
     parts = F.regexp_extract_all(F.col("f._column"), F.lit(r"\[([^\]]+)\]"), 1)
-    ds_name = F.element_at(parts, 1)
-    caption = F.element_at(F.filter(F.col("datasource"), lambda d: d["_name"] == ds_name), 1)["_caption"]
+    ds_name = F.try_element_at(parts, F.lit(1))
+    caption = F.try_element_at(F.filter(F.col("datasource"), lambda d: d["_name"] == ds_name), F.lit(1))["_caption"]
     w = Window.partitionBy("path", "worksheet_name").orderBy("pos")
     gs = group_filter_semantics(F.col("f.groupfilter"))
     return f.select(
@@ -313,7 +396,7 @@ def worksheet_filters(parsed: DataFrame) -> DataFrame:
         "worksheet_name",
         F.concat(F.lit("Filter_"), F.row_number().over(w).cast("string")).alias("filter_name"),
         caption.alias("datasource_name"),
-        F.element_at(parts, -1).alias("column"),
+        F.try_element_at(parts, F.lit(-1)).alias("column"),
         F.col("f._class").alias("filter_class"),
         gs["function"].alias("function"),
         gs["filter_kind"].alias("filter_kind"),

@@ -47,21 +47,27 @@ FUNCTION_PATTERN = r"([A-Z_][A-Z0-9_]*)\s*\("
 FIELD_PATTERN = r"\[([^\]]+)\]"
 
 
+# What a scan of a formula must take whole, first come first: string literals, bracketed names, comments.
+_LITERAL, _NAME, _COMMENT = r"""\"[^\"]*\"|'[^']*'""", r"\[[^\]]*\]", r"//[^\n]*|/\*(?s:.*?)\*/"
+
+
 def strip_comments(formula: Column) -> Column:
     """Remove ``//`` line comments and ``/* … */`` blocks before scanning; string
-    literals (a URL, say) are kept whole."""
-    return F.regexp_replace(formula, r"""("[^"]*"|'[^']*')|//[^\n]*|/\*(?s:.*?)\*/""", "$1 ")
+    literals (a URL, say) and bracketed names are kept whole."""
+    return F.regexp_replace(formula, f"({_LITERAL}|{_NAME})|{_COMMENT}", "$1 ")
 
 
 def function_usage(calcs: DataFrame, keys=("path", "name")) -> DataFrame:
-    """FC-01 one row per (formula, function used)."""
-    f = F.regexp_extract_all(F.upper(strip_comments(F.col("formula"))), F.lit(FUNCTION_PATTERN), 1)
+    """FC-01 one row per (formula, function used); literals, names and comments are no calls."""
+    code = F.regexp_replace(F.col("formula"), f"{_LITERAL}|{_NAME}|{_COMMENT}", " ")
+    f = F.regexp_extract_all(F.upper(code), F.lit(FUNCTION_PATTERN), 1)
     return calcs.select(*keys, F.explode(F.array_distinct(f)).alias("function"))
 
 
 def field_usage(calcs: DataFrame, keys=("path", "name")) -> DataFrame:
-    """FC-02 one row per (formula, ``[field]`` referenced)."""
-    f = F.regexp_extract_all(strip_comments(F.col("formula")), F.lit(FIELD_PATTERN), 1)
+    """FC-02 one row per (formula, ``[field]`` referenced); brackets in literals and comments are no fields."""
+    code = F.regexp_replace(F.col("formula"), f"({_NAME})|{_LITERAL}|{_COMMENT}", "$1 ")
+    f = F.regexp_extract_all(code, F.lit(FIELD_PATTERN), 1)
     return calcs.select(*keys, F.explode(F.array_distinct(f)).alias("field"))
 
 
@@ -147,14 +153,15 @@ def rewrite_fields(calcs: DataFrame, columns: DataFrame, kind: DataFrame, keys=(
     ``columns`` = (keys…, local_column_name, remote_column_name, table_name);
     ``kind`` = (keys…, ds_type).  The local -> target map is built per
     datasource (bounded by its column count) and applied to the ``[...]``
-    tokens of each formula with a higher-order ``aggregate``."""
+    tokens of each formula with a higher-order ``aggregate``.  Of a repeated local
+    name the first counts; where captions repeat, take placed rows of all three and
+    the keys (path, ds_pos)."""
+    from lodestar.operators.extract import first_map, with_map
+
+    keys = list(keys)
+    one_kind = kind.groupBy(*keys).agg(F.min("ds_type").alias("ds_type"))
     target = F.when(F.col("ds_type") == "Extract", F.col("remote_column_name")).otherwise(F.concat_ws("::", "table_name", "local_column_name"))
-    m = (
-        columns.join(kind, list(keys))
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("local_column_name", target.alias("t")))).alias("fields"))
-    )
-    j = calcs.join(m, list(keys), "left")
+    j = with_map(calcs, first_map(columns.join(one_kind, keys), keys, "local_column_name", target, "fields"), keys)
     tokens = F.array_distinct(F.regexp_extract_all(F.col("formula"), F.lit(FIELD_PATTERN), 1))
     rewritten = F.aggregate(
         tokens,

@@ -10,6 +10,9 @@ hash join on the relationship keys.
 
 from __future__ import annotations
 
+import operator
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -33,10 +36,18 @@ class Relationship:
     keys: list = field(default_factory=list)  # [(left_col, right_col), ...]
     how: str = "inner"
     hint: str | None = None  # J-16: optional strategy hint for the right side
+    compared: tuple = ()  # [(left_col, operator, right_col), ...], beside the keys
 
 
-def _condition(a: str, b: str, keys) -> Column:
-    return reduce(lambda x, y: x & y, [F.col(f"`{a}`.`{x}`") == F.col(f"`{b}`.`{y}`") for x, y in keys])
+# Comparison operators of clauses (fixed values).
+COMPARISONS = {"=": operator.eq, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "<>": operator.ne, "!=": operator.ne}
+_MIRROR = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
+
+
+def _condition(e: Relationship) -> Column:
+    left, right = (lambda c, t=t: F.col(f"`{t}`.`{c}`") for t in (e.left, e.right))
+    parts = [left(x) == right(y) for x, y in e.keys] + [COMPARISONS[op](left(x), right(y)) for x, op, y in e.compared]
+    return reduce(lambda x, y: x & y, parts)
 
 
 def join_order(edges: list[Relationship]) -> list[tuple[Relationship, bool]]:
@@ -85,7 +96,7 @@ def star_join(frames: dict[str, DataFrame], edges: list[Relationship], keep_righ
         k = (e.left, e.right)
         if k in merged:
             old = merged[k]
-            merged[k] = Relationship(old.left, old.right, list(old.keys) + list(e.keys), old.how, old.hint)
+            merged[k] = Relationship(old.left, old.right, list(old.keys) + list(e.keys), old.how, old.hint, (*old.compared, *e.compared))
         else:
             merged[k] = e
     order = join_order(list(merged.values()))
@@ -107,7 +118,7 @@ def star_join(frames: dict[str, DataFrame], edges: list[Relationship], keep_righ
         if e.hint:
             side = side.hint(e.hint)
         how = _FLIP[e.how] if flipped else _SPARK_HOW[e.how]
-        plan = plan.join(side, reduce(lambda x, y: x & y, [_condition(x.left, x.right, x.keys) for x in conds]), how)
+        plan = plan.join(side, reduce(lambda x, y: x & y, [_condition(x) for x in conds]), how)
         joined.add(new)
         attach_seq.append(new)
         if not keep_right_keys:
@@ -201,6 +212,78 @@ def parse_join_operands(col: Column) -> Column:
     )
 
 
+_OPERAND = r"^\[([^\]]*)\]\.\[([^\]]*)\]$"
+
+
+def clause_comparisons(nodes: Column) -> Column:
+    """J-14 on trees: the comparisons of a clause (``extract.clause_nodes``) in document order, as an array of
+    (op, left_table, left_column, right_table, right_column); an operand that is no ``[table].[column]`` is null."""
+    compared = F.filter(nodes, lambda x: x["op"].isin(list(COMPARISONS)))
+
+    def one(x):
+        operands = F.filter(nodes, lambda y: y["parent"] == x["n"])
+        part = lambda i, g: F.nullif(F.regexp_extract(F.try_element_at(operands, F.lit(i))["op"], _OPERAND, g), F.lit(""))
+        return F.struct(x["op"].alias("op"), part(1, 1).alias("left_table"), part(1, 2).alias("left_column"), part(2, 1).alias("right_table"), part(2, 2).alias("right_column"))
+
+    return F.transform(compared, one)
+
+
+def clause_condition(nodes: list, column: Callable[[str, str], Column]) -> Column:
+    """The condition that one clause's nodes (rows of n, op, parent) state: comparisons under AND, OR and NOT to any depth.
+
+    ``column`` gives the Column of a table and a name.  A clause is a handful of
+    nodes of metadata, so this runs on the driver.
+    """
+    below: dict = {}
+    for x in nodes:
+        below.setdefault(x["parent"], []).append(x)
+
+    def value(x) -> Column:
+        op, args = x["op"], [value(y) for y in below.get(x["n"], [])]
+        if op.upper() in ("AND", "OR") and args:
+            return reduce((lambda a, b: a & b) if op.upper() == "AND" else (lambda a, b: a | b), args)
+        if op.upper() == "NOT" and len(args) == 1:
+            return ~args[0]
+        if op in COMPARISONS and len(args) == 2:
+            return COMPARISONS[op](*args)
+        named = re.match(_OPERAND, op)
+        if args or not named:
+            raise ValueError(f"clause with {op} of {len(args)} operands")
+        return column(*named.groups())
+
+    roots = below.get(None, [])
+    if len(roots) != 1:
+        raise ValueError(f"clause with {len(roots)} outer expressions")
+    return value(roots[0])
+
+
+def clause_relationship(nodes: list, how: str) -> Relationship:
+    """J-06 the edge that a clause of comparisons under AND states: equal pairs are its keys, the others are compared.
+
+    Operands may stand either way round.  Clauses with OR or NOT, or between more
+    than two tables, are no edge (``clause_condition`` reads them).
+    """
+    if any(x["op"].upper() in ("OR", "NOT") for x in nodes):
+        raise ValueError("a clause with OR or NOT is no relationship")
+    keys, compared, ends = [], [], None
+    for x in nodes:
+        if x["op"] not in COMPARISONS:
+            continue
+        operands = [re.match(_OPERAND, y["op"]) for y in nodes if y["parent"] == x["n"]]
+        if len(operands) != 2 or None in operands:
+            raise ValueError(f"clause with {x['op']} of other operands than two columns")
+        (a, c), (b, d), op = operands[0].groups(), operands[1].groups(), x["op"]
+        ends = ends or (a, b)
+        if (b, a) == ends:
+            a, c, b, d, op = b, d, a, c, _MIRROR.get(op, op)
+        if (a, b) != ends:
+            raise ValueError(f"clause between {ends[0]}, {ends[1]} and {a}, {b}")
+        (keys.append((c, d)) if op == "=" else compared.append((c, op, d)))
+    if ends is None:
+        raise ValueError("a clause without comparisons")
+    return Relationship(*ends, keys, how, None, tuple(compared))
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """J-07: (vertex, component), component = the smallest vertex reachable.
 

@@ -8,7 +8,8 @@ document so that ``extract.parse`` can read it against one fixed schema:
 
 * every relation is a direct child of the datasource's connection; a join
   keeps its own clause and kind, its operands follow it; a clause is one
-  expression with all others as direct children, in document order;
+  expression with all others as direct children, in document order, each with
+  its number (``n``) and that of the expression it stood in (``parent``);
 * metadata records are a direct child of the datasource;
 * zones are direct children of ``zones``, in document order;
 * a group filter has its descendants as direct children, level by level;
@@ -42,12 +43,12 @@ def _tree(text: str) -> ET.Element:
     return builder.close()
 
 
-def _take(parent: ET.Element, found: ET.Element) -> None:
-    """Removes an element from wherever it is below ``parent``."""
+def _take(parent: ET.Element, found: list[ET.Element]) -> None:
+    """Removes elements from wherever they are below ``parent``, in one walk."""
+    gone = {id(e) for e in found}
     for p in parent.iter():
-        if found in list(p):
-            p.remove(found)
-            return
+        if any(id(e) in gone for e in p):
+            p[:] = [e for e in p if id(e) not in gone]
 
 
 def _relations(ds: ET.Element) -> None:
@@ -76,19 +77,25 @@ def _relations(ds: ET.Element) -> None:
         made.text = r.text
         made.extend(_clause(c) for c in r.findall("clause"))
         flat.append(made)
-    for e in every:
-        _take(ds, e)
+    _take(ds, every)
     connection.extend(flat)
     if lost:
         ds.set("unread-relations", str(lost))
 
 
 def _clause(clause: ET.Element) -> ET.Element:
-    made = ET.Element("clause", dict(clause.attrib))
-    every = [ET.Element("expression", dict(e.attrib)) for e in clause.iter("expression")]
-    made.extend(every[:1])
+    made, flat = ET.Element("clause", dict(clause.attrib)), []
+
+    def walk(parent: ET.Element, number: int) -> None:
+        for e in parent.findall("expression"):
+            own = {"n": str(len(flat))} | ({"parent": str(number)} if number >= 0 else {})
+            flat.append(ET.Element("expression", dict(e.attrib) | own))
+            walk(e, len(flat) - 1)
+
+    walk(clause, -1)
+    made.extend(flat[:1])
     for outer in made:
-        outer.extend(every[1:])
+        outer.extend(flat[1:])
     return made
 
 
@@ -100,7 +107,7 @@ def _datasource(ds: ET.Element) -> None:
     for name, home in (("metadata-records", ds), ("named-connections", connection), ("extract", ds)):
         found = ds.find(f".//{name}")
         if found is not None and home is not None and found not in list(home):
-            _take(ds, found)
+            _take(ds, [found])
             home.append(found)
     for f in ds.findall("filter"):
         _filter(f)

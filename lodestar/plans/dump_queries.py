@@ -70,7 +70,8 @@ add(
 
 # ------------------------------------------------------------------ WH-11 from XML
 def _table_detail(spark, sf_dir):
-    w = W.load(property_dump(parsed_corpus(spark, sf_dir), "command_line", "2024-01-01 00:00:00", "2024-01-01 00:05:00"))
+    # the load reads the dump a dozen times
+    w = W.load(property_dump(parsed_corpus(spark, sf_dir), "command_line", "2024-01-01 00:00:00", "2024-01-01 00:05:00").checkpoint())
     names = w["table_header"].select("table_header_id", "table_name")
     return w["table_detail"].join(names, "table_header_id").select("table_name", "column_name", "data_type", "conv_feasibility", "ts_data_type")
 

@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.operators import extract as X
+from lodestar.operators import formulas as FC
+from lodestar.operators import joins as J
 from lodestar.plans.registry import add
 from lodestar.session import checkpoint_dir
-from lodestar.sources.tables import tables_stamp
-from lodestar.sources.workbooks import BUCKET_SIZE, workbook_corpus
+from lodestar.sources.tables import Tables, tables_stamp
+from lodestar.sources.workbooks import BUCKET_SIZE, odd_corpus, workbook_corpus
 
 _PARSED: dict = {}
 
@@ -230,3 +232,133 @@ _q(
     lambda p: X.errors(p),
     "SELECT DISTINCT path || '.bad' AS path, 'error' AS object_type, 'could not parse ' || path || '.bad' AS exec_error_details FROM docs WHERE path LIKE '%\\_0.twb' ESCAPE '\\'",
 )
+
+# ------------------------------------------------- documents that an extractor can't evaluate in full
+_ODD: dict = {}
+
+
+def parsed_odd(spark, sf_dir):
+    """The odd documents, parsed once."""
+    key = (spark.sparkContext.applicationId, sf_dir, tables_stamp(spark, sf_dir))
+    if key not in _ODD:
+        checkpoint_dir(spark)
+        _ODD[key] = X.parse(odd_corpus(spark, sf_dir)).checkpoint()
+    return _ODD[key]
+
+
+ODD = "WITH o AS (SELECT s_suppkey % 6 AS kind, CAST(s_suppkey AS VARCHAR) AS k, '/odd/' || CAST(s_suppkey AS VARCHAR) || '.twb' AS path FROM supplier)"
+_NO_RANGE = f" of [A] is not one of up to {X.MAX_RANGE} whole numbers; it has no members"
+
+
+def _oq(qid, fn, select_sql):
+    add(qid, lambda spark, sf_dir: fn(parsed_odd(spark, sf_dir)), f"{ODD}\n{select_sql}")
+
+
+_oq(
+    "ex30_error_channel",
+    X.problems,
+    f"""SELECT path, 'error' AS object_type, 'filters' AS extractor, 'D' || k AS subject, 'range a..f{_NO_RANGE}' AS exec_error_details FROM o WHERE kind = 0
+UNION ALL SELECT path, 'error', 'filters', 'D' || k, 'range #2020-01-01#..#2020-02-01#{_NO_RANGE}' FROM o WHERE kind = 1
+UNION ALL SELECT path, 'error', 'filters', 'D' || k, 'period soon of [A] is no whole number' FROM o WHERE kind = 1
+UNION ALL SELECT path, 'error', 'datasources', 'D' || k, '2 datasources are called D' || k || '; they are told apart by their place' FROM o WHERE kind = 2
+UNION ALL SELECT path, 'error', 'columns', 'D' || k, 'k names 2 items; the first counts' FROM o WHERE kind = 3
+UNION ALL SELECT path, 'error', 'columns', 'D' || k, 'a column has no name' FROM o WHERE kind = 4
+UNION ALL SELECT path, 'error', 'calculations', 'D' || k, 'a calculation has no name' FROM o WHERE kind = 4
+UNION ALL SELECT path, 'error', 'filters', 'D' || k, 'range 1..10000000{_NO_RANGE}' FROM o WHERE kind = 5""",
+)
+_oq(
+    "ex30_error_counts",
+    lambda p: X.problems(p).groupBy("extractor").agg(F.count(F.lit(1)).alias("errors"), F.count_distinct("path").alias("documents")),
+    """SELECT extractor, sum(n) AS errors, count(*) AS documents FROM (
+  SELECT path, CASE WHEN kind IN (0, 1, 5) THEN 'filters' WHEN kind = 2 THEN 'datasources' ELSE 'columns' END AS extractor, CAST(CASE WHEN kind = 1 THEN 2 ELSE 1 END AS BIGINT) AS n FROM o
+  UNION ALL SELECT path, 'calculations', 1 FROM o WHERE kind = 4) GROUP BY extractor""".replace("sum(n) AS errors", "CAST(sum(n) AS BIGINT) AS errors"),
+)
+_oq(
+    "ex18_unreadable_ranges",
+    lambda p: X.datasource_filters(p).select("path", "filter_name", "filter_class", "column", "member", "first_period", "last_period"),
+    """SELECT path, 'Filter_1' AS filter_name, 'categorical' AS filter_class, 'G' AS column, '1,2,3' AS member, CAST(NULL AS INTEGER) AS first_period, CAST(NULL AS INTEGER) AS last_period FROM o
+UNION ALL SELECT path, 'Filter_2', 'categorical', 'A', NULL, NULL, NULL FROM o WHERE kind IN (0, 1, 5)
+UNION ALL SELECT path, 'Filter_3', 'relative-date', 'A', NULL, NULL, 0 FROM o WHERE kind = 1""",
+)
+_ODD_CALCS = """SELECT path, '[Calculation_1]' AS name, {first} AS formula FROM o
+UNION ALL SELECT path, '[Calculation_2]', {second} FROM o
+UNION ALL SELECT path, '[Calculation_1]', 'COUNT([k])' FROM o WHERE kind = 2
+UNION ALL SELECT path, '[Calculation_2]', {other} FROM o WHERE kind = 2
+UNION ALL SELECT path, NULL, '1' FROM o WHERE kind = 4"""
+_oq(
+    "ex10_repeated_captions",
+    lambda p: X.resolve_references(X.calculated_fields(p, placed=True)).select("path", "name", "formula"),
+    _ODD_CALCS.format(first="'SUM([k])'", second="'[First ' || k || '] / 2'", other="'[Other] / 3'"),
+)
+_oq(
+    "p03_repeated_local_names",
+    lambda p: FC.rewrite_fields(X.calculated_fields(p, placed=True), X.columns(p, placed=True).drop("datasource_name", "data_type"), X.datasource_kind(p, placed=True).drop("datasource_name"), ("path", "ds_pos")).select("path", "name", "formula"),
+    _ODD_CALCS.format(first="'SUM([T' || k || '::k])'", second="'[Calculation_1] / 2'", other="'[Calculation_1] / 3'"),
+)
+_oq(
+    "j14_composite_clauses",
+    lambda p: X.clause_nodes(p).select("path", "join_type", F.posexplode(J.clause_comparisons(F.col("nodes"))).alias("pos", "c")).select("path", "join_type", "pos", "c.*"),
+    """SELECT path, 'inner' AS join_type, 0 AS pos, '=' AS op, 'T' || k AS left_table, 'k' AS left_column, 'U' AS right_table, 'k' AS right_column FROM o
+UNION ALL SELECT path, 'inner', 1, '=', 'T' || k, 'l', 'U', 'l' FROM o
+UNION ALL SELECT path, 'inner', 2, '<=', 'U', 'm', 'T' || k, 'm' FROM o""",
+)
+_oq(
+    "ex03_composite_operands",
+    X.join_clauses,
+    "SELECT path, 'D' || k AS datasource_name, 'inner' AS join_type, 'AND::[T' || k || '].[k]::[U].[k]::AND::[T' || k || '].[l]::[U].[l]::<=::[U].[m]::[T' || k || '].[m]' AS operands FROM o",
+)
+
+
+def _clause_document(how: str, clause: str) -> tuple[str, str]:
+    return ("w.twb", f"<workbook><datasources><datasource name='d'><connection class='x'><relation type='join' join='{how}'><clause type='join'>{clause}</clause></relation></connection></datasource></datasources></workbook>")
+
+
+def _pair(op: str, a: str, b: str) -> str:
+    return f"<expression op='{op}'><expression op='{a}'/><expression op='{b}'/></expression>"
+
+
+def _clause_of(spark, how: str, clause: str) -> list:
+    """The nodes of the one clause of a document (metadata: a few rows)."""
+    docs = spark.createDataFrame([_clause_document(how, clause)], "path string, content string")
+    return X.clause_nodes(X.parse(docs)).first()
+
+
+def _j06_clause(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    late = "<expression op='AND'>" + _pair("=", "[lineitem].[l_orderkey]", "[orders].[o_orderkey]") + _pair("&lt;", "[orders].[o_totalprice]", "[lineitem].[l_extendedprice]") + "</expression>"
+    clause = _clause_of(spark, "inner", late)
+    joined = J.star_join({"lineitem": t.lineitem.select("l_orderkey", "l_extendedprice"), "orders": t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus")}, [J.clause_relationship(clause["nodes"], clause["join_type"])])
+    return joined.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+add("j06_composite_clause_join", _j06_clause, "SELECT o_orderstatus, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND o_totalprice < l_extendedprice GROUP BY 1")
+
+
+def _j06_keys(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    both = "<expression op='AND'>" + _pair("=", "[customer].[c_nationkey]", "[supplier].[s_nationkey]") + _pair("=", "[supplier].[s_suppkey]", "[customer].[c_custkey]") + "</expression>"
+    clause = _clause_of(spark, "left", both)
+    joined = J.star_join({"customer": t.customer.select("c_custkey", "c_nationkey"), "supplier": t.supplier.select("s_suppkey", "s_nationkey", "s_name")}, [J.clause_relationship(clause["nodes"], clause["join_type"])])
+    return joined.select("c_custkey", "c_nationkey", "s_name")
+
+
+add("j06_two_key_clause_join", _j06_keys, "SELECT c_custkey, c_nationkey, s_name FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey AND c_custkey = s_suppkey")
+
+
+# ------------------------------------------------- formulas whose names and literals look like comments and calls
+def _token_formulas(spark, sf_dir):
+    s = Tables(spark, sf_dir).supplier
+    named = F.concat(F.lit("[Path // "), F.col("s_name"), F.lit("] + DATEADD('day', 1, [x]) // LOOKUP([y], 1)"))
+    quoted = F.concat(F.lit('"DATEADD (" + STR([n]) + \'[no] // field\' /* TOTAL([z]) */ + [SUM (q)] + \''), F.col("s_name"), F.lit("'"))
+    rows = F.array(F.struct(F.lit("named").alias("name"), named.alias("formula")), F.struct(F.lit("quoted").alias("name"), quoted.alias("formula")))
+    return s.select(F.col("s_suppkey").cast("string").alias("path"), F.inline(rows))
+
+
+_TOKEN = "FROM (SELECT CAST(s_suppkey AS VARCHAR) AS path, s_name FROM supplier)"
+add("fc01_calls_outside_names", lambda s, d: FC.function_usage(_token_formulas(s, d)), f"SELECT path, 'named' AS name, 'DATEADD' AS function {_TOKEN} UNION ALL SELECT path, 'quoted', 'STR' {_TOKEN}")
+add(
+    "fc02_fields_outside_literals",
+    lambda s, d: FC.field_usage(_token_formulas(s, d)),
+    f"SELECT path, 'named' AS name, 'Path // ' || s_name AS field {_TOKEN} UNION ALL SELECT path, 'named', 'x' {_TOKEN} UNION ALL SELECT path, 'quoted', 'n' {_TOKEN} UNION ALL SELECT path, 'quoted', 'SUM (q)' {_TOKEN}",
+)
+add("fc03_verdicts_of_tokens", lambda s, d: FC.classify(_token_formulas(s, d)), f"SELECT path, 'named' AS name, 'Partial' AS verdict {_TOKEN} UNION ALL SELECT path, 'quoted', 'Full' {_TOKEN}")

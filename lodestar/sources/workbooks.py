@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -49,12 +50,16 @@ def _unzip(batches):
         out = []
         for path, blob in zip(pdf["path"], pdf["content"]):
             try:
-                with zipfile.ZipFile(io.BytesIO(bytes(blob))) as z:
-                    for name in z.namelist():
-                        if name.endswith(".twb"):
-                            out.append((f"{path}!{name}", z.read(name).decode("utf-8", errors="replace"), None))
-            except zipfile.BadZipFile as e:  # EX-30: bad package -> error row
+                package = zipfile.ZipFile(io.BytesIO(bytes(blob)))
+            except (zipfile.BadZipFile, ValueError, NotImplementedError) as e:  # EX-30: bad package -> error row
                 out.append((path, None, f"bad package: {e}"))
+                continue
+            with package as z:
+                for name in (n for n in z.namelist() if n.endswith(".twb")):
+                    try:
+                        out.append((f"{path}!{name}", z.read(name).decode("utf-8", errors="replace"), None))
+                    except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError, zlib.error) as e:  # encrypted or corrupt member
+                        out.append((f"{path}!{name}", None, f"bad member: {e}"))
         yield pd.DataFrame(out, columns=["path", "content", "error"])
 
 
@@ -359,5 +364,51 @@ def workbook_corpus(spark: SparkSession, sf_dir: str, bucket_size: int = BUCKET_
     return out
 
 
+def odd_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document per supplier with what an extractor can't evaluate, by the supplier's key modulo 6: a range of texts,
+    one of dates and a period that is no number, two datasources of one caption, a repeated local name, items without
+    a name, a range of ten million.  Each also has a readable filter, calculations and a join on a clause tree."""
+    key = F.col("s_suppkey").cast("string")
+    is_kind = lambda k, xml: F.when(F.col("s_suppkey") % 6 == k, F.concat(*xml)).otherwise(F.lit(""))
+    lit = F.lit
+
+    def pair(op, *operands):
+        return [lit(f"<expression op='{op}'>"), *[x for o in operands for x in (lit("<expression op='"), *o, lit("'/>"))], lit("</expression>")]
+
+    def calc(name, caption, formula):
+        return [lit(f"<column {name} caption='"), *caption, lit("'><calculation class='formula' formula='"), lit(formula), lit("'/></column>")]
+
+    def record(local, remote, parent):
+        return [lit(f"<metadata-record class='column'><remote-name>{remote}</remote-name>{local}<parent-name>["), *parent, lit("]</parent-name><local-type>string</local-type></metadata-record>")]
+
+    def ranged(lo, hi):
+        return lit(f"<filter class='categorical' column='[A]'><groupfilter function='range' from='{lo}' to='{hi}'/></filter>")
+
+    mine = lambda column: [lit("[T"), key, lit(f"].[{column}]")]
+    other = lambda column: [lit(f"[U].[{column}]")]
+    inner = [lit("<expression op='AND'>"), *pair("=", mine("l"), other("l")), *pair("&lt;=", other("m"), mine("m")), lit("</expression>")]
+    clause = [lit("<relation join='inner' type='join'><clause type='join'><expression op='AND'>"), *pair("=", mine("k"), other("k")), *inner, lit("</expression></clause></relation>")]
+    content = F.concat(
+        lit("<?xml version='1.0' encoding='utf-8' ?><workbook><datasources><datasource caption='D"), key, lit("' name='n"), key, lit("'><connection class='federated'>"),
+        *clause,
+        lit("</connection><metadata-records>"),
+        *record("<local-name>[k]</local-name>", "R", [lit("T"), key]),
+        is_kind(3, record("<local-name>[k]</local-name>", "S", [lit("V")])),
+        is_kind(4, record("", "S", [lit("V")])),
+        lit("</metadata-records>"),
+        *calc("name='[Calculation_1]'", [lit("First "), key], "SUM([k])"),
+        *calc("name='[Calculation_2]'", [lit("Ratio")], "[Calculation_1] / 2"),
+        is_kind(4, calc("", [lit("Nameless")], "1")),
+        lit("<filter class='categorical' column='[G]'><groupfilter function='range' from='1' to='3'/></filter>"),
+        is_kind(0, [ranged("a", "f")]),
+        is_kind(1, [ranged("#2020-01-01#", "#2020-02-01#"), lit("<filter class='relative-date' column='[A]' first-period='soon' last-period='0' period-type='month'/>")]),
+        is_kind(5, [ranged(1, 10_000_000)]),
+        lit("</datasource>"),
+        is_kind(2, [lit("<datasource caption='D"), key, lit("' name='m"), key, lit("'>"), *calc("name='[Calculation_1]'", [lit("Other")], "COUNT([k])"), *calc("name='[Calculation_2]'", [lit("Ratio")], "[Calculation_1] / 3"), lit("</datasource>")]),
+        lit("</datasources></workbook>"),
+    )
+    return Tables(spark, sf_dir).supplier.select(F.concat(lit("/odd/"), key, lit(".twb")).alias("path"), content.alias("content"))
+
+
 # path of a corpus document in the oracle SQL
 CORPUS_PATH_SQL = "'/corpus/' || r_name || '/' || n_name || '_' || CAST(CAST(floor(s_suppkey / {b}) AS BIGINT) AS VARCHAR) || '.twb'"
