@@ -73,23 +73,24 @@ def problems(parsed: DataFrame) -> DataFrame:
     Documents that can't be read, and of the others each value or name that an
     extractor left out, with the rule by which the rest was read.
     """
-    say = lambda df, extractor, subject, *text: df.select("path", F.lit("error").alias("object_type"), F.lit(extractor).alias("extractor"), subject.alias("subject"), F.concat(*text).alias("exec_error_details"))
+    said = lambda df, extractor, subject, text: df.select("path", F.lit("error").alias("object_type"), F.lit(extractor).alias("extractor"), subject.alias("subject"), text.alias("exec_error_details"))
     found = [errors(parsed).select("path", "object_type", F.lit("parse").alias("extractor"), F.lit(None).cast("string").alias("subject"), "exec_error_details")]
     ds = datasources(parsed)
-    named = ds.select("path", F.col("ds._caption").alias("caption")).groupBy("path", "caption").count()
-    found.append(say(named.filter("caption IS NULL"), "datasources", F.lit(None).cast("string"), F.lit("a datasource has neither caption nor name")))
-    found.append(say(named.filter("caption IS NOT NULL AND count > 1"), "datasources", F.col("caption"), F.col("count").cast("string"), F.lit(" datasources are called "), F.col("caption"), F.lit("; they are told apart by their place")))
+    called = ds.select("path", F.col("ds._caption").alias("item")).groupBy("path", "item").count().filter("item IS NULL OR count > 1")
+    text = F.concat(F.col("count").cast("string"), F.lit(" datasources are called "), F.col("item"), F.lit("; they are told apart by their place"))
+    found.append(said(called, "datasources", F.col("item"), F.coalesce(text, F.lit("a datasource has neither caption nor name"))))
     for extractor, rows, name, what in (("calculations", calculated_fields(parsed, placed=True), "name", "a calculation"), ("columns", columns(parsed, placed=True), "local_column_name", "a column")):
-        names = rows.groupBy("path", "ds_pos", "datasource_name", F.col(name).alias("item")).count()
-        found.append(say(names.filter("item IS NULL"), extractor, F.col("datasource_name"), F.lit(f"{what} has no name")))
-        found.append(say(names.filter("item IS NOT NULL AND count > 1"), extractor, F.col("datasource_name"), F.col("item"), F.lit(" names "), F.col("count").cast("string"), F.lit(" items; the first counts")))
-    owned = ds.select("path", F.col("ds._caption").alias("owner"), F.explode("ds.filter").alias("f")).select("path", "owner", F.col("f._column").alias("column"), F.col("f.groupfilter").alias("g"), F.col("f.`_first-period`").alias("first"), F.col("f.`_last-period`").alias("last"))
-    sheets = _worksheets(parsed).select("path", F.col("ws._name").alias("owner"), F.explode("ws.table.view.filter").alias("f")).select("path", "owner", F.col("f._column").alias("column"), F.col("f.groupfilter").alias("g"), F.lit(None).cast("string"), F.lit(None).cast("string"))
-    filters = owned.union(sheets).withColumn("ranges", group_filter_semantics(F.col("g"))["unread_ranges"])
-    column = F.coalesce("column", F.lit("a filter"))
-    found.append(say(filters.withColumn("range", F.explode("ranges")), "filters", F.col("owner"), F.lit("range "), F.col("range"), F.lit(" of "), column, F.lit(f" is not one of up to {MAX_RANGE} whole numbers; it has no members")))
-    periods = filters.withColumn("period", F.explode(F.filter(F.array("first", "last"), lambda p: p.isNotNull() & p.try_cast("int").isNull())))
-    found.append(say(periods, "filters", F.col("owner"), F.lit("period "), F.col("period"), F.lit(" of "), column, F.lit(" is no whole number")))
+        names = rows.groupBy("path", "ds_pos", "datasource_name", F.col(name).alias("item")).count().filter("item IS NULL OR count > 1")
+        text = F.concat(F.col("item"), F.lit(" names "), F.col("count").cast("string"), F.lit(" items; the first counts"))
+        found.append(said(names, extractor, F.col("datasource_name"), F.coalesce(text, F.lit(f"{what} has no name"))))
+    owned = ds.select("path", F.col("ds._caption").alias("owner"), F.explode("ds.filter").alias("f")).select("path", "owner", F.col("f._column").alias("column"), F.col("f.groupfilter").alias("g"), F.array("f.`_first-period`", "f.`_last-period`").alias("periods"))
+    sheets = _worksheets(parsed).select("path", F.col("ws._name").alias("owner"), F.explode("ws.table.view.filter").alias("f")).select("path", "owner", F.col("f._column").alias("column"), F.col("f.groupfilter").alias("g"), F.array().cast("array<string>"))
+    of = F.concat(F.lit(" of "), F.coalesce("column", F.lit("a filter")))
+    ranges = F.transform(group_filter_semantics(F.col("g"))["unread_ranges"], lambda r: F.concat(F.lit("range "), r, of, F.lit(f" is not one of up to {MAX_RANGE} whole numbers; it has no members")))
+    odd = F.filter("periods", lambda p: p.isNotNull() & p.try_cast("int").isNull())
+    periods = F.transform(odd, lambda p: F.concat(F.lit("period "), p, of, F.lit(" is no whole number")))
+    told = owned.union(sheets).select("path", "owner", F.explode(F.concat(F.coalesce(ranges, F.array().cast("array<string>")), periods)).alias("text"))
+    found.append(said(told, "filters", F.col("owner"), F.col("text")))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -10,8 +10,13 @@ it only on aggregated views, never on raw fact rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 UNBOUNDED_PRECEDING = Window.unboundedPreceding
 UNBOUNDED_FOLLOWING = Window.unboundedFollowing
@@ -115,11 +120,38 @@ def previous_value_sum(x, w: WindowSpec, init=0) -> Column:
 def previous_value(x, w: WindowSpec, init, step) -> Column:
     """W16 general recurrence v_i = step(v_{i-1}, x_i), v_0 = init, folded over
     the running frame.  Quadratic in the partition length: for small
-    aggregated partitions only (use the closed forms when they exist)."""
+    aggregated partitions only (``previous_value_fold`` takes any length)."""
     xs = F.collect_list(_col(x)).over(_running(w))
     return F.aggregate(xs, F.lit(init), step)
 
 
+def previous_value_fold(df: DataFrame, partition_by: list[str], order_by: list[str], x: str, init, step: Callable, out: str, kind: str) -> DataFrame:
+    """W16 for partitions of any length: ``df`` with ``out`` (of type ``kind``), v_i = step(v_{i-1}, x_i) from v_0 = init.
+
+    The rows of a partition come sorted, in Arrow batches, and only the last value
+    is carried from batch to batch: linear time, constant memory.  A recurrence with
+    any step is sequential, so a partition is one task; ``order_by`` must be unique
+    in it.  Null values of ``x`` reach the step as None."""
+    dealt = df.repartition(*partition_by) if partition_by else df.repartition(1)
+    ordered = dealt.sortWithinPartitions(*partition_by, *order_by)
+
+    def run(batches):
+        of, v = None, init
+        for b in batches:
+            at = [b.schema.get_field_index(c) for c in (*partition_by, x)]
+            values = []
+            for *key, value in zip(*(b.column(i).to_pylist() for i in at)):
+                if key != of:
+                    of, v = key, init
+                v = step(v, value)
+                values.append(v)
+            made = pa.array(values, to_arrow_type(result))
+            yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, out])
+
+    result = T.StructType.fromDDL(f"v {kind}")["v"].dataType
+    return ordered.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, result)]))
+
+
 # moving windows (offsets relative to the current row) -------------------------
 def _frame(w: WindowSpec, start, end) -> WindowSpec:
     return w.rowsBetween(start, end)

@@ -259,6 +259,21 @@ add(
     "SELECT n.r_name, n.ym, n.rn, rec.v * CAST(0.5 AS DOUBLE) + n.revenue FROM rec JOIN n ON n.r_name = rec.r_name AND n.rn = rec.rn + 1)\n"
     "SELECT r_name, ym, floor(v * 100) / 100 AS v FROM rec",
 )
+
+
+def _w16_fold(spark, sf_dir):
+    o = Tables(spark, sf_dir).orders.select("o_custkey", "o_orderkey")
+    return tc.previous_value_fold(o, ["o_custkey"], ["o_orderkey"], "o_orderkey", 7, lambda v, x: (3 * v + x) % 1000003, "v", "bigint")
+
+
+add(
+    "w16_previous_value_fold",
+    _w16_fold,
+    "WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),\n"
+    "r AS (SELECT o_custkey, o_orderkey, i, CAST((21 + o_orderkey) % 1000003 AS BIGINT) AS v FROM o WHERE i = 1 UNION ALL "
+    "SELECT o.o_custkey, o.o_orderkey, o.i, CAST((3 * r.v + o.o_orderkey) % 1000003 AS BIGINT) FROM r JOIN o ON o.o_custkey = r.o_custkey AND o.i = r.i + 1)\n"
+    "SELECT o_custkey, o_orderkey, v FROM r",
+)
 MOV = f"{W_SQL} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW"
 _w("w17_window_avg", lambda: tc.window_avg("rev_c", W_PART, -2, 0), f"avg(rev_c) OVER ({MOV})", 4)
 _w("w18_window_sum", lambda: tc.window_sum("rev_c", W_PART, -2, 0), f"CAST(sum(rev_c) OVER ({MOV}) AS BIGINT)", None)

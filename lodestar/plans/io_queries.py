@@ -6,7 +6,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from lodestar.functions.udf import rawsql, rawsqlagg, script
+from lodestar.functions.udf import rawsql, rawsqlagg, script, script_over
 from lodestar.plans.extract_queries import DOCS
 from lodestar.plans.registry import add
 from lodestar.plans.warehouse_sql import with_warehouse
@@ -229,3 +229,33 @@ def _u16(spark, sf_dir):
 
 
 add("u16_script_str", _u16, "SELECT o_orderkey, lower(o_orderstatus) || '/' || substr(o_orderpriority, 1, 1) AS v FROM orders")
+
+
+def _since_first(x: pd.Series) -> pd.Series:
+    return x - x.iloc[0] + len(x)
+
+
+def _u15_partition(spark, sf_dir):
+    o = Tables(spark, sf_dir).orders.select("o_custkey", "o_orderkey", "o_totalprice")
+    return script_over(o, ["o_custkey"], ["o_orderkey"], "REAL", _since_first, ["o_totalprice"], "v").select("o_orderkey", "v")
+
+
+add(
+    "u15_script_partition",
+    _u15_partition,
+    "SELECT o_orderkey, o_totalprice - first_value(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + count(*) OVER (PARTITION BY o_custkey) AS v FROM orders",
+)
+
+
+def _st01_again(spark, sf_dir):
+    """ST-01 with a fresh checkpoint over the same output: every file stays taken once."""
+    base = S.scratch_dir(spark, "stream")
+    _write_corpus_files(spark, sf_dir, f"{base}/in")
+    for checkpoint in ("a", "b"):
+        intake.run_intake(spark, f"{base}/in", f"{base}/out", f"{base}/{checkpoint}", pattern="*.txt")
+    rows = spark.read.parquet(f"{base}/out").filter(F.col("property_type") == "metadata-record").groupBy("path").agg(F.count(F.lit(1)).alias("n_rows"))
+    files = intake.taken_files(spark, f"{base}/out").groupBy("path").agg(F.count(F.lit(1)).alias("n_taken"))
+    return files.join(rows, "path", "left").select(_doc_from_path(F.col("path")).alias("doc"), "n_taken", "n_rows")
+
+
+add("st01_fresh_checkpoint", _st01_again, f"WITH {DOCS} SELECT {DOC_PATH_SQL} AS doc, CAST(1 AS BIGINT) AS n_taken, count(*) AS n_rows FROM sup GROUP BY 1")

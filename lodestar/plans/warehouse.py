@@ -358,3 +358,12 @@ def write_run(w: dict[str, DataFrame], out_dir: str) -> None:
             old = fs.Path(f"{target}/exec_id={run}")
             old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
         with_run(w, name, min(runs, default=None)).write.mode("append").partitionBy("exec_id").parquet(target)
+
+
+def publish_run(w: dict[str, DataFrame], out_dir: str) -> int:
+    """WH-21: the load's runs in all tables at once (``sources.published``): readers see the old tables or the new ones."""
+    from lodestar.sources.published import publish
+
+    runs = sorted(r[0] for r in w["migration_execution_header"].select("exec_id").distinct().collect())  # the runs of one load
+    first = runs[0] if runs else None
+    return publish({name: with_run(w, name, first) for name in w}, runs, out_dir)

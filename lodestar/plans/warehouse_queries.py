@@ -106,3 +106,27 @@ add(
     _wh21,
     with_warehouse("\nUNION ALL\n".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {c}" for t, c in WH_CTE.items())),
 )
+
+
+def _wh21_published(spark, sf_dir):
+    """WH-21 atomic: run 1, run 2 and run 1 again are published; counts per table as readers see them."""
+    from lodestar.sources.published import at_version, manifest
+    from lodestar.sources.sinks import scratch_dir
+
+    dump = materialized_warehouse(spark, sf_dir)["raw_data_dump"]
+    path = scratch_dir(spark, "published")
+    for run in ("run1", "run2", "run1"):
+        W.publish_run(W.load(dump.filter(F.col("exec_id") == F.md5(F.lit(run)))), path)
+    content = manifest(spark, path)[1]
+    out = None
+    for name in content:
+        part = at_version(spark, path, name, content).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+add(
+    "wh21_atomic_publish",
+    _wh21_published,
+    with_warehouse("\nUNION ALL\n".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {c}" for t, c in WH_CTE.items())),
+)

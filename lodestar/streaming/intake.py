@@ -2,9 +2,12 @@
 
 ``readStream`` over a folder of workbook files (``binaryFile`` needs an explicit
 schema), ``foreachBatch`` parses and extracts each micro-batch and appends the
-property rows stamped with the batch's run id, partitioned by ``exec_id``.
-Spark may hand the same micro-batch to ``foreachBatch`` again after a failure;
-a batch therefore overwrites its own partition, so a replay changes nothing.
+property rows stamped with a run id, partitioned by ``exec_id``.  A file is known
+by its path, length, modification time and md5, and is taken once, whatever
+checkpoint or stream delivers it: a log of the files of every run stands beside the
+rows, and the run's id is that of its files.  The log is written first and counts
+once the run's rows are committed, so a batch that failed in between is taken again
+and nothing twice.  One stream at a time may write to an output.
 ``trigger(availableNow=True)`` drains what is there and stops, which is how a
 scheduled job uses it.  ST-02 drops re-delivered copies of the same document
 (md5 of the content): keys seen before are kept in the output table, so a file
@@ -40,16 +43,61 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+#: Beside the rows: the files of each run (readers of the rows skip names with an underscore).
+_FILES = "_files"
+_FILE_SCHEMA = "path string, length long, modificationTime timestamp, content_md5 string, file_key string"
+
+
+def _children(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """The names of a folder's entries that start with ``prefix``."""
+    if not _exists(spark, path):
+        return []
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(n for n in (s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)) if n.startswith(prefix))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def taken_files(spark: SparkSession, out_dir: str) -> DataFrame:
+    """IO-09: the log of the files whose rows are in ``out_dir``, with the run (``exec_id``) that took them."""
+    base = out_dir.rstrip("/")
+    runs = [n.removeprefix("exec_id=") for n in _children(spark, f"{base}/{_FILES}", "exec_id=")]
+    whole = [r for r in runs if _exists(spark, f"{base}/exec_id={r}/_SUCCESS")]
+    if not whole:
+        return spark.createDataFrame([], f"{_FILE_SCHEMA}, exec_id string")
+    paths = [f"{base}/{_FILES}/exec_id={r}" for r in whole]
+    return spark.read.schema(f"{_FILE_SCHEMA}, exec_id string").option("basePath", f"{base}/{_FILES}").parquet(*paths)
+
+
 def write_intake_batch(batch: DataFrame, batch_id: int, out_dir: str) -> None:
-    """The dump rows of one micro-batch (every kind that extraction has) into its own
-    ``exec_id`` partition, which a replay overwrites.  The parsed documents are kept
-    while the kinds are taken from them, so each document is parsed once."""
-    run = hashlib.md5(f"stream-batch-{batch_id}".encode()).hexdigest()
-    parsed = X.parse(batch).persist()
+    """The dump rows of a micro-batch's files that no run has taken (every kind that extraction has), as one run.
+
+    ``batch``: path and content, with length and modificationTime where the source
+    has them.  The parsed documents are kept while the kinds are taken from them, so
+    each document is parsed once."""
+    spark, base = batch.sparkSession, out_dir.rstrip("/")
+    for name in _children(spark, base, "exec_id="):  # rows of a run that failed while it was written
+        if not _exists(spark, f"{base}/{name}/_SUCCESS"):
+            _remove(spark, f"{base}/{name}")
+    known = [F.col(c) if c in batch.columns else F.lit(None).cast(t).alias(c) for c, t in (("length", "long"), ("modificationTime", "timestamp"))]
+    files = batch.select("path", "content", *known).withColumn("content_md5", F.md5(F.coalesce(F.col("content"), F.lit("")).cast("binary")))
+    text = F.concat_ws("\n", F.col("path"), F.coalesce(F.col("length").cast("string"), F.lit("")), F.coalesce(F.unix_micros(F.col("modificationTime")).cast("string"), F.lit("")), F.col("content_md5"))
+    keyed = files.withColumn("file_key", F.md5(text)).dropDuplicates(["file_key"])
+    fresh = keyed.join(taken_files(spark, out_dir).select("file_key"), "file_key", "left_anti").persist()
+    n, mark = fresh.agg(F.count(F.lit(1)), F.sum(F.xxhash64("file_key").cast("decimal(38,0)"))).first()
+    parsed = X.parse(fresh).persist()
     try:
-        extracted_rows(parsed).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/exec_id={run}")
+        if not n:
+            return
+        run = hashlib.md5(f"stream-files-{n}-{mark}".encode()).hexdigest()  # of the files, not of the batch's number
+        fresh.select("path", "length", "modificationTime", "content_md5", "file_key").write.mode("overwrite").parquet(f"{base}/{_FILES}/exec_id={run}")
+        extracted_rows(parsed).write.mode("overwrite").parquet(f"{base}/exec_id={run}")
     finally:
         parsed.unpersist()
+        fresh.unpersist()
 
 
 def write_dedupe_batch(batch: DataFrame, batch_id: int, out_dir: str) -> None:
@@ -68,7 +116,7 @@ def write_dedupe_batch(batch: DataFrame, batch_id: int, out_dir: str) -> None:
 
 def run_intake(spark: SparkSession, folder: str, out_dir: str, checkpoint: str, pattern: str = "*.twb") -> None:
     """ST-01: drain new files into ``out_dir`` (partitioned by exec_id, a run for each micro-batch)."""
-    src = workbook_stream(spark, folder, pattern).select("path", F.col("content").cast("string").alias("content"))
+    src = workbook_stream(spark, folder, pattern).select("path", "length", "modificationTime", F.col("content").cast("string").alias("content"))
     write = lambda batch, batch_id: write_intake_batch(batch, batch_id, out_dir)
     q = src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
