@@ -295,7 +295,8 @@ def _judged(df: DataFrame, id_col: str, text_col: str, k: int, m: int, digests:
     further = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]
     if numbers is not None:  # else the key is the id
         further.append(F.col(f"`{id_col}`").cast("long").alias("id"))
-    rows = keyed.select(F.col(key).alias("did"), F.struct(F.col(f"`{text_col}`").alias("text"), *further).alias("doc"))
+    # the key is never null, and says so: a join on it would else filter one side, and the two exchanges differ
+    rows = keyed.select(F.coalesce(F.col(key), F.lit(0).cast("long")).alias("did"), F.struct(F.col(f"`{text_col}`").alias("text"), *further).alias("doc"))
     spans = repeated_intervals(rows, k, m).groupBy("did").agg(F.collect_list(F.struct("start", "words")).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,words:bigint>>")
     joined = rows.join(spans, "did", "left").select("did", "doc", F.coalesce("spans", none).alias("spans"))
