@@ -13,6 +13,8 @@ QUERY_MODULES = (
     "filter_queries",
     "function_queries",
     "analytic_queries",
+    "tablewide_queries",
+    "grain_queries",
     "warehouse_queries",
     "report_queries",
     "extract_queries",
