@@ -10,16 +10,19 @@ once the run's rows are committed, so a batch that failed in between is taken ag
 and nothing twice.  One stream at a time may write to an output.
 ``trigger(availableNow=True)`` drains what is there and stops, which is how a
 scheduled job uses it.  ST-02 drops re-delivered copies of the same document
-(md5 of the content): keys seen before are kept in the output table, so a file
-of any age is taken if its content was never seen.
+(md5 of the content): the keys are state of the stream, so a file of any age is
+taken if its content was never seen, and a batch costs what it holds itself.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lodestar.operators import extract as X
 from lodestar.operators.dump import extracted_rows
@@ -100,20 +103,73 @@ def write_intake_batch(batch: DataFrame, batch_id: int, out_dir: str) -> None:
         fresh.unpersist()
 
 
-def write_dedupe_batch(batch: DataFrame, batch_id: int, out_dir: str) -> None:
+_SEEN_SCHEMA = "path string, modificationTime timestamp, twb_key string, batch_id string"
+
+
+def write_dedupe_batch(batch: DataFrame, batch_id: int | str, out_dir: str) -> None:
     """The documents of a micro-batch whose content no other batch has, once each (smallest path).
 
     The seen keys are the output table itself, but for this batch's own partition
-    (a replay must not find itself); the anti-join is on the md5 key."""
+    (a replay must not find itself); the anti-join is on the md5 key.  All keys are
+    read in each batch: ``run_dedupe`` looks up those of the batch only."""
     spark = batch.sparkSession
     first = batch.groupBy("twb_key").agg(F.min_by(F.struct("path", "modificationTime"), "path").alias("f")).select("twb_key", "f.*")
     if _exists(spark, out_dir):
-        schema = "path string, modificationTime timestamp, twb_key string, batch_id long"
-        seen = spark.read.schema(schema).parquet(out_dir).filter(F.col("batch_id") != batch_id).select("twb_key")
+        seen = spark.read.schema(_SEEN_SCHEMA).parquet(out_dir).filter(F.col("batch_id") != str(batch_id)).select("twb_key")
         first = first.join(seen, "twb_key", "left_anti")
+    _write_first(first, batch_id, out_dir)
+
+
+def _write_first(first: DataFrame, batch_id: int | str, out_dir: str) -> None:
     first.select("path", "modificationTime", "twb_key").write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
 
 
+class FirstOfContent(StatefulProcessor):
+    """A content's smallest path in the first batch that has it; nothing in later ones."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "path string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self.seen.exists():
+            return
+        first = None
+        for chunk in rows:  # a content that is delivered very often comes in many chunks
+            least = chunk.loc[[chunk["path"].idxmin()], ["path", "modificationTime"]]
+            first = least if first is None or least["path"].iloc[0] < first["path"].iloc[0] else first
+        self.seen.update((first["path"].iloc[0],))
+        yield first.assign(twb_key=key[0])
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.seen.update((initialState["path"].iloc[0],))
+
+    def close(self) -> None:
+        pass
+
+
+def first_of_content(keyed: DataFrame, seen: DataFrame) -> DataFrame:
+    """ST-02: of a stream (path, modificationTime, twb_key) one row a key, ever.
+
+    The keys are state by key, so a batch looks up its own keys only, whatever came
+    before; ``seen`` (twb_key, path) is the state that a new checkpoint starts from."""
+    return keyed.groupBy("twb_key").transformWithStateInPandas(
+        FirstOfContent(), "path string, modificationTime timestamp, twb_key string", "Append", "None", initialState=seen.groupBy("twb_key")
+    )
+
+
+def _seen_before(spark: SparkSession, out_dir: str, checkpoint: str) -> DataFrame:
+    """The keys that other streams, or earlier checkpoints, have written.
+
+    What this checkpoint wrote is in its state; a replay of its first batch must not find itself."""
+    if not _exists(spark, out_dir):
+        return spark.createDataFrame([], "twb_key string, path string")
+    seen = spark.read.schema(_SEEN_SCHEMA).parquet(out_dir)
+    if _exists(spark, f"{checkpoint.rstrip('/')}/metadata"):
+        own = spark.read.json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
+        seen = seen.filter(~F.col("batch_id").startswith(own))
+    return seen.groupBy("twb_key").agg(F.min("path").alias("path"))
+
+
 def run_intake(spark: SparkSession, folder: str, out_dir: str, checkpoint: str, pattern: str = "*.twb") -> None:
     """ST-01: drain new files into ``out_dir`` (partitioned by exec_id, a run for each micro-batch)."""
     src = workbook_stream(spark, folder, pattern).select("path", "length", "modificationTime", F.col("content").cast("string").alias("content"))
@@ -122,10 +178,32 @@ def run_intake(spark: SparkSession, folder: str, out_dir: str, checkpoint: str,
     q.awaitTermination()
 
 
+#: Keys on the executors' disks, and only a batch's changes written to the checkpoint.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 def run_dedupe(spark: SparkSession, folder: str, out_dir: str, checkpoint: str, pattern: str = "*.twb") -> None:
-    """ST-02: keep one file of each content, whatever its modification time."""
+    """ST-02: keep one file of each content, whatever its modification time.
+
+    A batch's rows are named by the checkpoint's stream and the batch, so a replay
+    writes the same rows again and a new checkpoint adds to what is there."""
     src = workbook_stream(spark, folder, pattern)
     keyed = src.select("path", "modificationTime", F.md5(F.col("content")).alias("twb_key"))
-    write = lambda batch, batch_id: write_dedupe_batch(batch, batch_id, out_dir)
-    q = keyed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    first = first_of_content(keyed, _seen_before(spark, out_dir, checkpoint))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        _write_first(batch, f"{stream}-{batch_id}", out_dir)
+
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
+    try:
+        q = first.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     q.awaitTermination()

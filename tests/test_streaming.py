@@ -53,3 +53,32 @@ def test_dedupe_takes_old_files_and_replays(spark, tmp_path):
     for _ in range(2):
         intake.write_dedupe_batch(old, 1, out)
     assert sorted((r.twb_key, r.path) for r in spark.read.parquet(out).collect()) == [("k1", "n/a"), ("k2", "o/a")]
+
+
+def test_dedupe_state_outlives_restarts_and_new_checkpoints(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    doc = lambda name: WB.format(REC.format(name))
+    rows = lambda: {(r.twb_key, r.path, r.batch_id) for r in spark.read.parquet(out).collect()}
+    _write_docs(spark, src + "/1", [("b.twb", doc("x")), ("c.twb", doc("y")), ("a.twb", doc("x"))])
+    intake.run_dedupe(spark, src, out, str(tmp_path / "chk"), pattern="*.txt")
+    first = rows()
+    assert len(first) == 2 and any("a.twb" in path for _, path, _ in first) and not any("b.twb" in path for _, path, _ in first)
+    _write_docs(spark, src + "/0", [("a.twb", doc("y")), ("z.twb", doc("z"))])  # a seen content under a smaller path
+    intake.run_dedupe(spark, src, out, str(tmp_path / "chk"), pattern="*.txt")
+    second = rows()
+    assert first < second and len(second) == 3
+    _write_docs(spark, src + "/2", [("w.twb", doc("w"))])
+    intake.run_dedupe(spark, src, out, str(tmp_path / "chk2"), pattern="*.txt")  # a new checkpoint sees every file again
+    third = rows()
+    assert second < third and len(third) == 4 and len({k for k, _, _ in third}) == 4
+
+
+def test_dedupe_replays_a_batch_that_was_written_but_not_committed(spark, tmp_path):
+    src, out, chk = str(tmp_path / "in"), str(tmp_path / "out"), tmp_path / "chk"
+    _write_docs(spark, src, [("a.twb", WB.format(REC.format("x"))), ("b.twb", WB.format(REC.format("x"))), ("c.twb", WB.format(REC.format("y")))])
+    intake.run_dedupe(spark, src, out, str(chk), pattern="*.txt")
+    rows = sorted(map(tuple, spark.read.parquet(out).collect()))
+    for mark in (chk / "commits").iterdir():  # as after a loss between the batch's write and its commit
+        mark.unlink()
+    intake.run_dedupe(spark, src, out, str(chk), pattern="*.txt")
+    assert len(rows) == 2 and sorted(map(tuple, spark.read.parquet(out).collect())) == rows
