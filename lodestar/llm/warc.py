@@ -15,8 +15,9 @@ Defined results: a null page text is an empty payload; a null URL gives a record
 without target; line breaks in URLs are percent-encoded.  Among records of equal
 payload the largest page id is the response (null ids are always responses and
 never referred to); rows that repeat the largest id are responses too.  A stream
-that ends early or breaks gives its whole records and one index row of type
-``damaged`` without member.  An archive's compressed bytes are read as one value
+that ends early (be it in its trailer, or between two records) or breaks, and an
+empty file, give their whole records and one index row of type ``damaged``
+without member.  An archive's compressed bytes are read as one value
 (up to 2 GB), its inflated bytes as a stream; so memory is bounded by the archive
 size, which ``records_per_archive`` limits, and the largest record.  Further
 columns are ignored; an empty table gives no archives and no rows.
@@ -30,12 +31,13 @@ import hashlib
 import json
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import as_bytes, column, remove, scratch, ship_library, steps, table
+from lodestar.llm.common import as_bytes, checkpoint, column, remove, scratch, ship_library, steps, table
 
 #: Payloads of at least so many bytes are deduplicated.
 MIN_REVISIT_BYTES = 0
@@ -87,7 +89,7 @@ def records(content: bytes) -> Iterator[bytes]:
     """The records of a gzip file of one or many members, inflated once from front to back; ValueError at damage."""
     buffer, inflater, at = bytearray(), zlib.decompressobj(31), 0
     need = None  # bytes of the record that begins the buffer, once its header is known
-    view, read_to = memoryview(content), 0
+    view, read_to, whole = memoryview(content), 0, False
     while True:
         while True:
             if need is None and (end := buffer.find(b"\r\n\r\n", at)) >= 0:
@@ -104,30 +106,36 @@ def records(content: bytes) -> Iterator[bytes]:
             need, at = None, 0
         if inflater.eof:  # the next member begins where this one ended
             read_to -= len(inflater.unused_data)
-            inflater = zlib.decompressobj(31)
+            inflater, whole = zlib.decompressobj(31), True
         if read_to >= len(view):
             break
         try:
             buffer += inflater.decompress(view[read_to : read_to + _CHUNK])
         except zlib.error as e:
             raise ValueError(str(e)) from e
-        read_to += len(view[read_to : read_to + _CHUNK])
+        read_to, whole = read_to + len(view[read_to : read_to + _CHUNK]), False
     if buffer:
         raise ValueError("the stream ends within a record")
+    if not whole:  # also where all records came out: the checksum was never reached
+        raise ValueError("the stream ends before its trailer" if content else "the file is empty")
 
 
 def write(pages: DataFrame, path: str, records_per_archive: int = RECORDS_PER_ARCHIVE, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> None:
     """Archives of pages (page_id, url, html), each one gzip stream over the whole file.
 
-    The newest page of each payload comes from a grouped maximum (combined before
-    the shuffle) that is joined back by the payload's SHA-256; adaptive execution
-    splits the join where one payload is very common.
+    The newest page of each payload is found among ids and SHA-256 digests alone;
+    payloads are dealt by (id, digest), so pages of one common payload lie in all
+    tasks, and those without an id are not dealt at all.
     """
     ship_library(pages.sparkSession)
     rows = pages.selectExpr("CAST(page_id AS LONG) AS page_id", "url", "CAST(coalesce(html, '') AS BINARY) AS payload").withColumn("same", F.sha2("payload", 256))
-    newest = rows.groupBy("same").agg(F.max("page_id").alias("newest"))
-    refers = F.when((F.length("payload") >= min_revisit_bytes) & (F.col("page_id") < F.col("newest")), F.col("newest"))
-    marked = rows.join(newest, "same").select("page_id", "url", "payload", refers.alias("refers_to"))
+    named = rows.filter("page_id IS NOT NULL")
+    ids = checkpoint(named.select("page_id", "same", (F.length("payload") >= min_revisit_bytes).alias("may")))
+    newest = ids.filter("may").groupBy("same").agg(F.max("page_id").alias("newest"))
+    older = ids.filter("may").join(newest, "same").filter("page_id < newest").groupBy("page_id", "same").agg(F.max("newest").alias("refers_to"))
+    fields = ["page_id", "url", "payload", "refers_to"]
+    nameless = rows.filter("page_id IS NULL").withColumn("refers_to", F.lit(None).cast("long"))
+    marked = named.join(older, ["page_id", "same"], "left").select(fields).unionByName(nameless.select(fields))
 
     def run(batches):
         for b in steps(batches, "payload"):
@@ -148,6 +156,10 @@ def normalise(spark: SparkSession, source: str, target: str, pattern: str = "*.g
     ship_library(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(source)
     files = files.select(F.xxhash64("path").alias("archive"), F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    # Spark's scans leave empty files out: they are those that are listed only
+    listed = spark.createDataFrame([(unquote(f.rsplit("/", 1)[-1]),) for f in files.inputFiles()], "name string")
+    empty = listed.join(files.select("name"), "name", "left_anti")
+    files = files.unionByName(empty.select(F.xxhash64("name").alias("archive"), "name", F.lit(b"").alias("content")))
 
     def run(batches):
         for b in batches:

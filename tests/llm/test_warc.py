@@ -2,6 +2,7 @@ import base64
 import glob
 import gzip
 import hashlib
+import zlib
 
 import pytest
 
@@ -65,12 +66,46 @@ def test_damaged_streams_keep_their_whole_records(spark, tmp_path):
     target = scratch(spark, "t-damaged")
     warc.normalise(spark, str(tmp_path), target)
     kinds = sorted((r.file, r.id or "", r.type) for r in warc.index(spark, target).collect())
-    assert [k for k in kinds if k[2] == "damaged"] == [("cut.gz", "", "damaged"), ("text.gz", "", "damaged")]
+    assert [k for k in kinds if k[2] == "damaged"] == [("cut.gz", "", "damaged"), ("none.gz", "", "damaged"), ("text.gz", "", "damaged")]
     assert {r.record_id for r in warc.read(spark, target).collect()} >= {f"<{warc.URN}{i}>" for i in (1, 3, 4)}
     with pytest.raises(ValueError):
         list(warc.records(gzip.compress(both)[:-400]))
 
 
+def _until_damage(raw):
+    got = []
+    with pytest.raises(ValueError):
+        for r in warc.records(raw):
+            got.append(r)
+    return got
+
+
+@pytest.mark.parametrize("cut", [1, 4, 8])
+def test_streams_without_a_whole_trailer_are_damaged(cut):
+    both = [warc.record(i, "u", b"p" * 1_000, None) for i in (1, 2)]
+    assert _until_damage(gzip.compress(b"".join(both))[:-cut]) == both
+    assert _until_damage(gzip.compress(both[0]) + gzip.compress(both[1])[:-cut]) == both
+
+
+def test_streams_cut_at_a_records_end_are_damaged():
+    one, two = (warc.record(i, "u", b"p" * 1_000, None) for i in (1, 2))
+    z = zlib.compressobj(wbits=31)
+    cut = z.compress(one) + z.flush(zlib.Z_FULL_FLUSH)
+    assert _until_damage(cut) == [one]
+    assert list(warc.records(cut + z.compress(two) + z.flush())) == [one, two]
+    assert _until_damage(b"") == [] and list(warc.records(gzip.compress(b""))) == []
+
+
+def test_a_common_payload_is_not_dealt_to_one_task(spark):
+    """Payloads of one digest meet in no exchange: it deals by id and digest."""
+    rows = [(i, "u", "same") for i in range(50)] + [(i, "u", None) for i in range(50, 60)] + [(None, "u", "same")] * 3
+    target = scratch(spark, "t-common")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), target, min_revisit_bytes=1)
+    made = [warc.parse(r)["fields"] for f in glob.glob(f"{target}/*.gz") for r in warc.records(open(f, "rb").read())]
+    assert len(made) == 63 and sum(f["warc-type"] == "revisit" for f in made) == 49
+    assert {f.get("warc-refers-to") for f in made} == {None, f"<{warc.URN}49>"}
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert warc.op7_warc(spark, str(tmp_path)).collect() == []
