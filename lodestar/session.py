@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -35,6 +37,26 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_library(spark: SparkSession) -> None:
+    """Sends this library's modules to the executors, once an application: their Python workers import it.
+
+    The archive is served by the driver for as long as the application runs.  A
+    library that was itself given to the application as an archive is there already.
+    """
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent
+    if sc.applicationId in _SHIPPED or not root.is_dir():
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="lodestar-modules-"), "lodestar.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for module in sorted(root.rglob("*.py")):
+            z.write(module, module.relative_to(root.parent))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "lodestar") -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
