@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -35,17 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ship_library(spark: SparkSession) -> None:
     """Prepares a session for the operators' Python workers.
 
-    They must import this library wherever the driver was started from, and get
-    Arrow batches of bounded bytes: rows hold whole texts, and Spark's default of
-    64 MB a batch is held several times over between the JVM and the worker.  A
-    bound that the session has set itself stays.
+    They must have this library's modules, which the driver sends, and get Arrow
+    batches of bounded bytes: rows hold whole texts, and Spark's default of 64 MB a
+    batch is held several times over between the JVM and the worker.  A bound that
+    the session has set itself stays.
     """
+    from lodestar.session import ship_library as ship
+
     if spark.conf.get(_BATCH_KEY, None) in ("67108864b", "64MB", "64m"):
         spark.conf.set(_BATCH_KEY, BATCH_BYTES)
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+    ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
