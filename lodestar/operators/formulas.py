@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.session import ship_library
+
 # Function name -> support verdict of the target (Yes -> Full,
 # NF -> NoSup; date functions whose support depends on the part -> Partial).
 FUNCTION_SUPPORT = {
@@ -134,6 +136,7 @@ def dependency_depth(calcs: DataFrame, keys=("path",)) -> DataFrame:
         rows = [(*key[:k], c, depth[c] if waits[c] == 0 else None, None if waits[c] == 0 else "reference cycle") for c in needs]
         return pd.DataFrame(rows, columns=[*keys, "caller", "depth", "error"]).astype({"depth": "Int32"})
 
+    ship_library(every.sparkSession)
     return every.groupBy(*keys).applyInPandas(resolve, f"{key_schema}, caller string, depth int, error string")
 
 

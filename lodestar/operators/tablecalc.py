@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from lodestar.session import ship_library
+
 UNBOUNDED_PRECEDING = Window.unboundedPreceding
 UNBOUNDED_FOLLOWING = Window.unboundedFollowing
 
@@ -152,6 +154,7 @@ def previous_value_fold(df: DataFrame, partition_by: list[str], order_by: list[s
             yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, out])
 
     result = T.StructType.fromDDL(f"v {kind}")["v"].dataType
+    ship_library(ordered.sparkSession)
     return ordered.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, result)]))
 
 
@@ -269,6 +272,7 @@ def window_percentile_wide(df: DataFrame, partition_by: list[str], order_by: lis
             del made[: ready.num_rows]
 
     ordered = dealt.sortWithinPartitions(*partition_by, *order_by)
+    ship_library(ordered.sparkSession)
     return ordered.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
 
 

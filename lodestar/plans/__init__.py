@@ -15,6 +15,7 @@ QUERY_MODULES = (
     "analytic_queries",
     "tablewide_queries",
     "grain_queries",
+    "stored_queries",
     "warehouse_queries",
     "report_queries",
     "extract_queries",

@@ -35,9 +35,10 @@ class Tables:
     """Lazy accessor: ``Tables(spark, d).orders`` reads one parquet table."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        from lodestar.session import configure
+        from lodestar.session import configure, ship_library
 
         self.spark = configure(spark)
+        ship_library(spark)
         self.sf_dir = sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:

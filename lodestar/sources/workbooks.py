@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.session import ship_library
 from lodestar.sources.dump_fixture import CONNECTORS, COLUMN_TYPES, FILTER_CLASSES, JOIN_KINDS, PLACED_SEGMENTS, SEGMENT_FORMULAS, SEGMENT_MARKS
 from lodestar.sources.tables import Tables
 
@@ -66,6 +67,7 @@ def _unzip(batches):
 def scan_packaged(spark: SparkSession, folder: str, pattern: str = "*.twbx") -> DataFrame:
     """IO-02: ``.twbx`` packages -> one row per inner ``.twb`` (unzipped in the task;
     nothing is written next to the input)."""
+    ship_library(spark)
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     return raw.select("path", "content").mapInPandas(_unzip, "path string, content string, error string")
 
