@@ -103,7 +103,7 @@ def _io02(spark, sf_dir):
     folder = S.scratch_dir(spark, "packages")
     docs = workbook_corpus(spark, sf_dir).select(F.expr("substring(path, 9)").alias("doc"), "content")
     zips = docs.mapInPandas(_zip_documents, "doc string, value binary").selectExpr("doc", "CAST(value AS STRING) AS value")
-    zips.write.partitionBy("doc").text(folder)  # a package each; readers of zip files ignore the trailing line feed
+    zips.write.partitionBy("doc").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)  # a package each; readers of zip files ignore the trailing line feed
     found = scan_packaged(spark, folder, "part-*")
     doc = F.url_decode(F.regexp_extract("path", "doc=([^/]+)/", 1))
     return found.select(doc.alias("doc"), F.regexp_extract("path", "!(.*)$", 1).alias("inner"), F.col("content").contains("<workbook>").alias("is_workbook"), "error")

@@ -20,10 +20,13 @@ DOC_PATH_SQL = "substr(path, 9)"  # '/corpus/' prefix removed -> 'REGION/NATION_
 
 
 def _write_corpus_files(spark, sf_dir, folder, copies=1):
-    """Write every corpus document as its own file: ``folder/copy_k/doc=<name>/part-*.twb``."""
+    """Write every corpus document as its own file: ``folder/copy_k/doc=<name>/part-*.twb``.
+
+    Tasks put their own files in place (committer version 2; a task that runs again writes the same
+    names), so the driver doesn't move them one by one."""
     docs = workbook_corpus(spark, sf_dir).select(F.expr("substring(path, 9)").alias("doc"), "content")
     for k in range(copies):
-        docs.write.mode("overwrite").partitionBy("doc").option("compression", "none").format("text").save(f"{folder}/copy_{k}")
+        docs.write.mode("overwrite").partitionBy("doc").option("compression", "none").option("mapreduce.fileoutputcommitter.algorithm.version", "2").format("text").save(f"{folder}/copy_{k}")
     return folder
 
 
