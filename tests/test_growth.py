@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from lodestar.functions.udf import script_over
+from lodestar.operators import grouping as G
 from lodestar.sources.workbooks import odd_corpus, workbook_corpus
+from lodestar.streaming import intake
 
 
 def _tables(spark, folder, suppliers):
@@ -49,3 +51,27 @@ def test_scripts_run_over_many_small_partitions_in_one_pass(spark):
     out = script_over(many, ["g"], ["i"], "REAL", lambda x: x - x.iloc[0] + len(x), ["x"], "v")
     assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
     assert {r.i: r.v for r in out.collect()} == {i: i - i % 700 + len(range(i % 700, 2000, 700)) for i in range(2000)}
+
+
+def test_a_batch_of_small_files_is_cut_by_its_bytes(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(1100):
+        (tmp_path / "in" / f"{i}.twb").write_text(f"<workbook>{i % 1000}</workbook>")
+    intake.run_dedupe(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "chk"))
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert rows.count() == rows.select("twb_key").distinct().count() == 1000
+    assert rows.select("batch_id").distinct().count() == 1
+
+
+def test_distinct_values_cross_the_network_once_for_all_grains(spark):
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 4 < 3 THEN id % 4 END AS a", "id % 3 AS b", "CASE WHEN id % 7 > 0 THEN string(id % 50) END AS x")
+    grains = [["a", "b"], ["b"], []]
+    out = G.distinct_counts(G.distinct_state(rows, ["a", "b"], "x"), grains)
+    want = {}
+    for r in rows.collect():
+        for i, g in enumerate(grains):
+            want.setdefault((i, *(r[d] if d in g else None for d in ("a", "b"))), set()).update([r.x] if r.x else [])
+    assert {(r._grain, r.a, r.b): r.n for r in out.collect()} == {k: len(v) for k, v in want.items()}
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    exchanges = [line for line in out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines() if "Exchange" in line]
+    assert not any("_grain" in line and "_part" in line for line in exchanges), plan
