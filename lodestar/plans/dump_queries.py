@@ -69,9 +69,15 @@ add(
 
 
 # ------------------------------------------------------------------ WH-11 from XML
+def extracted_dump(spark, sf_dir):
+    """The corpus' dump, cut from its lineage: the load reads it a dozen times, so not in the
+    partitions of forty extractors but in as many as its size asks for."""
+    dump = property_dump(parsed_corpus(spark, sf_dir), "command_line", "2024-01-01 00:00:00", "2024-01-01 00:05:00")
+    return dump.hint("rebalance").checkpoint()
+
+
 def _table_detail(spark, sf_dir):
-    # the load reads the dump a dozen times
-    w = W.load(property_dump(parsed_corpus(spark, sf_dir), "command_line", "2024-01-01 00:00:00", "2024-01-01 00:05:00").checkpoint())
+    w = W.load(extracted_dump(spark, sf_dir))
     names = w["table_header"].select("table_header_id", "table_name")
     return w["table_detail"].join(names, "table_header_id").select("table_name", "column_name", "data_type", "conv_feasibility", "ts_data_type")
 

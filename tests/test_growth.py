@@ -3,7 +3,11 @@
 from pyspark.sql import functions as F
 
 from lodestar.functions.udf import script_over
+from lodestar.operators import extract as X
 from lodestar.operators import grouping as G
+from lodestar.plans import warehouse as W
+from lodestar.plans.dump_queries import extracted_dump
+from lodestar.plans.extract_queries import parsed_corpus
 from lodestar.sources.workbooks import odd_corpus, workbook_corpus
 from lodestar.streaming import intake
 
@@ -28,6 +32,20 @@ def test_documents_are_dealt_over_tasks_by_their_number(spark, tmp_path):
         assert sum(r["count"] for r in tasks) == n and max(r["count"] for r in tasks) <= n / 10
 
 
+def test_a_load_from_documents_does_not_start_a_task_for_each_extractor_and_part(spark, tmp_path):
+    at, cores = _tables(spark, tmp_path, 3000), spark.sparkContext.defaultParallelism
+    spark.range(1).selectExpr("id AS p_partkey").write.parquet(f"{at}/part.parquet")  # its date is looked at
+    parsed = parsed_corpus(spark, at)  # 15 tasks parse 300 documents and 5 truncated copies
+    assert parsed.rdd.getNumPartitions() <= max(cores, 2)
+    assert parsed.count() == parsed.select("path").distinct().count() == 305
+    assert {r.path for r in X.errors(parsed).collect()} == {f"/corpus/R/N{i}_0.twb.bad" for i in range(5)}
+    dump = extracted_dump(spark, at)
+    assert dump.rdd.getNumPartitions() <= 2 * cores
+    assert dump.filter("property_type = 'metadata-record'").count() == 3000 and dump.filter("object_type = 'error'").count() == 5
+    detail = W.load(dump)["table_detail"].select("column_name", "data_type").collect()
+    assert sorted(detail) == sorted((f"S{i}", ("integer", "real", "string", "date")[i % 4]) for i in range(3000))
+
+
 def test_scripts_run_over_many_small_partitions_in_one_pass(spark):
     big = 2**53 + 1  # not a double
     df = spark.createDataFrame(
